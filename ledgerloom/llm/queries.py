@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .ngram_join import op5_ngram_jaccard_join
 
-QUERIES = [op5_ngram_jaccard_join]
+QUERIES = [op4_bpe, op5_ngram_jaccard_join]
 
 ORACLE_SQL: dict[str, str] = {}
 
