@@ -22,17 +22,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder and goes on from those files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a table in the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df as a table in the checkpoint folder and goes on from there."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids that are broadcast at most: 16 MB of longs.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def only_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df with a doc_id of ids(doc_id), a stored table; few ids are broadcast, more are joined by a shuffle."""
+    few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b).
 
