@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import table
 
@@ -206,8 +207,6 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "t
                 made = pa.ListArray.from_arrays(pa.array(offsets), values, type=kind)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, ids])
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
-
     schema = StructType([*base.schema.fields]).add(ids, ArrayType(IntegerType()))
     return base.mapInArrow(run, schema)
 
@@ -226,7 +225,7 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "token_ids", text: str
                 made = pa.array([t.decode(x or []) for x in part.column(place).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, text])
 
-    return base.mapInArrow(run, base.schema.add(text, "string"))
+    return base.mapInArrow(run, StructType([*base.schema.fields]).add(text, "string"))
 
 
 def _digests(batches):
