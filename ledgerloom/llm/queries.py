@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .mixing import op2_mixing
 from .ngram_join import op5_ngram_jaccard_join
+from .substring_dedup import op7_substring_dedup
+from .token_files import op10_token_files
 
-QUERIES = [op4_bpe, op5_ngram_jaccard_join]
+QUERIES = [op2_mixing, op4_bpe, op5_ngram_jaccard_join, op7_substring_dedup, op10_token_files]
 
 ORACLE_SQL: dict[str, str] = {}
 
