@@ -15,22 +15,23 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import StructType
 
 from .common import table
 
 #: Words and white-space free chunks that a worker remembers; when there are more, it starts anew.
-MEMORY = 500_000
+MEMORY = 250_000
 _NEVER = np.int64(1 << 40)
 #: White space of Unicode; str.split() would also split at the four separators 28 to 31.
 _SPACES = regex.compile(r"\p{White_Space}+")
+_POINTS = tuple(".,!?;:")
 _ODD = regex.compile("[\x1c-\x1f]")
 
 
@@ -128,8 +129,15 @@ class WordBpe:
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():
-            return self.pattern.findall(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if text.isalpha():
+            return [text]
+        if text[-1:] in _POINTS and text[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        if text.isascii():
+            return self.pattern.findall(text)
         # Code points without an assigned meaning are no letters, whatever the pattern's library says.
         odd = {c: chr(0xF0000 + k) for k, c in enumerate({c for c in text if unicodedata.category(c) == "Cn"})}
         if not odd:
@@ -147,13 +155,14 @@ class WordBpe:
         if len(self.words) > MEMORY:
             self.words = {}
         new = set().union(*parts).difference(self.chunks)
-        pieces = {c: self._pieces(c) for c in new}
-        unseen = list({w for p in pieces.values() for w in p if isinstance(w, str)}.difference(self.words))
+        new = list(new)
+        pieces = list(map(self._pieces, new))
+        unseen = [w for w in set().union(*pieces).difference(self.words) if isinstance(w, str)]
         for lo in range(0, len(unseen), 20_000):
             some = unseen[lo : lo + 20_000]
             self.words.update(zip(some, self.merge([w.encode("utf-8") for w in some]), strict=True))
-        for c, p in pieces.items():
-            self.chunks[c] = b"".join([self.words[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in p])
+        known = self.words
+        self.chunks.update((c, known[p[0]] if len(p) == 1 and p[0].__class__ is str else b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in p])) for c, p in zip(new, pieces, strict=True))
         return [b"".join(map(self.chunks.__getitem__, p)) for p in parts]
 
     def decode(self, ids) -> str:
@@ -171,48 +180,41 @@ def _tokenizer(shared) -> WordBpe:
     return _LOADED[key]
 
 
-def _groups(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    lo, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t or "")
-        if n >= size:
-            yield lo, i + 1
-            lo, n = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def text_groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of about size bytes of a text column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="left")) + 1
+        yield lo, min(hi, len(ends))
+        lo = hi
 
 
 def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """df with the token ids of its text column as array<int>, without special tokens of its own.
+    """df with the token ids of its text column, without special tokens of its own.
 
-    Null and empty texts have no ids. Strings of special tokens in a text get
-    their special ids. Rows, ties and all other columns stay as they are; a
-    column named as the ids is replaced.
+    The ids are binary, little-endian unsigned 32-bit integers; `as_array` makes
+    array<int> of them. Null and empty texts have no ids. Strings of special
+    tokens in a text get their special ids. Rows, ties and all other columns
+    stay as they are; a column named as the ids is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     base = df.drop(ids)
     place = base.columns.index(text)
-    kind = pa.list_(pa.int32())
 
     def run(batches):
         t = _tokenizer(shared)
         for b in batches:
-            column = b.column(place).to_pylist()
-            for lo, hi in _groups(column):
-                found = t.encode([x or "" for x in column[lo:hi]])
-                offsets = np.zeros(hi - lo + 1, np.int32)
-                offsets[1:] = np.cumsum([len(x) // 4 for x in found])
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
-                part = b.slice(lo, hi - lo)
-                made = pa.ListArray.from_arrays(pa.array(offsets), values, type=kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, ids])
+            column = b.column(place)
+            for lo, hi in text_groups(column):
+                found = t.encode([x or "" for x in column.slice(lo, hi - lo).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(found, pa.binary())], names=[*b.schema.names, ids])
 
-    schema = StructType([*base.schema.fields]).add(ids, ArrayType(IntegerType()))
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(run, StructType([*base.schema.fields]).add(ids, "binary"))
 
 
 def decode(df: DataFrame, tokenizer_json: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """df with the text of its ids; null ids give an empty text."""
+    """df with the text of its ids (binary, as encode gives them); null ids give an empty text."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     base = df.drop(text)
     place = base.columns.index(ids)
@@ -220,24 +222,26 @@ def decode(df: DataFrame, tokenizer_json: str, ids: str = "token_ids", text: str
     def run(batches):
         t = _tokenizer(shared)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                made = pa.array([t.decode(x or []) for x in part.column(place).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, text])
+            column = b.column(place)
+            for lo, hi in text_groups(column):
+                made = pa.array([t.decode(np.frombuffer(x or b"", "<u4").tolist()) for x in column.slice(lo, hi - lo).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, made], names=[*b.schema.names, text])
 
     return base.mapInArrow(run, StructType([*base.schema.fields]).add(text, "string"))
 
 
-def _digests(batches):
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    for b in batches:
-        ids, n, shas = b.column(1), [], []
-        for x in ids:
-            v = x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32)
-            n.append(len(v))
-            shas.append(sha256(v.astype("<u4").tobytes()).hexdigest())
-        decoded = [sha256((x or "").encode("utf-8")).hexdigest() for x in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(shas), pa.array(decoded)], names=names)
+def as_array(df: DataFrame, ids: str = "token_ids") -> DataFrame:
+    """df with its binary ids as array<int>."""
+    base = df.drop(ids)
+
+    def run(batches):
+        for b in batches:
+            column = b.column(b.num_columns - 1)
+            for lo, hi in text_groups(column):
+                made = pa.array([np.frombuffer(x or b"", "<i4") for x in column.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], made], names=b.schema.names)
+
+    return df.select(*base.columns, ids).mapInArrow(run, StructType([*base.schema.fields]).add(ids, "array<int>"))
 
 
 def word_tokenizer() -> str:
@@ -249,5 +253,6 @@ def word_tokenizer() -> str:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = word_tokenizer()
-    ids = encode(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), spec).drop("text")
-    return decode(ids, spec).select("doc_id", "token_ids", "decoded").mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    both = decode(encode(docs, spec).drop("text"), spec)
+    return both.select("doc_id", F.expr("bigint(octet_length(token_ids) div 4)").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
