@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import _groups
+from .bpe import text_groups
 from .common import scratch, table
 
 END_ID = 2
 #: Parts of texts that a worker remembers with their ids; when there are more, it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1 << 20, 2_000
 _LOADED: dict[int, tuple] = {}
 
@@ -94,9 +94,9 @@ def token_rows(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID
     def run(batches):
         pieces = _pieces(shared)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in _groups(texts):
-                found = [x + end for x in pieces.encode([t or "" for t in texts[lo:hi]])]
+            texts = b.column(1)
+            for lo, hi in text_groups(texts):
+                found = [x + end for x in pieces.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in found], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
