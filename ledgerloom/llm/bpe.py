@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import table
 
@@ -241,7 +241,7 @@ def as_array(df: DataFrame, ids: str = "token_ids") -> DataFrame:
                 made = pa.array([np.frombuffer(x or b"", "<i4") for x in column.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:-1], made], names=b.schema.names)
 
-    return df.select(*base.columns, ids).mapInArrow(run, StructType([*base.schema.fields]).add(ids, "array<int>"))
+    return df.select(*base.columns, ids).mapInArrow(run, StructType([*base.schema.fields]).add(ids, ArrayType(IntegerType())))
 
 
 def word_tokenizer() -> str:
