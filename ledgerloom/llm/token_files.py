@@ -10,7 +10,9 @@ one that reads metadata alone never touches the ids.
 
 from __future__ import annotations
 
-from itertools import accumulate
+import os
+import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -18,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import text_groups
+from .bpe import byte_alphabet, text_groups
 from .common import scratch, table
 
 END_ID = 2
-#: Parts of texts that a worker remembers with their ids; when there are more, it starts anew.
-MEMORY = 250_000
+#: Parts of texts that a worker remembers with their ids; when there are more, they become the older ones, and those before are forgotten.
+MEMORY = 300_000
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1 << 20, 2_000
+#: A blank at an end or beside other white space.
+_IRREGULAR = re.compile(r"^\s|\s$| \s|\s ")
+_POINTS = tuple(".,!?;:")
 _LOADED: dict[int, tuple] = {}
 
 
@@ -33,7 +38,9 @@ class Pieces:
 
     A text is cut before single blanks between two other characters. The
     byte-level pattern ends a token there in any case, so the parts' ids in a
-    row are the text's ids, and each distinct part is encoded once.
+    row are the text's ids, and a part that is remembered is not encoded again.
+    A part of letters is one word of the pattern and goes to the library's model
+    at once; all others take the library's whole way.
     """
 
     def __init__(self, spec: str):
@@ -42,41 +49,61 @@ class Pieces:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.alphabet = byte_alphabet()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def split(text: str) -> list[str]:
+        if _IRREGULAR.search(text) is None:
+            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+            if parts:
+                return parts if text else []
         parts = text.split(" ")
-        if len(parts) == 1:
-            return parts if text else []
-        plain = all(parts) and not any(p[0].isspace() or p[-1].isspace() for p in parts)
-        if plain:
-            return [parts[0], *[" " + p for p in parts[1:]]]
         out = [parts[0]]
         for before, p in zip(parts, parts[1:], strict=False):
             if before and p and not before[-1].isspace() and not p[0].isspace():
                 out.append(" " + p)
             else:
                 out[-1] += " " + p
-        return out
+        return [p for p in out if p]
+
+    def _word(self, p: str) -> bytes:
+        mapped = p if p.isascii() and p[0] != " " else p.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known, older, rest = self.known, self.older, []
+        for p in new:
+            found = older.get(p)
+            if found is None:
+                core = p[1:] if p[0] == " " else p
+                if core.isalpha():
+                    found = self._word(p)
+                elif core[-1:] in _POINTS and core[:-1].isalpha():
+                    stem, point = p[:-1], p[-1]
+                    for q in (stem, point):
+                        if q not in known:
+                            known[q] = older.get(q) or self._word(q)
+                    found = known[stem] + known[point]
+                else:
+                    rest.append(p)
+                    continue
+            known[p] = found
+        for lo in range(0, len(rest), 10_000):
+            some = rest[lo : lo + 10_000]
+            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.split(t) for t in texts]
+        parts = list(map(self.split, texts))
         if len(self.known) > MEMORY:
-            self.known = {}
-        new = list(set().union(*parts).difference(self.known))
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            found = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
-            raw = np.fromiter((i for ids in found for i in ids), "<u4").tobytes()
-            ends = [4 * n for n in accumulate(map(len, found), initial=0)]
-            self.known.update((p, raw[a:b]) for p, a, b in zip(some, ends, ends[1:], strict=False))
+            self.older, self.known = self.known, {}
+        self._learn(set().union(*parts).difference(self.known))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
 def _pieces(shared) -> Pieces:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     key = hash(shared.value)
     if key not in _LOADED:
