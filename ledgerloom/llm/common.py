@@ -54,7 +54,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     ends are left out; an empty input gives an empty result.
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = cut(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    swapped = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = cut(e.union(swapped).distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
