@@ -136,8 +136,8 @@ class Scorer:
 _LOADED: dict[str, Scorer] = {}
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score of each whole text.
+def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the language and score of each whole text, in columns of the given names.
 
     A text that is null, empty or without a letter is `und` with score 0, as is
     any text under a model without languages. On ties the first language by
@@ -146,7 +146,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid4().hex
-    base = docs.drop("lang_pred", "score")
+    base = docs.drop(lang, score)
     place = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -159,9 +159,9 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             for lo, hi in text_groups(texts):
                 langs, scores = zip(*scorer.score(texts.slice(lo, hi - lo).to_pylist()), strict=True)
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, lang, score])
 
-    return base.mapInArrow(run, StructType([*base.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    return base.mapInArrow(run, StructType([*base.schema.fields]).add(lang, "string").add(score, "double"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
