@@ -288,3 +288,8 @@ def span_evaluation(t):
     g = t.documents.select(F.col("doc_id").alias("gd"), F.expr("n_chars div 500").alias("gs"))
     p = t.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("pd"), F.expr("n_chars div 450").alias("ps"))
     return g.join(p, (F.col("gd") == F.col("pd")) & (F.col("gs") == F.col("ps")), "full").agg(F.count_if(F.col("gd").isNotNull() & F.col("pd").isNotNull()).alias("hits"), F.count_if(F.col("pd").isNull()).alias("missed"), F.count_if(F.col("gd").isNull()).alias("wrong"))
+
+
+@query(f"WITH {LONG_SQL} SELECT feature, round(var_pop(value), 4) AS importance FROM long GROUP BY 1 ORDER BY importance DESC, feature LIMIT 2")
+def top_features(t):
+    return X.variance_of(long_features(t)).select("feature", F.round("variance", 4).alias("importance")).orderBy(F.desc("importance"), "feature").limit(2)
