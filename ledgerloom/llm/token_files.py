@@ -25,14 +25,27 @@ from .common import scratch, table
 
 END_ID = 2
 #: Parts of texts that a worker remembers with their ids; when there are more, they become the older ones, and those before are forgotten.
-MEMORY = 300_000
+MEMORY = 400_000
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1 << 20, 2_000
 #: A blank at an end or beside other white space.
 _IRREGULAR = re.compile(r"^\s|\s$| \s|\s ")
+_DOUBLE = ("  ", " \n", "\n ")
+#: White space other than blank and line feed, and the first character that may be wide white space.
+_RARE = ("\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+_WIDE = re.compile("[\u1680-\uffff]")
 _POINTS = tuple(".,!?;:")
 _LOADED: dict[int, tuple] = {}
 
 
+def regular(text: str) -> bool:
+    """Whether blanks stand alone between other characters; common cases without a pattern."""
+    if "\0" in text or text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _DOUBLE):
+        return False
+    if any(x in text for x in _RARE) or not text.isascii() and _WIDE.search(text):
+        return _IRREGULAR.search(text) is None
+    return True
+
+
 class Pieces:
     """Ids of texts by the tokenizers library, part by part.
 
@@ -51,15 +64,14 @@ class Pieces:
         self.library.no_padding()
         self.model = self.library.model
         self.alphabet = byte_alphabet()
+        self.blank = self.alphabet[32]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     @staticmethod
     def split(text: str) -> list[str]:
-        if _IRREGULAR.search(text) is None:
-            parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            if parts:
-                return parts if text else []
+        if regular(text):
+            return text.replace(" ", "\0 ").split("\0") if text else []
         parts = text.split(" ")
         out = [parts[0]]
         for before, p in zip(parts, parts[1:], strict=False):
@@ -70,7 +82,10 @@ class Pieces:
         return [p for p in out if p]
 
     def _word(self, p: str) -> bytes:
-        mapped = p if p.isascii() and p[0] != " " else p.encode("utf-8").decode("latin-1").translate(self.alphabet)
+        if p.isascii():
+            mapped = self.blank + p[1:] if p[0] == " " else p
+        else:
+            mapped = p.encode("utf-8").decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _learn(self, new: set[str]) -> None:
