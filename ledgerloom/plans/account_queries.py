@@ -43,9 +43,9 @@ def classified(t):
     return R.classify_by_rules(invoice_items(t), rule_catalogue(t.spark, RULES))
 
 
-@query(f"WITH {CLASSIFIED_SQL} SELECT supplier, account, count(*) AS n, round(avg(confidence), 6) AS confidence FROM classified GROUP BY 1, 2")
+@query(f"WITH {CLASSIFIED_SQL} SELECT supplier, account, count(*) AS n, round(avg(confidence), 10) AS confidence FROM classified GROUP BY 1, 2")
 def supplier_account_distribution(t):
-    return classified(t).groupBy("supplier", "account").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return classified(t).groupBy("supplier", "account").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 10).alias("confidence"))
 
 
 @query(f"WITH {CLASSIFIED_SQL} SELECT invoice_id, position, description, category, account, round(confidence, 6) AS confidence, keywords, count(*) AS n FROM classified GROUP BY ALL")
@@ -80,14 +80,14 @@ def combined(t):
     return c.withColumn("method", method).withColumn("final", final)
 
 
-@query(f"WITH {COMBINED_SQL} SELECT method, account, count(*) AS n, round(avg(final), 6) AS confidence FROM combined GROUP BY 1, 2")
+@query(f"WITH {COMBINED_SQL} SELECT method, account, count(*) AS n, round(avg(final), 10) AS confidence FROM combined GROUP BY 1, 2")
 def combined_results(t):
-    return combined(t).groupBy("method", "account").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final"), 6).alias("confidence"))
+    return combined(t).groupBy("method", "account").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final"), 10).alias("confidence"))
 
 
-@query(f"WITH {COMBINED_SQL} SELECT invoice_id, count(*) AS items, round(avg(final), 9) AS confidence, count(*) FILTER (method = 'consensus') AS consensus FROM combined GROUP BY 1")
+@query(f"WITH {COMBINED_SQL} SELECT invoice_id, count(*) AS items, round(avg(final), 10) AS confidence, count(*) FILTER (method = 'consensus') AS consensus FROM combined GROUP BY 1")
 def classified_documents(t):
-    return combined(t).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg("final"), 9).alias("confidence"), F.count_if(F.col("method") == "consensus").alias("consensus"))
+    return combined(t).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg("final"), 10).alias("confidence"), F.count_if(F.col("method") == "consensus").alias("consensus"))
 
 
 @query(f"WITH {CLASSIFIED_SQL} SELECT supplier, round(sum(CASE WHEN s_suppkey % 2 = 0 THEN 0.1 * n_keywords / 4 ELSE 0 END), 4) AS boost FROM classified JOIN supplier ON s_name = supplier GROUP BY 1")
@@ -127,12 +127,12 @@ def seasonal_context(t):
 
 
 @query(f"""WITH {CLASSIFIED_SQL}, b AS (SELECT *, {PRICE_BOOST} AS pb, CASE WHEN month(shipped) = 12 THEN 0.05 ELSE 0.0 END AS sb FROM classified)
- SELECT account, concat_ws(',', CASE WHEN pb <> 0 THEN 'price' END, CASE WHEN sb <> 0 THEN 'season' END) AS applied, count(*) AS n, round(avg(least(greatest(confidence + pb + sb, 0.05), 0.95)), 6) AS confidence FROM b GROUP BY 1, 2""")
+ SELECT account, concat_ws(',', CASE WHEN pb <> 0 THEN 'price' END, CASE WHEN sb <> 0 THEN 'season' END) AS applied, count(*) AS n, round(avg(least(greatest(confidence + pb + sb, 0.05), 0.95)), 10) AS confidence FROM b GROUP BY 1, 2""")
 def context_classifier(t):
     c = classified(t)
     conf, applied = R.with_context(F.col("confidence"), {"price": R.price_boost(F.col("price"), F.col("account")), "season": F.when(F.month("shipped") == 12, 0.05).otherwise(0.0)})
     c = c.withColumn("applied", F.array_join(applied, ",")).withColumn("final", conf)
-    return c.groupBy("account", "applied").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final"), 6).alias("confidence"))
+    return c.groupBy("account", "applied").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final"), 10).alias("confidence"))
 
 
 def corrections(t):
@@ -153,12 +153,12 @@ def learned_patterns(t):
 @query(f"""WITH {CLASSIFIED_SQL}, {PATTERNS_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY invoice_id, position, l_partkey, l_suppkey, net, quantity, rate, shipped) AS id FROM classified),
  met AS (SELECT c.id, p.account AS pa, c.account, p.boost, p.n, row_number() OVER (PARTITION BY c.id ORDER BY p.n DESC, p.account, lower(p.d)) AS r FROM numbered c JOIN patterns p ON c.supplier = p.supplier AND c.price BETWEEN 0.8 * p.first_price AND 1.2 * p.first_price AND contains(lower(c.description), lower(p.d))),
  total AS (SELECT id, sum(CASE WHEN pa = account THEN boost * n / 10 ELSE -0.1 * boost END) AS change FROM met WHERE r <= 3 GROUP BY 1)
- SELECT supplier, count(*) AS n, count(t.id) AS changed, round(avg(CASE WHEN t.change IS NULL THEN confidence ELSE least(1.0, confidence + t.change) END), 6) AS confidence FROM numbered LEFT JOIN total t USING (id) GROUP BY 1""")
+ SELECT supplier, count(*) AS n, count(t.id) AS changed, round(avg(CASE WHEN t.change IS NULL THEN confidence ELSE least(1.0, confidence + t.change) END), 10) AS confidence FROM numbered LEFT JOIN total t USING (id) GROUP BY 1""")
 def feedback_boosts(t):
     c = classified(t).withColumn("item_id", F.xxhash64("invoice_id", "position", "l_partkey", "l_suppkey", "net", "quantity", "rate", "shipped"))
     before = c.withColumn("before", F.col("confidence"))
     out = R.feedback_boost(before, R.learn_patterns(corrections(t)))
-    return out.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") != F.col("before")).alias("changed"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return out.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") != F.col("before")).alias("changed"), F.round(F.avg("confidence"), 10).alias("confidence"))
 
 
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS invoices, count(l_orderkey) AS items, count(*) FILTER (l_returnflag = 'R') AS returned, round(avg(p_retailprice), 8) AS price FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""")
@@ -246,9 +246,9 @@ def supplier_recognition(t):
     return t.orders.join(m, F.col("o_orderkey") == F.col("invoice_id"), "left").select(F.col("o_orderkey").alias("invoice_id"), F.col("supplier").alias("detected"), Q.supplier_recognition(header, F.col("supplier")).alias("recognition"))
 
 
-@query(f"WITH {COMBINED_SQL} SELECT method, account, count(*) AS n, round(min(final), 6) AS low, round(max(final), 6) AS high, round(avg(final), 6) AS mean FROM combined GROUP BY 1, 2")
+@query(f"WITH {COMBINED_SQL} SELECT method, account, count(*) AS n, round(min(final), 6) AS low, round(max(final), 6) AS high, round(avg(final), 10) AS mean FROM combined GROUP BY 1, 2")
 def detailed_quality_metrics(t):
-    return combined(t).groupBy("method", "account").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("final"), 6).alias("low"), F.round(F.max("final"), 6).alias("high"), F.round(F.avg("final"), 6).alias("mean"))
+    return combined(t).groupBy("method", "account").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("final"), 6).alias("low"), F.round(F.max("final"), 6).alias("high"), F.round(F.avg("final"), 10).alias("mean"))
 
 
 @query(f"WITH {COMBINED_SQL} SELECT invoice_id, count(*) FILTER (final < 0.5) AS low_items, CASE WHEN avg(CASE WHEN final < 0.5 THEN 1.0 ELSE 0.0 END) > 0.3 THEN 'high' WHEN count(*) FILTER (final < 0.5) > 0 THEN 'low' ELSE 'none' END AS severity FROM combined GROUP BY 1")
@@ -274,16 +274,16 @@ def invoice_validation(t):
 
 
 @query(f"""WITH {CLASSIFIED_SQL}, b AS (SELECT invoice_id, account, confidence, CAST(net AS DECIMAL(15,2)) AS amount, CASE WHEN position % 2 = 0 THEN 'S' ELSE 'H' END AS side FROM classified)
- SELECT invoice_id, CAST(coalesce(sum(amount) FILTER (side = 'S'), 0) - coalesce(sum(amount) FILTER (side = 'H'), 0) AS DOUBLE) AS balance, round(avg(confidence), 6) AS confidence, bool_or(confidence < 0.5) AS review, count(*) - count(DISTINCT account || side) AS duplicates FROM b GROUP BY 1""")
+ SELECT invoice_id, CAST(coalesce(sum(amount) FILTER (side = 'S'), 0) - coalesce(sum(amount) FILTER (side = 'H'), 0) AS DOUBLE) AS balance, round(avg(confidence), 10) AS confidence, bool_or(confidence < 0.5) AS review, count(*) - count(DISTINCT account || side) AS duplicates FROM b GROUP BY 1""")
 def booking_balance(t):
     b = classified(t).withColumn("amount", F.col("net").cast("decimal(15,2)")).withColumn("side", F.when(F.col("position") % 2 == 0, "S").otherwise("H"))
     debit, credit = (F.coalesce(F.sum(F.when(F.col("side") == s, F.col("amount"))), F.lit(0).cast("decimal(15,2)")) for s in "SH")
-    return b.groupBy("invoice_id").agg((debit - credit).cast("double").alias("balance"), F.round(F.avg("confidence"), 6).alias("confidence"), F.bool_or(F.col("confidence") < 0.5).alias("review"), (F.count(F.lit(1)) - F.countDistinct(F.concat("account", "side"))).alias("duplicates"))
+    return b.groupBy("invoice_id").agg((debit - credit).cast("double").alias("balance"), F.round(F.avg("confidence"), 10).alias("confidence"), F.bool_or(F.col("confidence") < 0.5).alias("review"), (F.count(F.lit(1)) - F.countDistinct(F.concat("account", "side"))).alias("duplicates"))
 
 
-@query(f"WITH {FEEDBACK_SQL} SELECT account, count(*) AS n, round(avg(confidence), 6) AS confidence FROM feedback GROUP BY 1")
+@query(f"WITH {FEEDBACK_SQL} SELECT account, count(*) AS n, round(avg(confidence), 10) AS confidence FROM feedback GROUP BY 1")
 def account_summary(t):
-    return feedback(t).groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return feedback(t).groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 10).alias("confidence"))
 
 
 @query(f"WITH {METRICS_SQL} SELECT CAST(hour(ts) AS INT) AS hour, round(sum(cost), 6) AS cost FROM metrics GROUP BY 1")

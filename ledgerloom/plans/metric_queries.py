@@ -20,10 +20,10 @@ def recent(df, days: int = DAYS):
 RECENT_SQL = f"{METRICS_SQL}, recent AS (SELECT * FROM metrics WHERE ts > (SELECT max(ts) FROM metrics) - INTERVAL {DAYS} DAY)"
 
 
-@query(f"WITH {RECENT_SQL} SELECT count(*) AS n, round(avg(time_ms), 6) AS time_ms, round(avg(confidence), 9) AS confidence, round(avg(CASE WHEN cache_hit THEN 1.0 ELSE 0.0 END), 9) AS hit_rate, round(sum(cost), 6) AS cost, round(1 - avg(CASE WHEN error THEN 1.0 ELSE 0.0 END), 9) AS success_rate, round((5 - avg(cost)) * count(*), 6) AS savings FROM recent")
+@query(f"WITH {RECENT_SQL} SELECT count(*) AS n, round(avg(time_ms), 9) AS time_ms, round(avg(confidence), 12) AS confidence, round(avg(CASE WHEN cache_hit THEN 1.0 ELSE 0.0 END), 12) AS hit_rate, round(sum(cost), 6) AS cost, round(1 - avg(CASE WHEN error THEN 1.0 ELSE 0.0 END), 12) AS success_rate, round((5 - avg(cost)) * count(*), 6) AS savings FROM recent")
 def business_metrics(t):
     m = recent(metrics(t))
-    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("time_ms"), 6).alias("time_ms"), F.round(F.avg("confidence"), 9).alias("confidence"), F.round(F.avg(F.col("cache_hit").cast("double")), 9).alias("hit_rate"), F.round(F.sum("cost"), 6).alias("cost"), F.round(1 - F.avg(F.col("error").cast("double")), 9).alias("success_rate"), F.round((5 - F.avg("cost")) * F.count(F.lit(1)), 6).alias("savings"))
+    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("time_ms"), 9).alias("time_ms"), F.round(F.avg("confidence"), 12).alias("confidence"), F.round(F.avg(F.col("cache_hit").cast("double")), 12).alias("hit_rate"), F.round(F.sum("cost"), 6).alias("cost"), F.round(1 - F.avg(F.col("error").cast("double")), 12).alias("success_rate"), F.round((5 - F.avg("cost")) * F.count(F.lit(1)), 6).alias("savings"))
 
 
 MBAND = "CASE WHEN confidence >= 0.9 THEN 'excellent' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.65 THEN 'good' WHEN confidence >= 0.5 THEN 'medium' WHEN confidence >= 0.3 THEN 'low' ELSE 'poor' END"
@@ -45,9 +45,9 @@ def top_errors(t):
     return t.events.where("event_type = 'error'").groupBy(F.col("props").alias("message")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "message").limit(10)
 
 
-@query(f"WITH {METRICS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(avg(CASE WHEN error THEN 1.0 ELSE 0.0 END), 9) AS error_rate FROM metrics GROUP BY 1")
+@query(f"WITH {METRICS_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(avg(CASE WHEN error THEN 1.0 ELSE 0.0 END), 12) AS error_rate FROM metrics GROUP BY 1")
 def daily_error_rate(t):
-    return metrics(t).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("error").cast("double")), 9).alias("error_rate"))
+    return metrics(t).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("error").cast("double")), 12).alias("error_rate"))
 
 
 @query(f"WITH {METRICS_SQL}, p AS (SELECT kind AS source, avg(confidence) AS c, avg(time_ms) AS t, sum(cost) AS k, count(*) AS n FROM metrics GROUP BY 1) SELECT source, round(c, 9) AS confidence, round(t, 6) AS time_ms, round(k, 6) AS cost, n, round(n / (t / 1000), 4) AS items_per_s, round(k / n, 8) AS cost_per_item, concat_ws(',', CASE WHEN c < 0.6 THEN 'accuracy' END, CASE WHEN t > 500 THEN 'speed' END) AS recommendations FROM p")
@@ -62,10 +62,10 @@ def daily_service_cost(t):
     return metrics(t).groupBy(F.col("kind").alias("service")).agg(F.round(F.coalesce(F.sum(F.when(day, F.col("cost"))), F.sum("cost")), 6).alias("cost"))
 
 
-@query(f"WITH {FEEDBACK_SQL}, r AS (SELECT * FROM feedback WHERE ts > (SELECT max(ts) FROM feedback) - INTERVAL 10 DAY) SELECT (SELECT count(*) FROM feedback) AS total, (SELECT count(*) FROM feedback WHERE kind = 'correction') AS corrections, (SELECT count(DISTINCT account) FROM feedback) AS accounts, round((SELECT avg(CASE WHEN kind = 'confirmation' THEN 1.0 ELSE 0.0 END) FROM r), 9) AS recent_accuracy")
+@query(f"WITH {FEEDBACK_SQL}, r AS (SELECT * FROM feedback WHERE ts > (SELECT max(ts) FROM feedback) - INTERVAL 10 DAY) SELECT (SELECT count(*) FROM feedback) AS total, (SELECT count(*) FROM feedback WHERE kind = 'correction') AS corrections, (SELECT count(DISTINCT account) FROM feedback) AS accounts, round((SELECT avg(CASE WHEN kind = 'confirmation' THEN 1.0 ELSE 0.0 END) FROM r), 12) AS recent_accuracy")
 def learning_stats(t):
     f = feedback(t)
-    r = recent(f, 10).agg(F.round(F.avg((F.col("kind") == "confirmation").cast("double")), 9).alias("recent_accuracy"))
+    r = recent(f, 10).agg(F.round(F.avg((F.col("kind") == "confirmation").cast("double")), 12).alias("recent_accuracy"))
     return f.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("kind") == "correction").alias("corrections"), F.countDistinct("account").alias("accounts")).join(F.broadcast(r), how="cross")
 
 
@@ -80,14 +80,14 @@ def conflict_analysis(t):
     return p.groupBy("user_id").agg(F.count(F.lit(1)).alias("accounts"), (F.count(F.lit(1)) > 3).alias("conflict"), F.max_by("account", F.struct("n", "account")).alias("recommended"))
 
 
-@query(f"WITH {ITEMS_SQL} SELECT supplier, count(*) AS n, array_to_string(list_sort(list(DISTINCT account)), ',') AS accounts, round(avg(rate), 9) AS rate FROM items GROUP BY 1")
+@query(f"WITH {ITEMS_SQL} SELECT supplier, count(*) AS n, array_to_string(list_sort(list(DISTINCT account)), ',') AS accounts, round(avg(rate), 12) AS rate FROM items GROUP BY 1")
 def context_statistics(t):
-    return invoice_items(t).groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("account")), ",").alias("accounts"), F.round(F.avg("rate"), 9).alias("rate"))
+    return invoice_items(t).groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("account")), ",").alias("accounts"), F.round(F.avg("rate"), 12).alias("rate"))
 
 
-@query(f"WITH {METRICS_SQL} SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS INT) AS hour, count(*) AS n, round(sum(time_ms), 4) AS time_ms, round(avg(confidence), 9) AS confidence, count(*) FILTER (confidence > 0.8) AS high, count(*) FILTER (confidence < 0.5) AS low FROM metrics GROUP BY 1, 2, 3")
+@query(f"WITH {METRICS_SQL} SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS INT) AS hour, count(*) AS n, round(sum(time_ms), 4) AS time_ms, round(avg(confidence), 12) AS confidence, count(*) FILTER (confidence > 0.8) AS high, count(*) FILTER (confidence < 0.5) AS low FROM metrics GROUP BY 1, 2, 3")
 def hourly_facts(t):
-    return metrics(t).groupBy("user_id", F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("time_ms"), 4).alias("time_ms"), F.round(F.avg("confidence"), 9).alias("confidence"), F.count_if(F.col("confidence") > 0.8).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"))
+    return metrics(t).groupBy("user_id", F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("time_ms"), 4).alias("time_ms"), F.round(F.avg("confidence"), 12).alias("confidence"), F.count_if(F.col("confidence") > 0.8).alias("high"), F.count_if(F.col("confidence") < 0.5).alias("low"))
 
 
 @query(f"WITH {ITEMS_SQL}, c AS (SELECT supplier, account, count(*) AS n FROM items GROUP BY 1, 2) SELECT supplier, account, n, round(n / sum(n) OVER (PARTITION BY supplier), 9) AS probability FROM c")
@@ -138,9 +138,9 @@ def analyze_results(t):
     return d.agg(F.countDistinct("o_orderkey").alias("documents"), F.sum(F.coalesce("k", F.lit(0))).alias("classifications")).withColumn("per_document", F.round(F.col("classifications") / F.col("documents"), 9))
 
 
-@query(f"WITH {METRICS_SQL} SELECT user_id % 10 AS batch, count(*) FILTER (NOT error) AS ok, count(*) FILTER (error) AS failed, round(avg(time_ms), 6) AS time_ms, round(avg(CASE WHEN error THEN 0.0 ELSE 1.0 END), 9) AS success_rate, concat_ws(',', CASE WHEN avg(confidence) < 0.5 THEN 'efficiency' END, CASE WHEN avg(time_ms) > 500 THEN 'time' END, CASE WHEN avg(CASE WHEN cache_hit THEN 1.0 ELSE 0.0 END) < 0.3 THEN 'hit rate' END) AS insights FROM metrics GROUP BY 1")
+@query(f"WITH {METRICS_SQL} SELECT user_id % 10 AS batch, count(*) FILTER (NOT error) AS ok, count(*) FILTER (error) AS failed, round(avg(time_ms), 9) AS time_ms, round(avg(CASE WHEN error THEN 0.0 ELSE 1.0 END), 12) AS success_rate, concat_ws(',', CASE WHEN avg(confidence) < 0.5 THEN 'efficiency' END, CASE WHEN avg(time_ms) > 500 THEN 'time' END, CASE WHEN avg(CASE WHEN cache_hit THEN 1.0 ELSE 0.0 END) < 0.3 THEN 'hit rate' END) AS insights FROM metrics GROUP BY 1")
 def batch_metrics(t):
-    return metrics(t).groupBy((F.col("user_id") % 10).alias("batch")).agg(F.count_if(~F.col("error")).alias("ok"), F.count_if("error").alias("failed"), F.round(F.avg("time_ms"), 6).alias("time_ms"), F.round(F.avg((~F.col("error")).cast("double")), 9).alias("success_rate"), F.concat_ws(",", F.when(F.avg("confidence") < 0.5, "efficiency"), F.when(F.avg("time_ms") > 500, "time"), F.when(F.avg(F.col("cache_hit").cast("double")) < 0.3, "hit rate")).alias("insights"))
+    return metrics(t).groupBy((F.col("user_id") % 10).alias("batch")).agg(F.count_if(~F.col("error")).alias("ok"), F.count_if("error").alias("failed"), F.round(F.avg("time_ms"), 9).alias("time_ms"), F.round(F.avg((~F.col("error")).cast("double")), 12).alias("success_rate"), F.concat_ws(",", F.when(F.avg("confidence") < 0.5, "efficiency"), F.when(F.avg("time_ms") > 500, "time"), F.when(F.avg(F.col("cache_hit").cast("double")) < 0.3, "hit rate")).alias("insights"))
 
 
 @query(f"WITH {METRICS_SQL} SELECT user_id, round(coalesce(avg(CASE WHEN cache_hit THEN 1.0 ELSE 0.0 END), 0), 9) AS hit_ratio, round(sum(cost) / greatest(1, count(*) FILTER (NOT error)), 8) AS cost_per_success FROM metrics GROUP BY 1")

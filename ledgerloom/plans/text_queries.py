@@ -202,10 +202,10 @@ def date_features(t):
     return t.orders.select("o_orderkey", F.year(d).alias("y"), m.alias("m"), F.day(d).alias("d"), F.weekday(d).alias("weekday"), F.weekofyear(d).alias("week"), F.quarter(d).alias("q"), F.when(m.isin(12, 1, 2), "winter").when(m <= 5, "spring").when(m <= 8, "summer").otherwise("autumn").alias("season"), ((m == 12) & F.day(d).between(10, 26)).alias("near_christmas"))
 
 
-@query("SELECT l_orderkey, round(sum(e), 2) AS total, round(max(p), 8) AS high, round(min(p), 8) AS low, round(max(p) - min(p), 9) AS span, round(avg(CASE WHEN p > 1000 THEN 1.0 ELSE 0.0 END), 9) AS costly FROM (SELECT l_orderkey, l_extendedprice AS e, l_extendedprice / l_quantity AS p FROM lineitem) GROUP BY 1")
+@query("SELECT l_orderkey, round(sum(e), 2) AS total, round(max(p), 8) AS high, round(min(p), 8) AS low, round(max(p) - min(p), 9) AS span, round(avg(CASE WHEN p > 1000 THEN 1.0 ELSE 0.0 END), 12) AS costly FROM (SELECT l_orderkey, l_extendedprice AS e, l_extendedprice / l_quantity AS p FROM lineitem) GROUP BY 1")
 def pricing_features(t):
     p = F.try_divide("l_extendedprice", "l_quantity")
-    return t.lineitem.withColumn("p", p).groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.max("p"), 8).alias("high"), F.round(F.min("p"), 8).alias("low"), F.round(F.max("p") - F.min("p"), 9).alias("span"), F.round(F.avg((F.col("p") > 1000).cast("double")), 9).alias("costly"))
+    return t.lineitem.withColumn("p", p).groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("total"), F.round(F.max("p"), 8).alias("high"), F.round(F.min("p"), 8).alias("low"), F.round(F.max("p") - F.min("p"), 9).alias("span"), F.round(F.avg((F.col("p") > 1000).cast("double")), 12).alias("costly"))
 
 
 @query("WITH s AS (SELECT l_orderkey, p_type AS c, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) SELECT l_orderkey, arg_max(c, (n, c)) AS dominant, count(*) AS diversity, max(n) AS most, sum(n) AS items FROM s GROUP BY 1")
