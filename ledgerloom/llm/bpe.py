@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import table
+from .common import held, table
 
 #: Words and white-space free chunks that a worker remembers; when there are more, it starts anew.
 MEMORY = 250_000
@@ -169,15 +169,8 @@ class WordBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[int, WordBpe] = {}
-
-
 def _tokenizer(shared) -> WordBpe:
-    key = hash(shared.value)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(shared.value)
-    return _LOADED[key]
+    return held(("words", hash(shared.value)), lambda: WordBpe(shared.value))
 
 
 def text_groups(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:

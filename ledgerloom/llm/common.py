@@ -67,3 +67,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What make() returns, kept in this Python worker for the next task; only the last key's value is kept.
+
+    Workers serve one operator after another, so the memory of an earlier
+    model is given back when the next one is loaded.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

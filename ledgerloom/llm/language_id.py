@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import text_groups
-from .common import table
+from .common import held, table
 
 MAX_TRAIN = 20_000
 MAX_WORDS = 100_000
@@ -133,9 +133,6 @@ class Scorer:
         return out
 
 
-_LOADED: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the language and score of each whole text, in columns of the given names.
 
@@ -150,10 +147,7 @@ def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str =
     place = base.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Scorer(shared.value)
-        scorer = _LOADED[key]
+        scorer = held(key, lambda: Scorer(shared.value))
         for b in batches:
             texts = b.column(place)
             for lo, hi in text_groups(texts):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
-from .common import table
+from .common import held, table
 from .language_id import fold
 from .textnum import utf8
 
@@ -140,9 +140,6 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(positive, unlabelled, prior)
 
 
-_LOADED: dict[str, Model] = {}
-
-
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 from the threshold on) of each whole text.
 
@@ -155,12 +152,10 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     key = uuid4().hex
 
     def run(batches):
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Model(*shared.value)
+        model_here = held(key, lambda: Model(*shared.value))
         for b in batches:
             x = np.array([features(t) for t in b.column(place).to_pylist()], float).reshape(-1, len(NAMES))
-            s = _LOADED[key].scores(x)
+            s = model_here.scores(x)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     return base.mapInArrow(run, StructType([*base.schema.fields]).add("score", "double").add("predicted", IntegerType()))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet, text_groups
-from .common import scratch, table
+from .common import held, scratch, table
 
 END_ID = 2
 #: Parts of texts that a worker remembers with their ids; when there are more, they become the older ones, and those before are forgotten.
@@ -34,7 +34,6 @@ _DOUBLE = ("  ", " \n", "\n ")
 _RARE = ("\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 _WIDE = re.compile("[\u1680-\uffff]")
 _POINTS = tuple(".,!?;:")
-_LOADED: dict[int, tuple] = {}
 
 
 def regular(text: str) -> bool:
@@ -120,11 +119,7 @@ class Pieces:
 
 def _pieces(shared) -> Pieces:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hash(shared.value)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Pieces(shared.value)
-    return _LOADED[key]
+    return held(("bytes", hash(shared.value)), lambda: Pieces(shared.value))
 
 
 def token_rows(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID) -> DataFrame:
