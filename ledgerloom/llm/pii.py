@@ -145,14 +145,16 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
 def likely(found: DataFrame) -> DataFrame:
     """(value, shape, kind): the candidates that the pattern graph takes for identifiers.
 
-    A pattern is a word before or after with the string's shape. Edges of the
+    A pattern is a word before or after with the string's shape; a string at an
+    end of its text has the word of its other side only. Edges of the
     graph are distinct (pattern, string) pairs, so a string or a passage that
     is copied thousands of times counts once. Each round scores patterns by
     their strings and strings by their patterns.
     """
     m = found.select(F.explode("mentions").alias("m")).select("m.*")
-    pattern = F.explode(F.array(F.concat_ws("\u0001", F.lit("l"), "left", "shape"), F.concat_ws("\u0001", F.lit("r"), "right", "shape"))).alias("pattern")
-    edges = cut(m.where("left <> '^' AND right <> '^'").select(pattern, "value", "shape", "kind").distinct())
+    sides = F.explode(F.array(*(F.struct(F.lit(side[0]).alias("side"), F.col(side).alias("word")) for side in ("left", "right")))).alias("s")
+    pattern = F.concat_ws("\u0001", "s.side", "s.word", "shape").alias("pattern")
+    edges = cut(m.select(sides, "value", "shape", "kind").where("s.word <> '^'").select(pattern, "value", "shape", "kind").distinct())
     kinds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("n"))
     kinds = kinds.where(F.col("n") >= LEAST_SEEDS).groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("pattern_kind"))
     graph = cut(edges.join(kinds, "pattern"))

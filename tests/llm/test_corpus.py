@@ -206,6 +206,16 @@ def test_pii_bootstrap(spark):
     assert {r.doc_id: r.text for r in masked.collect()}[3] == "please call [PHONE] today"
 
 
+def test_pii_text_ends(spark):
+    rows = [(i, f"{['please call', ''][i % 2]} +49 30 1234 56{i:02d} {['', 'answers'][i % 2]}".strip()) for i in range(40)]
+    rows += [(90, "please call +0 30 1234 90123456789011"), (91, "+0 30 1234 90123456789012 answers"), (92, "+0 30 1234 90123456789013")]
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(found[i].base for i in (90, 91, 92))
+    assert [tuple(s) for s in found[90].spans] == [("phone", 12, 37)]
+    assert [tuple(s) for s in found[91].spans] == [("phone", 0, 25)]
+    assert not found[92].spans
+
+
 def test_language_id(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.train(d.where(language_id.fold("doc_id", 5) != 0))
