@@ -1,13 +1,14 @@
 """Personal data by patterns of form and by bootstrapped context.
 
 Four kinds have a form of their own: e-mail and IP addresses, payment cards,
-phone numbers. They are the seeds. The words around a seed, with its shape, are
-lexical patterns; a graph joins patterns with the strings that occur in them.
-Spark scores that graph in rounds: a pattern is as good as the share of known
-identifiers among its strings, a string as likely as one of its patterns is
-right. Strings that only look like identifiers (digit runs that fail a check,
-addresses with odd characters) and occur in patterns of high confidence are
-added as spans. Spans of the forms always stay.
+phone numbers. They are the seeds. The words around a seed, with its shape and
+without, are lexical patterns; a graph joins patterns with the strings that
+occur in them. Spark scores that graph in rounds: a pattern is as good as the
+share of known identifiers among its strings, a string as likely as one of its
+patterns is right, and a string that is accepted makes patterns like a seed.
+Strings that only look like identifiers (national phone numbers, digit runs that
+fail a check, addresses with odd characters) and occur in patterns of high
+confidence are added as spans. Spans of the forms always stay.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: A pattern counts from so many distinct seeds on, and shrinks its score by PRIOR strings that are none.
+#: A pattern counts from so many distinct seeds or accepted strings on, and shrinks its score by PRIOR strings that are none.
 LEAST_SEEDS, PRIOR = 3, 2.0
 #: A candidate is added from this likelihood on.
 ACCEPT = 0.8
@@ -143,31 +144,42 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def likely(found: DataFrame) -> DataFrame:
-    """(value, shape, kind): the candidates that the pattern graph takes for identifiers.
-
-    A pattern is a word before or after with the string's shape; a string at an
-    end of its text has the word of its other side only. Edges of the
-    graph are distinct (pattern, string) pairs, so a string or a passage that
-    is copied thousands of times counts once. Each round scores patterns by
-    their strings and strings by their patterns.
+    """(value, kind): the candidates that the pattern graph takes for identifiers.
+
+    A context is the word before, the word after or the pair of both, with or
+    without an @ in the string; a pattern is a context of any shape, or one of a
+    single word with the string's shape. A string at an end of its text has the
+    word of its other side only. Edges of the graph are distinct (pattern,
+    string) pairs, so a string or a passage that is copied thousands of times
+    counts once. Each round takes the patterns anew from the seeds and the
+    strings accepted so far, and scores patterns by the share of these and strings,
+    for each kind, by the best pattern of each of their contexts. Strings not yet
+    accepted add their scores to patterns with a shape only, so that strings of
+    any shape cannot lift one another.
     """
     m = found.select(F.explode("mentions").alias("m")).select("m.*")
-    sides = F.explode(F.array(*(F.struct(F.lit(side[0]).alias("side"), F.col(side).alias("word")) for side in ("left", "right")))).alias("s")
-    pattern = F.concat_ws("\u0001", "s.side", "s.word", "shape").alias("pattern")
-    edges = cut(m.select(sides, "value", "shape", "kind").where("s.word <> '^'").select(pattern, "value", "shape", "kind").distinct())
-    kinds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("n"))
-    kinds = kinds.where(F.col("n") >= LEAST_SEEDS).groupBy("pattern").agg(F.max_by("kind", F.struct("n", "kind")).alias("pattern_kind"))
-    graph = cut(edges.join(kinds, "pattern"))
-    scores = graph.select("value", "kind", F.when(F.col("kind").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0)).alias("score")).distinct()
+    form = F.when(F.contains("value", F.lit("@")), "@").otherwise("0")
+    word = {side: F.when(F.col(side) != "^", F.col(side)) for side in ("left", "right")}
+    context = F.array_compact(F.array(*(F.when(w.isNotNull(), F.concat_ws("\u0001", F.lit(side), form, w)) for side, w in (("l", word["left"]), ("r", word["right"]), ("p", F.concat(word["left"], F.lit("\u0001"), word["right"]))))))
+    contexts = m.select(F.explode(context).alias("context"), "value", "shape", "kind").distinct()
+    shaped = F.when(~F.startswith("context", F.lit("p")), F.concat_ws("\u0001", "context", "shape"))
+    edges = cut(contexts.select(F.explode(F.array_compact(F.array("context", shaped))).alias("pattern"), "context", "value", "kind"))
+    strings = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") >= LEAST_SEEDS))
+    seeds = cut(edges.where("kind IS NOT NULL").select("value", "kind", F.col("kind").alias("likely_kind"), F.lit(1.0).alias("score")).distinct())
+    scores = seeds
     for _ in range(ROUNDS):
-        linked = graph.join(scores.select(F.col("value").alias("v"), F.col("kind").alias("k"), "score"), F.expr("value = v AND kind <=> k"))
-        strength = linked.groupBy("pattern").agg((F.sum(F.when(F.col("kind").isNull() | (F.col("kind") == F.col("pattern_kind")), F.col("score")).otherwise(F.lit(0.0))) / (F.count(F.lit(1)) + PRIOR)).alias("strength"))
+        known = scores.select(F.col("value").alias("v"), F.col("kind").alias("k"), "likely_kind", "score")
+        linked = edges.join(known, F.expr("value = v AND kind <=> k"))
+        sure, has_shape = F.col("score") >= ACCEPT, F.col("pattern") != F.col("context")
+        sums = linked.groupBy("pattern", "likely_kind").agg(F.count_if(sure).alias("n"), F.sum(F.when(sure | has_shape, F.col("score")).otherwise(F.lit(0.0))).alias("right"))
+        best = sums.where(F.col("n") >= LEAST_SEEDS).groupBy("pattern").agg(F.max_by(F.struct("likely_kind", "right"), F.struct("n", "likely_kind")).alias("best"))
+        patterns = cut(best.join(strings, "pattern").select("pattern", "best.likely_kind", (F.col("best.right") / (F.col("strings") + PRIOR)).alias("strength")))
+        by_context = edges.where("kind IS NULL").join(patterns, "pattern").groupBy("value", "likely_kind", "context").agg(F.max("strength").alias("strength"))
         doubt = F.log(F.greatest(1 - F.col("strength"), F.lit(1e-9)))
-        by_value = graph.join(strength, "pattern").where("kind IS NULL").groupBy("value").agg((1 - F.exp(F.sum(doubt))).alias("score"))
-        seeds = graph.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-        scores = cut(seeds.unionByName(by_value.select("value", F.lit(None).cast("string").alias("kind"), "score")))
-    good = scores.where(F.col("kind").isNull() & (F.col("score") >= ACCEPT)).select("value")
-    return graph.where("kind IS NULL").join(good, "value").groupBy("value").agg(F.min_by("pattern_kind", F.struct("pattern_kind")).alias("kind"))
+        by_value = by_context.groupBy("value", "likely_kind").agg((1 - F.exp(F.sum(doubt))).alias("score"))
+        scores = cut(seeds.unionByName(by_value.select("value", F.lit(None).cast("string").alias("kind"), "likely_kind", "score")))
+    good = scores.where(F.col("kind").isNull() & (F.col("score") >= ACCEPT))
+    return good.groupBy("value").agg(F.max_by("likely_kind", F.struct("score", "likely_kind")).alias("kind"))
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:

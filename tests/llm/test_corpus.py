@@ -206,6 +206,19 @@ def test_pii_bootstrap(spark):
     assert {r.doc_id: r.text for r in masked.collect()}[3] == "please call [PHONE] today"
 
 
+def test_pii_unseen_shapes(spark):
+    rows = [(i, f"please call +4930123456{i:02d} today") for i in range(20)] + [(90, "please call 030 998 877 66 today"), (91, "the year 1999 was 12345678 long"), (92, "badge 4711 0815 77 issued")]
+    national = [f"0{i}0 554 43{i}" for i in range(2, 6)]
+    rows += [(20 + i, f"please call {n} today or ask under {n} anytime") for i, n in enumerate(national)]
+    rows += [(93, "ask under 0771 23 45 67 anytime")]
+    rows += [(30 + i, f"number {n} noted") for i, n in enumerate(["+49301234501", "+49301234502", "+49301234503", *(f"{k}00 200 {k}" for k in range(10, 40))])]
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not found[90].base and [tuple(s) for s in found[90].spans] == [("phone", 12, 26)]
+    assert all(len(found[20 + i].spans) == 2 for i in range(4))
+    assert [s.kind for s in found[93].spans] == ["phone"], "only accepted strings share its patterns"
+    assert not any(found[i].spans for i in (91, 92, *range(33, 63)))
+
+
 def test_pii_text_ends(spark):
     rows = [(i, f"{['please call', ''][i % 2]} +49 30 1234 56{i:02d} {['', 'answers'][i % 2]}".strip()) for i in range(40)]
     rows += [(90, "please call +0 30 1234 90123456789011"), (91, "+0 30 1234 90123456789012 answers"), (92, "+0 30 1234 90123456789013")]
