@@ -150,6 +150,17 @@ def learned_patterns(t):
     return p.select("supplier", "account", "description", "n", F.round("boost", 4).alias("boost"), F.round("price_min", 8).alias("price_min"), F.round("price_max", 8).alias("price_max"))
 
 
+RETURNED_SQL = ITEMS_SQL[:-1] + " WHERE l_returnflag = 'R')"
+
+
+@query(f"WITH {RETURNED_SQL}, {PATTERNS_SQL.replace(' WHERE (invoice_id + position) % 7 = 0', '')} SELECT supplier, account, d AS description, n, round(boost, 4) AS boost, round(0.8 * first_price, 8) AS price_min, round(1.2 * first_price, 8) AS price_max FROM patterns")
+def returned_patterns(t):
+    """learned_patterns with every returned line as a correction."""
+    i = invoice_items(t, t.lineitem.where("l_returnflag = 'R'"))
+    p = R.learn_patterns(i.select("supplier", "account", "description", "price", F.col("shipped").alias("ts"), F.struct("invoice_id", "position", "l_partkey", "net").alias("feedback_id")))
+    return p.select("supplier", "account", "description", "n", F.round("boost", 4).alias("boost"), F.round("price_min", 8).alias("price_min"), F.round("price_max", 8).alias("price_max"))
+
+
 @query(f"""WITH {CLASSIFIED_SQL}, {PATTERNS_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY invoice_id, position, l_partkey, l_suppkey, net, quantity, rate, shipped) AS id FROM classified),
  met AS (SELECT c.id, p.account AS pa, c.account, p.boost, p.n, row_number() OVER (PARTITION BY c.id ORDER BY p.n DESC, p.account, lower(p.d)) AS r FROM numbered c JOIN patterns p ON c.supplier = p.supplier AND c.price BETWEEN 0.8 * p.first_price AND 1.2 * p.first_price AND contains(lower(c.description), lower(p.d))),
  total AS (SELECT id, sum(CASE WHEN pa = account THEN boost * n / 10 ELSE -0.1 * boost END) AS change FROM met WHERE r <= 3 GROUP BY 1)

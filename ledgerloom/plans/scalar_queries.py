@@ -108,6 +108,12 @@ def full_text(t):
     return t.documents.select("doc_id", F.coalesce(F.nullif(raw, F.lit("")), F.concat_ws("\n", "lang", "source")).alias("full_text"))
 
 
+@query("SELECT doc_id, coalesce(nullif(text, ''), concat_ws(chr(10), lang, source)) AS full_text FROM documents")
+def full_text_all(t):
+    """full_text with the text of every document."""
+    return t.documents.select("doc_id", F.coalesce(F.nullif("text", F.lit("")), F.concat_ws("\n", "lang", "source")).alias("full_text"))
+
+
 @query(f"WITH {ITEMS_SQL} SELECT invoice_id, position, 'Artikel: ' || description || ' Lieferant: ' || supplier || ' Konto: ' || account AS document, count(*) AS n FROM items GROUP BY ALL")
 def vector_documents(t):
     d = invoice_items(t).select("invoice_id", "position", F.format_string("Artikel: %s Lieferant: %s Konto: %s", "description", "supplier", "account").alias("document"))

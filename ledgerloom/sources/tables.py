@@ -16,10 +16,10 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def invoice_items(t: Tables) -> DataFrame:
-    """Line items with description, quantity, price, net amount, rate, supplier and account."""
+def invoice_items(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    """Line items (or the given lines of them) with description, quantity, price, net amount, rate, supplier and account."""
     p, s = t.part, t.supplier
-    return t.lineitem.join(p, F.col("l_partkey") == p.p_partkey).join(s, F.col("l_suppkey") == s.s_suppkey).select(
+    return (t.lineitem if lines is None else lines).join(p, F.col("l_partkey") == p.p_partkey).join(s, F.col("l_suppkey") == s.s_suppkey).select(
         F.col("l_orderkey").alias("invoice_id"),
         F.col("l_linenumber").alias("position"),
         "l_partkey",
