@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
+    """The shared folder the session names in spark.checkpoint.dir; there is no other place for tables between steps."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = sc._jsc.sc().getCheckpointDir().get()
+    return named
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,7 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the checkpoint folder and goes on from there."""
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that cut wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        remove_path(t.sparkSession, t._scratch_path)
 
 
 #: Ids that are broadcast at most: 16 MB of longs.

@@ -1,19 +1,20 @@
 """Language identification: words first, then ever shorter character n-grams.
 
 A known word scores its log frequency in each language. A word that training
-did not keep falls back to its 4-grams (with word ends marked), if none of them
+has not seen falls back to its 4-grams (with word ends marked), if none of them
 is known to its 3-grams, and so on. A text's score is the posterior of its best
 language under equal priors.
 
-Training counts in Spark over at most MAX_TRAIN labelled documents, those with
-the lowest hashes; the model keeps the MAX_WORDS most frequent words and the
-MAX_GRAMS most frequent n-grams, so its size (some 10 MB) does not grow with
-the corpus and it may be broadcast.
+Training counts in Spark over a bounded sample of the labelled documents, those
+with the lowest hashes: MAX_TRAIN of them, or fewer, halved until the model has
+MAX_UNITS words and n-grams at most. The model keeps every word and n-gram of
+its sample, so its size is bounded by MAX_UNITS and it may be broadcast.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
 
@@ -24,104 +25,142 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import text_groups
-from .common import held, table
+from .common import cut, discard, held, table
 
-MAX_TRAIN = 20_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 100_000
+MAX_TRAIN = 10_000
+MAX_UNITS = 1_500_000
 LONGEST = 4
 SMOOTH = 0.5
 UNDETERMINED = "und"
 #: Below this posterior the corpus pipeline rejects a document.
 LEAST_SCORE = 0.5
-#: Words whose scores a worker remembers.
-MEMORY = 250_000
+#: Log frequencies of unseen words that a worker remembers, over all languages.
+MEMORY = 1_000_000
 FOLDS, HELD_OUT = 5, 0
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters: what is alphanumeric, and neither a digit nor another number.
+_NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text: its runs of letters, lower-cased."""
+    return _WORDS.findall((text or "").lower())
 
 
 def fold(column: str, folds: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
-def _grams_of(words: DataFrame, text, n: int) -> DataFrame:
+def _word_counts(batches):
+    """(lang, unit, count) of the rows (lang, text), summed within a batch."""
+    for b in batches:
+        found: dict[str, Counter] = {}
+        for lo, hi in text_groups(b.column(1)):
+            for lang, text in zip(b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
+                found.setdefault(lang, Counter()).update(words_of(text))
+        for lang, counts in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "unit", "count"])
+
+
+def _grams_of(words: DataFrame, n: int) -> DataFrame:
+    text = F.col("unit") if n == 1 else F.concat(F.lit("<"), "unit", F.lit(">"))
     cuts = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
     return words.where(F.length(text) >= n).select("lang", "count", F.explode(cuts).alias("unit"))
 
 
-def train(docs: DataFrame) -> dict:
+def _logs(counts: DataFrame, totals, langs: list[str]) -> pa.Table:
+    """(unit, logs): log frequencies of each unit by language; totals gives a language's total as a column."""
+    by = counts.groupBy("unit").agg(*(F.sum(F.when(F.col("lang") == lang, F.col("count")).otherwise(0)).alias(f"c{k}") for k, lang in enumerate(langs)))
+    logs = [F.log((F.col(f"c{k}") + F.lit(SMOOTH)) / (totals(lang) + F.lit(SMOOTH))) for k, lang in enumerate(langs)]
+    return by.select("unit", F.array(*logs).alias("logs")).toArrow()
+
+
+def train(docs: DataFrame, most: int = MAX_TRAIN) -> dict:
     """The model of docs(doc_id, text, lang): languages, and log frequencies per language of words and n-grams.
 
-    Rows without text or lang teach nothing; without any the model has no language.
+    Rows without text, lang or doc_id teach nothing; rows that share a doc_id
+    are all in the sample or none is. Without any row the model has no language.
     """
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN).distinct()
-    rows = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
-    words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("unit")).groupBy("lang", "unit").count()
-    words = words.persist()
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
+    while True:
+        chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+        sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+        words = cut(sample.mapInArrow(_word_counts, "lang string, unit string, count long").groupBy("lang", "unit").agg(F.sum("count").alias("count")))
+        grams = _grams_of(words, 1)
+        for n in range(2, LONGEST + 1):
+            grams = grams.unionByName(_grams_of(words, n))
+        grams = cut(grams.groupBy("lang", "unit").agg(F.sum("count").alias("count")))
+        if most == 1 or words.select("unit").distinct().count() + grams.select("unit").distinct().count() <= MAX_UNITS:
+            break
+        discard(words, grams)
+        most //= 2
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
+    sums = {(r.lang, r.length): r.n for r in grams.groupBy("lang", F.length("unit").alias("length")).agg(F.sum("count").alias("n")).collect()}
     langs = sorted(totals)
-    marked = F.concat(F.lit("<"), "unit", F.lit(">"))
-    grams = []
-    for n in range(1, LONGEST + 1):
-        grams.append(_grams_of(words, F.col("unit") if n == 1 else marked, n))
-    all_grams = grams[0]
-    for g in grams[1:]:
-        all_grams = all_grams.unionByName(g)
-    all_grams = all_grams.groupBy("lang", "unit").agg(F.sum("count").alias("count"))
-
-    def top(counts: DataFrame, most: int) -> list:
-        by = counts.groupBy("unit").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-        return by.where("n > 1").orderBy(F.desc("n"), "unit").limit(most).collect()
-
-    kept_words, kept_grams = top(words, MAX_WORDS), top(all_grams, MAX_GRAMS)
-    words.unpersist()
-    gram_totals = {(lang, n): SMOOTH for lang in langs for n in range(1, LONGEST + 1)}
-    for r in kept_grams:
-        for lang, c in r.by.items():
-            gram_totals[lang, len(r.unit)] += c
-
-    def logs(r, total) -> list[float]:
-        return [float(np.log((r.by.get(lang, 0) + SMOOTH) / (total(lang) + SMOOTH))) for lang in langs]
-
-    return {
-        "langs": langs,
-        "words": {r.unit: logs(r, lambda lang: totals[lang]) for r in kept_words},
-        "grams": {r.unit: logs(r, lambda lang, n=len(r.unit): gram_totals[lang, n]) for r in kept_grams},
-    }
+    if not langs:
+        discard(words, grams)
+        return {"langs": [], "words": None, "grams": None}
+
+    def gram_total(lang: str):
+        of = F.lit(SMOOTH)
+        for n in range(1, LONGEST + 1):
+            of = F.when(F.length("unit") == n, F.lit(sums.get((lang, n), 0) + SMOOTH)).otherwise(of)
+        return of
+
+    model = {"langs": langs, "words": _ipc(_logs(words, lambda lang: F.lit(float(totals[lang])), langs)), "grams": _ipc(_logs(grams, gram_total, langs))}
+    discard(words, grams)
+    return model
+
+
+def _ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as writer:
+        writer.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _units(raw: bytes | None, width: int) -> tuple[dict[str, int], np.ndarray]:
+    if raw is None:
+        return {}, np.zeros((0, width))
+    t = pa.ipc.open_stream(raw).read_all()
+    logs = t.column("logs").combine_chunks()
+    logs = logs.chunk(0) if isinstance(logs, pa.ChunkedArray) else logs
+    return {u: k for k, u in enumerate(t.column("unit").to_pylist())}, logs.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 class Scorer:
+    """A model as a table of log frequencies and the places of its words, and of the unseen words scored last."""
+
     def __init__(self, model: dict):
-        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.clear()
-
-    def clear(self):
-        self.place: dict[str, int] = {}
-        self.rows: list = []
-        self.table = np.zeros((0, len(self.langs)))
-
-    def word(self, w: str) -> list[float]:
-        known = self.words.get(w)
-        if known is not None:
-            return known
+        self.langs = model["langs"]
+        self.width = max(1, len(self.langs))
+        self.known, self.table = _units(model["words"], self.width)
+        self.grams, self.gram_logs = _units(model["grams"], self.width)
+        self.place = dict(self.known)
+
+    def backed_off(self, w: str) -> np.ndarray:
+        """The scores of an unseen word: the mean over its longest known n-grams."""
         for n in range(LONGEST, 0, -1):
             text = w if n == 1 else f"<{w}>"
             found = [g for i in range(len(text) - n + 1) if (g := self.grams.get(text[i : i + n])) is not None]
             if found:
-                return [sum(x) / len(found) for x in zip(*found, strict=True)]
-        return [0.0] * len(self.langs)
+                return self.gram_logs[found].sum(axis=0) / len(found)
+        return np.zeros(self.width)
+
+    def _learn(self, words: set[str]) -> None:
+        if (len(self.place) - len(self.known)) * self.width > MEMORY:
+            self.place = dict(self.known)
+        new = [w for w in words if w not in self.place]
+        at = len(self.place)
+        if at + len(new) > len(self.table):
+            self.table = np.vstack([self.table[:at], np.zeros((len(new) + MEMORY // self.width, self.width))])
+        for k, w in enumerate(new, at):
+            self.table[k] = self.backed_off(w)
+            self.place[w] = k
 
     def score(self, texts: list) -> list[tuple[str, float]]:
-        split = [_WORDS.findall((t or "").lower()) for t in texts]
-        if len(self.place) > MEMORY:
-            self.clear()
-        new = set().union(*split).difference(self.place)
-        for w in new:
-            self.place[w] = len(self.rows)
-            self.rows.append(self.word(w))
-        if new:
-            self.table = np.vstack([self.table, np.array(self.rows[len(self.table) :], float).reshape(-1, len(self.langs))])
+        split = list(map(words_of, texts))
+        self._learn(set().union(*split))
         out = []
         for words in split:
             if not words or not self.langs:
@@ -133,18 +172,18 @@ class Scorer:
         return out
 
 
-def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str = "score", text: str = "text") -> DataFrame:
     """docs with the language and score of each whole text, in columns of the given names.
 
     A text that is null, empty or without a letter is `und` with score 0, as is
     any text under a model without languages. On ties the first language by
-    name wins. Rows and all other columns stay; columns named as the results are
-    replaced.
+    name wins. Rows and all other columns stay, repeated rows too; columns named
+    as the results are replaced. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid4().hex
     base = docs.drop(lang, score)
-    place = base.columns.index("text")
+    place = base.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]):
         scorer = held(key, lambda: Scorer(shared.value))
@@ -159,6 +198,11 @@ def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str =
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document, learnt from the labelled rows of the other folds.
+
+    A row without doc_id is held out. Null, empty and letterless texts are
+    `und`; repeated rows are predicted alike; an empty table gives no row.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(fold("doc_id", FOLDS) != HELD_OUT).select("doc_id", "text", "lang"))
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(True))

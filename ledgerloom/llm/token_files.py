@@ -26,6 +26,8 @@ from .common import held, scratch, table
 END_ID = 2
 #: Parts of texts that a worker remembers with their ids; when there are more, they become the older ones, and those before are forgotten.
 MEMORY = 400_000
+#: Text that is encoded at a time: the larger, the fewer look-ups of a common part.
+GROUP_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1 << 20, 2_000
 #: A blank at an end or beside other white space.
 _IRREGULAR = re.compile(r"^\s|\s$| \s|\s ")
@@ -89,22 +91,20 @@ class Pieces:
 
     def _learn(self, new: set[str]) -> None:
         known, older, rest = self.known, self.older, []
-        for p in new:
-            found = older.get(p)
-            if found is None:
-                core = p[1:] if p[0] == " " else p
-                if core.isalpha():
-                    found = self._word(p)
-                elif core[-1:] in _POINTS and core[:-1].isalpha():
-                    stem, point = p[:-1], p[-1]
-                    for q in (stem, point):
-                        if q not in known:
-                            known[q] = older.get(q) or self._word(q)
-                    found = known[stem] + known[point]
-                else:
-                    rest.append(p)
-                    continue
-            known[p] = found
+        again = older.keys() & new
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        for p in new - again:
+            core = p[1:] if p[0] == " " else p
+            if core.isalpha():
+                known[p] = self._word(p)
+            elif core[-1:] in _POINTS and core[:-1].isalpha():
+                stem, point = p[:-1], p[-1]
+                for q in (stem, point):
+                    if q not in known:
+                        known[q] = older.get(q) or self._word(q)
+                known[p] = known[stem] + known[point]
+            else:
+                rest.append(p)
         for lo in range(0, len(rest), 10_000):
             some = rest[lo : lo + 10_000]
             known.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
@@ -113,7 +113,7 @@ class Pieces:
         parts = list(map(self.split, texts))
         if len(self.known) > MEMORY:
             self.older, self.known = self.known, {}
-        self._learn(set().union(*parts).difference(self.known))
+        self._learn(set().union(*parts) - self.known.keys())
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
 
@@ -132,7 +132,7 @@ def token_rows(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID
         pieces = _pieces(shared)
         for b in batches:
             texts = b.column(1)
-            for lo, hi in text_groups(texts):
+            for lo, hi in text_groups(texts, GROUP_BYTES):
                 found = [x + end for x in pieces.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in found], np.int64)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
@@ -140,7 +140,8 @@ def token_rows(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), values)], names=names)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by = base.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    first = F.col("doc_id").asc_nulls_first()
+    by = base.repartitionByRange(first, F.length("text")).sortWithinPartitions(first, F.length("text"), "text")
     return by.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>").withColumn("place", F.monotonically_increasing_id())
 
 
@@ -148,7 +149,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int |
     """Writes token_rows as Parquet files at path.
 
     Null and empty texts are written as their end id alone. Rows that repeat a
-    doc_id lie side by side, by the hash of their text; rows without doc_id come
+    doc_id lie side by side, by the length of their text and the text; rows without doc_id come
     first. Other columns are ignored.
     """
     options = {
@@ -161,6 +162,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int |
         "parquet.enable.dictionary#doc_id": "false",
         "parquet.enable.dictionary#place": "false",
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
     }
     token_rows(docs, tokenizer_json, end_id).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
