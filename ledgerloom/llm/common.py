@@ -58,7 +58,11 @@ def only_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+#: A path of n edges settles in about the logarithm of n rounds; this is beyond any table.
+MOST_ROUNDS = 1_000
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b).
 
     Every round takes the least label among neighbours and then jumps to the
@@ -70,15 +74,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     swapped = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = cut(e.union(swapped).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
-    for _ in range(max_rounds):
+    last = labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")))
+    for _ in range(MOST_ROUNDS):
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         hooked = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
         up = hooked.select(F.col("id").alias("component"), F.col("component").alias("above"))
         new = cut(hooked.join(up, "component", "left").select("id", "old", F.least("component", "above").alias("component")))
         changed = new.where("old <> component").limit(1).count()
-        labels = new.select("id", "component")
+        discard(last)
+        last, labels = new, new.select("id", "component")
         if not changed:
+            discard(both)
             return labels
     raise RuntimeError("components did not settle")
 

@@ -19,7 +19,11 @@ The steps, each a Spark job over all rows:
    leaders the one that shares most with it is verified, and what links that way
    is a class already; large groups repeat this with other leaders;
 5. all remaining pairs from different classes that share l prefix shingles are
-   verified exactly, whatever their number.
+   verified, whatever their number.
+
+A shingle is a 64-bit hash of its words. Candidates are found by one lane of
+these hashes and verified on all shingles of both sets in another, independent
+lane; equal sets are told by sums over both lanes, 128 bits.
 
 The result's classes are those of all verified links: a pair that is skipped
 in step 5 lies within one class already.
@@ -34,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, only_ids, table
+from .bpe import text_groups
+from .common import connected_components, cut, discard, only_ids, table
 from .textnum import chunks, grams, mix, utf8, word_hashes
 
 SHINGLE_WORDS = 5
@@ -50,42 +55,46 @@ MAX_MATCHES = 24
 STRONG = 0.25
 #: Step 4 goes on with LEADERS other leaders a shingle while postings hold more than STAR_WORTH pairs a row, for STAR_ROUNDS at most; step 5 does what is left.
 STAR_ROUNDS, STAR_WORTH, LEADERS = 2, 4, 4
-#: Bytes of a shingle's hash that travel for verification: two sets of a thousand would have a false match once in a million pairs.
-MEMBER_BYTES = 5
 #: What verifying a candidate costs, in postings read.
 VERIFY_COST = 20.0
 
 
-def shingle_sets(rows: list[tuple], k: int) -> Iterator[tuple]:
-    """(row, sorted distinct shingle hashes) for rows whose last member is the text in bytes."""
-    words, bounds = word_hashes([r[-1] for r in rows], lower=True)
-    all_grams = grams(words, k)
+def shingle_sets(rows: list[tuple], k: int, lanes: int = 1) -> Iterator[tuple]:
+    """(row, sorted distinct shingle hashes of each lane) for rows whose last member is the text in bytes."""
+    words, bounds = word_hashes([r[-1] for r in rows], lower=True, lanes=lanes)
+    all_grams = [grams(w, k, lane) for lane, w in enumerate(words)]
     for row, lo, hi in zip(rows, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if hi - lo >= k:
-            yield row, np.unique(all_grams[lo : hi - k + 1])
+            yield row, [np.unique(g[lo : hi - k + 1]) for g in all_grams]
         elif hi > lo:
-            yield row, grams(words[lo:hi], hi - lo, seed=2 + hi - lo)
+            yield row, [grams(w[lo:hi], hi - lo, lane) for lane, w in enumerate(words)]
         else:
-            yield row, np.zeros(0, np.uint64)
+            yield row, [np.zeros(0, np.uint64)] * lanes
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
-        yield from ((i, utf8(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for lo, hi in text_groups(b.column(1)):
+            yield from ((i, utf8(t)) for i, t in zip(b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), strict=True))
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def _sum(s: np.ndarray) -> int:
+    """A hash of the whole set."""
+    return int(mix(s).sum().view(np.int64))
+
+
 def _signatures(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64())])
 
     def run(batches):
         for part in chunks(_rows(batches)):
             out = []
-            for (doc, _), s in shingle_sets(part, k):
-                out.append((doc, len(s), int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0x5DEECE66D)).sum().view(np.int64))) if len(s) else (doc, 0, None, None))
+            for (doc, _), (s, t) in shingle_sets(part, k, lanes=2):
+                out.append((doc, len(s), _sum(s), _sum(t)) if len(s) else (doc, 0, None, None))
             yield _batch(schema, *zip(*out, strict=True))
 
     return run
@@ -96,7 +105,7 @@ def _tokens(k: int):
 
     def run(batches):
         for part in chunks(_rows(batches)):
-            yield _batch(schema, np.concatenate([s for _, s in shingle_sets(part, k)]).view(np.int64))
+            yield _batch(schema, np.concatenate([s for _, (s,) in shingle_sets(part, k)]).view(np.int64))
 
     return run
 
@@ -146,9 +155,9 @@ def _prefixes(k: int, percent: int, order, hot):
         skip = hot.value
         for part in chunks(_rows(batches)):
             tokens, docs, metas = [], [], []
-            for (doc, _), s in shingle_sets(part, k):
+            for (doc, _), (s,) in shingle_sets(part, k):
                 n = len(s)
-                if not n or skip and (int(mix(s).sum().view(np.int64)), n) in skip and skip[int(mix(s).sum().view(np.int64)), n] != doc:
+                if not n or skip and skip.get((_sum(s), n), doc) != doc:
                     continue
                 s, est = ordered(s, common, counts)
                 take = s[: n - needed(n, percent) + most_matches(n, percent)]
@@ -188,18 +197,12 @@ def _sets(k: int):
 
     def run(batches):
         for part in chunks(_rows(batches)):
-            out = [(doc, s.view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES].tobytes()) for (doc, _), s in shingle_sets(part, k)]
+            out = [(doc, s.tobytes()) for (doc, _), (_, s) in shingle_sets(part, k, lanes=2)]
             yield _batch(schema, *zip(*out, strict=True))
 
     return run
 
 
-def _members(raw) -> np.ndarray:
-    wide = np.zeros((len(raw) // MEMBER_BYTES, 8), np.uint8)
-    wide[:, :MEMBER_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, MEMBER_BYTES)
-    return wide.view(np.uint64).ravel()
-
-
 def _verify(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -207,8 +210,8 @@ def _verify(percent: int):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (_members(z.as_buffer()) for z in (x, y))
-                both = len(np.intersect1d(x, y)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
                 ok.append(both * 100 >= percent * (len(x) + len(y) - both) and both > 0)
             ok = np.array(ok, bool)
             yield _batch(schema, b.column(0).to_numpy()[ok], b.column(1).to_numpy()[ok])
@@ -230,7 +233,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     sets = cut(only_ids(docs, ids).mapInArrow(_sets(k), "doc_id long, members binary"))
     x = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    linked = cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+    discard(ids, sets)
+    return linked
 
 
 def jaccard_classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -262,20 +267,25 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     shared = cut(rows.repartition("token").sortWithinPartitions("token", "doc_id", "meta").mapInArrow(_shared, "token long, doc_id long, meta long, leader long"))
 
     pairs = cut(_stars(shared.where("doc_id <> leader"), percent, ["doc_id"]))
-    links = cut(verified(pairs, known, k, percent).union(copy_links))
-    labels = connected_components(links)
+    near = verified(pairs, known, k, percent)
+    labels = connected_components(near.union(copy_links))
+    discard(pairs, near, classes)
 
     rest, token = shared.drop("leader"), Window.partitionBy("token")
     for seed in range(STAR_ROUNDS):
         joined = rest.select("token", "doc_id", "meta").join(labels, rest.doc_id == labels.id, "left").select("token", "doc_id", "meta", F.coalesce("component", "doc_id").alias("class"))
         chiefs = [F.min(F.struct(F.xxhash64(F.lit(LEADERS * seed + k), "doc_id").alias("by"), F.col("doc_id").alias("leader"), F.col("class").alias("leader_class"))).over(token) for k in range(LEADERS)]
         mixed = joined.select("*", (F.min("class").over(token) < F.max("class").over(token)).alias("mixed"), F.count(F.lit(1)).over(token).alias("n"), F.array(*chiefs).alias("chiefs")).where("mixed")
+        read = shared if seed == 0 else rest
         rest = cut(mixed.select("token", "doc_id", "meta", "class", "n", F.transform("chiefs", lambda c: F.struct(c["leader"].alias("leader"), c["leader_class"].alias("leader_class"))).alias("chiefs")))
+        discard(read)
         load = rest.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") - 1).alias("pairs")).first()
         if seed == STAR_ROUNDS - 1 or not load.rows or load.pairs <= STAR_WORTH * load.rows:
             break
         led = rest.select("doc_id", "meta", "class", F.posexplode("chiefs").alias("k", "chief")).where("class <> chief.leader_class").select("doc_id", "meta", "k", "chief.leader")
-        new = cut(verified(cut(_stars(led, percent, ["doc_id", "k"]).distinct()), known, k, percent))
+        stars = cut(_stars(led, percent, ["doc_id", "k"]).distinct())
+        new = verified(stars, known, k, percent)
+        discard(stars)
         if not new.limit(1).count():
             break
         links = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new)
@@ -289,7 +299,9 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     within = "{r_at} < {r_n} - {o} + {r_l} AND {s_at} < {s_n} - {o} + {r_l}".format(**part)
     met = rest.alias("r").join(rest.alias("s"), F.expr(f"r.token = s.token AND r.class <> s.class AND r.doc_id <> s.doc_id AND {first} AND {near} AND {within}"))
     enough = met.groupBy(F.col("r.doc_id").alias("a"), F.col("s.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.expr(part["r_l"])).alias("l")).where("n >= l")
-    more = cut(verified(cut(enough.select("a", "b")), known, k, percent))
+    asked = cut(enough.select("a", "b"))
+    discard(rest)
+    more = verified(asked, known, k, percent)
     final = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)) if more.limit(1).count() else labels
     return sizes.join(final, sizes.doc_id == final.id, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -1,42 +1,48 @@
 """Substring dedup with a log-structured fingerprint index.
 
-Each batch of documents becomes a sorted immutable run: for every window of
-words its fingerprint, filed under the window's anchor. Runs are merged by
-anchor, windows that occur in two places are found there, and merged runs are
-compacted to one entry per window. A later batch is merged with the runs that
-are stored and leaves a run of its own.
+Documents come in batches. A batch becomes a sorted immutable run: its windows
+in stretches that share an anchor, each stretch with the fingerprint of all its
+words. The run is merge-joined with the runs that are stored, which lie in
+buckets of the anchor, sorted, so that no stored row is shuffled. Equal
+stretches are repeats at once; stretches that share an anchor and differ are
+verified window by window on the words of their documents. Runs of similar size
+are compacted to one.
 
 The anchor of a window is the least hash among its 8-word grams (the first of
 them on ties), so equal windows have equal anchors, and the about 14 windows
-that share one anchor occurrence are one row: the anchor, and 5 bytes of each
-window's fingerprint. Two windows are equal when anchor and fingerprint are:
-104 bits, which verifies each match without reading a text again.
+that share one anchor occurrence are one row. Anchor and fingerprint are 64-bit
+hashes of independent lanes; windows are verified by 128 bits of both lanes.
 
-What is common within a batch is settled there: a row that a batch holds many
-times is sent once, and the places of its copies go past the merge. A passage
-in a third of all documents so reaches the merge once per batch.
+What is common within a task's text is settled there: a stretch or window that
+a task holds many times is sent once, and the places of its copies go past the
+merge. A passage in a third of all documents so reaches the merge once a task.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from hashlib import sha256
+from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .bpe import text_groups
+from .common import cut, discard, only_ids, remove_path, scratch, table
 from .textnum import chunks, grams, mix, utf8, word_hashes
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 8
-FINGERPRINT_BYTES = 5
-#: Text that one sorted run of a task covers; a run's arrays take about 40 times that.
+#: Batches in which the registered query feeds the index.
+BATCHES = 4
+#: Text that a task settles at a time; its arrays take about 40 times that.
 RUN_BYTES = 4 << 20
 
-RUN = "anchor long, row long, first int, last int, prints binary, settled boolean"
+PLACE = ("row", "check", "first", "last")
+ENTRY = "anchor long, print long, row long, check int, first int, last int, copies int"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -55,157 +61,212 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return at[:n]
 
 
-def run_rows(rows: list[tuple], window: int, gram: int) -> Iterator[tuple]:
-    """The run of rows (key, bytes): arrays anchor, row, first, last, prints, settled; the last two per row."""
-    words, bounds = word_hashes([r[-1] for r in rows])
-    if len(words) < window:
-        return
-    prints = grams(words, window, seed=3)
-    anchors = grams(words, gram, seed=5)
-    n = len(prints)
+def _once(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries with equal (key, sum): the first ones, their counts, and which entries are of several."""
+    order = np.lexsort((sums, keys))
+    k, s = keys[order], sums[order]
+    fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))
+    group = np.cumsum(fresh) - 1
+    count = np.bincount(group)
+    several = np.zeros(len(keys), bool)
+    several[order] = count[group] > 1
+    return order[fresh], count, several
+
+
+def _columns(names: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in names.split(", ")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def _rows_of(batches) -> Iterator[tuple]:
+    """(row, check, rest..., text in bytes) of the batches' rows, text last."""
+    for b in batches:
+        for lo, hi in text_groups(b.column(b.num_columns - 1)):
+            *keys, texts = (c.slice(lo, hi - lo).to_pylist() for c in b.columns)
+            yield from zip(*keys, map(utf8, texts), strict=True)
+
+
+def _stretches(rows: list[tuple], window: int, gram: int):
+    """Of rows (row, check, text): anchor, fingerprint, number of the row, first and last window of every stretch."""
+    (a, b), bounds = word_hashes([r[-1] for r in rows], lanes=2)
+    anchors = grams(a, gram)
+    n = len(a) - window + 1
+    if n <= 0:
+        return None
+    prints = grams(b, window, 1)
     least = sliding_min(anchors, window - gram + 1)[:n]
     doc = np.searchsorted(bounds, np.arange(n), side="right") - 1
     ok = np.arange(n) + window <= bounds[doc + 1]
     if not ok.any():
-        return
+        return None
     new = ok & np.concatenate(([True], (least[1:] != least[:-1]) | ~ok[:-1] | (doc[1:] != doc[:-1])))
     starts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    sizes = np.bincount(group[ok], minlength=len(starts))
-    where = np.flatnonzero(ok)
-    # Rows with equal anchors and windows, within this run.
-    mixed = mix(prints + np.uint64(7))
+    of = np.cumsum(new)[ok] - 1
+    sizes = np.bincount(of, minlength=len(starts))
     sums = np.zeros(len(starts), np.uint64)
-    np.add.at(sums, group[ok], mixed[ok])
-    keys = anchors[least[starts]]
-    same = mix(keys ^ sums)
-    order = np.argsort(same, kind="stable")
-    first = np.concatenate(([True], same[order][1:] != same[order][:-1]))
-    which = np.cumsum(first) - 1
-    count = np.bincount(which)
-    settled = np.zeros(len(starts), bool)
-    sent = np.zeros(len(starts), bool)
-    settled[order] = count[which] > 1
-    sent[order[first]] = True
-    row_keys = np.array([r[0] for r in rows], np.int64)
-    lo = starts - bounds[doc[starts]]
-    raw = prints[where].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT_BYTES]
-    ends = np.cumsum(sizes)
-    yield keys.view(np.int64), row_keys[doc[starts]], lo.astype(np.int32), (lo + sizes - 1).astype(np.int32), raw, ends, settled, sent
-
-
-def _runs(window: int, gram: int, size: int):
-    names = ["anchor", "row", "first", "last", "prints", "settled"]
-
-    def rows_of(batches):
-        for b in batches:
-            yield from ((k, utf8(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    # The same windows in other places of a stretch are other stretches.
+    np.add.at(sums, of, mix(prints[ok] + (np.flatnonzero(ok) - starts[of]).astype(np.uint64)))
+    first = starts - bounds[doc[starts]]
+    return anchors[least[starts]], mix(sums + sizes.astype(np.uint64)), doc[starts], first, first + sizes - 1
 
-    def run(batches):
-        for part in chunks(rows_of(batches), size):
-            for anchor, row, first, last, raw, ends, settled, sent in run_rows(part, window, gram):
-                sizes = np.diff(np.concatenate(([0], ends)))
-                by = np.flatnonzero(sent)
-                by = by[np.argsort(anchor[by], kind="stable")]
-                lengths = sizes[by] * FINGERPRINT_BYTES
-                offsets = np.concatenate(([0], np.cumsum(lengths)))
-                take = np.repeat((ends - sizes)[by] - np.concatenate(([0], np.cumsum(sizes[by])))[:-1], sizes[by]) + np.arange(int(sizes[by].sum()))
-                prints = pa.Array.from_buffers(pa.binary(), len(by), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(raw[take].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[by]), pa.array(row[by]), pa.array(first[by]), pa.array(last[by]), prints, pa.array(settled[by])], names=names)
-                rest = np.flatnonzero(settled)
-                if len(rest):  # their places are known; dealt by document
-                    spread = mix(row[rest].view(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(row[rest]), pa.array(first[rest]), pa.array(last[rest]), pa.nulls(len(rest), pa.binary()), pa.array(np.ones(len(rest), bool))], names=names)
-
-    return run
 
+def _entries(window: int, gram: int, size: int):
+    """ENTRY rows: a stretch and its copies in the task, and with a null print the places of all that have copies."""
 
-def run_of(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """The runs of docs(row, text), as RUN; rows without prints are places that a run has settled."""
-    return docs.select(F.col("row").cast("long").alias("row"), "text").where("text IS NOT NULL").mapInArrow(_runs(window, gram, run_bytes), RUN)
-
-
-def _match(anchor, row, first, last, prints, settled):
-    """Ranges of windows that occur twice among the rows of whole anchors."""
-    known = np.flatnonzero(~prints.is_valid().to_numpy(zero_copy_only=False))
-    own = np.flatnonzero(prints.is_valid().to_numpy(zero_copy_only=False))
-    out = [(row[known], first[known], last[known])]
-    if len(own):
-        values = prints.take(pa.array(own))
-        offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(own) + 1]
-        raw = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, FINGERPRINT_BYTES)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :FINGERPRINT_BYTES] = raw
-        sizes = np.diff(offsets) // FINGERPRINT_BYTES
-        owner = np.repeat(own, sizes)
-        key, print_ = anchor[owner], wide.view("<u8").ravel()
-        order = np.lexsort((print_, key))
-        same = (key[order][1:] == key[order][:-1]) & (print_[order][1:] == print_[order][:-1])
-        twice = np.zeros(len(order), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        twice &= ~settled[owner]
-        place = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        hit = np.flatnonzero(twice)
-        out.append((row[owner[hit]], place[hit].astype(np.int32), place[hit].astype(np.int32)))
-    r, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((lo, r))
-    r, lo, hi = r[order], lo[order], hi[order]
-    if len(r):  # join what touches
-        fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (lo[1:] > hi[:-1] + 1)))
-        at = np.flatnonzero(fresh)
-        r, lo, hi = r[at], lo[at], np.maximum.reduceat(hi, at)
-    return r, lo, hi
-
-
-def _merge(batches):
-    """Over rows sorted by anchor: whole anchors at a time, the last one carried on."""
-    held = None
-    for b in batches:
-        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        anchor = t.column(0).to_numpy()
-        whole = int(np.searchsorted(anchor, anchor[-1], side="left")) if len(anchor) else 0
-        held = t.slice(whole)
-        if whole:
-            yield from _matched(t.slice(0, whole))
-    if held is not None and held.num_rows:
-        yield from _matched(held)
-
-
-def _matched(t: pa.Table):
-    t = t.combine_chunks()
-    c = [t.column(i).chunk(0) for i in range(6)]
-    r, lo, hi = _match(*(x.to_numpy() for x in c[:4]), c[4], c[5].to_numpy(zero_copy_only=False))
-    if len(r):
-        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["row", "first", "last"])
-
-
-def repeats(runs: DataFrame) -> DataFrame:
-    """(row, first, last): ranges of first words of windows that occur in two places of all runs."""
-    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge, "row long, first int, last int")
-
+    def run(batches):
+        for part in chunks(_rows_of(batches), size):
+            found = _stretches(part, window, gram)
+            if found is None:
+                continue
+            anchor, print_, doc, first, last = found
+            row, check = (np.array([r[k] for r in part], np.int64)[doc] for k in (0, 1))
+            kept, count, several = _once(anchor, print_)
+            yield _columns(ENTRY, _signed(anchor[kept]), _signed(print_[kept]), row[kept], check[kept], first[kept], last[kept], count)
+            rest = np.flatnonzero(several)
+            if len(rest):  # dealt by document
+                yield _columns(ENTRY, _signed(mix(row[rest].view(np.uint64))), pa.nulls(len(rest), pa.int64()), row[rest], check[rest], first[rest], last[rest], np.ones(len(rest)))
 
-def compact(runs: DataFrame) -> DataFrame:
-    """One run of all: a row per distinct anchor and windows, settled if it stands for two places."""
-    rows = runs.where("prints IS NOT NULL")
-    return rows.groupBy("anchor", "prints").agg(F.min("row").alias("row"), F.min_by("first", "row").alias("first"), F.min_by("last", "row").alias("last"), F.expr("bool_or(settled) OR count(*) > 1").alias("settled")).select("anchor", "row", "first", "last", "prints", "settled")
+    return run
 
 
-def add_batch(spark: SparkSession, index_path: str, docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """Merges docs(row, text) with the runs stored at index_path, stores their run, and returns repeats of docs' rows.
+def _windows(window: int, size: int):
+    """Of rows (row, check, stretches, text): each window of the stretches, (a, b, row, check, at, copies), and with a null b the places of those with copies."""
+    names = "a long, b long, row long, check int, at int, copies int"
 
-    A row's place in an earlier run counts as another place, and rows must not
-    come twice. The stored runs are sorted by anchor within each file.
+    def run(batches):
+        for part in chunks(_rows_of(batches), size):
+            (a, b), bounds = word_hashes([r[-1] for r in part], lanes=2)
+            a, b = grams(a, window), grams(b, window, 1)
+            at = [np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in r[2]])) for r in part]
+            doc = np.repeat(np.arange(len(part)), list(map(len, at)))
+            at = np.concatenate(at)
+            place = bounds[doc] + at
+            a, b = a[place], b[place]
+            row, check = (np.array([r[k] for r in part], np.int64)[doc] for k in (0, 1))
+            kept, count, several = _once(a, b)
+            yield _columns(names, _signed(a[kept]), _signed(b[kept]), row[kept], check[kept], at[kept], count)
+            rest = np.flatnonzero(several)
+            if len(rest):
+                yield _columns(names, _signed(mix(row[rest].view(np.uint64))), pa.nulls(len(rest), pa.int64()), row[rest], check[rest], at[rest], np.ones(len(rest)))
+
+    return run, names
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with row and check, which tell texts apart: the doc_id (for null ids a hash of the text) and another hash of the text."""
+    return docs.withColumn("row", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn("check", F.shiftright(F.xxhash64(F.lit(7), "text"), 32).cast("int"))
+
+
+class FingerprintIndex:
+    """Runs at a path, each a table (ENTRY, a row per anchor and fingerprint) in buckets of the anchor, sorted within.
+
+    The folder of a run is named by its number, buckets and rows, so a later
+    session opens the index by its path alone.
     """
-    new = run_of(docs, window)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index_path)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    # Stored entries only answer: settled, so that no place of theirs is reported.
-    runs = spark.read.parquet(index_path).withColumn("settled", F.lit(True)).unionByName(new) if there else new
-    found = repeats(runs)
-    found = cut(found.join(docs.select("row").distinct(), "row", "left_semi"))
-    compact(new).sortWithinPartitions("anchor").write.mode("append").parquet(index_path)
-    return found
+
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, run_bytes: int = RUN_BYTES):
+        self.spark, self.path, self.window, self.gram, self.run_bytes = spark, path.rstrip("/"), window, gram, run_bytes
+        self.tables: dict[str, str] = {}
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        self.runs = sorted(n for n in names if re.fullmatch(r"run-\d+-\d+-\d+", n))
+
+    def _rows(self, run: str) -> int:
+        return int(run.rsplit("-", 1)[1])
+
+    def read(self, run: str) -> DataFrame:
+        """A run as a bucketed table."""
+        if run not in self.tables:
+            name = f"fingerprints_{uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({ENTRY}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor, print) INTO {run.split('-')[2]} BUCKETS LOCATION '{self.path}/{run}'")
+            self.tables[run] = name
+        return self.spark.table(self.tables[run])
+
+    def _write(self, entries: DataFrame, buckets: int, kind: str = "run") -> str:
+        number = int(self.runs[-1].split("-")[1]) + 1 if self.runs else 0
+        made = f"{self.path}/making-{uuid4().hex}"
+        name = f"fingerprints_{uuid4().hex}"
+        entries.write.bucketBy(buckets, "anchor").sortBy("anchor", "print").option("path", made).saveAsTable(name)
+        rows = self.spark.table(name).count()
+        self.spark.sql(f"DROP TABLE {name}")
+        run = f"{kind}-{number:09d}-{buckets}-{rows}"
+        paths = [self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (made, f"{self.path}/{run}")]
+        paths[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths)
+        return run
+
+    def _remove(self, run: str) -> None:
+        if run in self.tables:
+            self.spark.sql(f"DROP TABLE {self.tables.pop(run)}")
+        remove_path(self.spark, f"{self.path}/{run}")
+
+    def close(self) -> None:
+        """Takes the runs from the session's catalogue; their files stay."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE {name}")
+        self.tables = {}
+
+    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Adds a batch docs(row, check, text): (repeats, doubtful).
+
+        repeats(row, check, first, last) are ranges of first words of repeated
+        windows, of the batch and of earlier documents that had none like them
+        before; doubtful has the same columns, for stretches to be verified on
+        the words of the batch and of earlier documents.
+        """
+        buckets = int(self.runs[0].split("-")[2]) if self.runs else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        entries = docs.where("text IS NOT NULL").select("row", "check", "text").mapInArrow(_entries(self.window, self.gram, self.run_bytes), ENTRY)
+        raw_run = self._write(entries.repartition(buckets, "anchor"), buckets, "batch")
+        raw = self.read(raw_run)
+        least = F.min(F.struct(*PLACE))
+        merged = raw.where("print IS NOT NULL").groupBy("anchor", "print").agg(least.alias("place"), F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"))
+        run = self._write(merged.select("anchor", "print", "place.*", "copies"), buckets)
+        new = self.read(run)
+        equal = new.where("copies > 1").select("anchor", "print")
+        spans = [raw.where("print IS NULL").select(*PLACE)]
+        doubtful = [new.join(new.groupBy("anchor").count().where("count > 1").select("anchor"), "anchor", "left_semi").select(*PLACE)]
+        for stored in self.runs:
+            old = self.read(stored)
+            same = new.select("anchor", "print").join(old, ["anchor", "print"])
+            equal = equal.union(same.select("anchor", "print"))
+            spans.append(same.where("copies = 1").select(*PLACE))
+            counts = [t.groupBy("anchor").agg(F.count(F.lit(1)).alias(n)) for t, n in ((new, "n"), (old, "o"), (same, "s"))]
+            mixed = counts[0].join(counts[1], "anchor").join(counts[2], "anchor", "left").where("n + o - coalesce(s, 0) > 1").select("anchor")
+            doubtful += [t.join(mixed, "anchor", "left_semi").select(*PLACE) for t in (new, old)]
+        spans.append(raw.where("print IS NOT NULL").join(equal, ["anchor", "print"], "left_semi").select(*PLACE))
+        out = [cut(reduce(DataFrame.union, parts)) for parts in (spans, doubtful)]
+        self._remove(raw_run)
+        self.runs.append(run)
+        self.compact()
+        return out[0], out[1]
+
+    def compact(self) -> None:
+        """Merges the newest runs while they are of similar size, so that there are about as many runs as the logarithm of the batches."""
+        while len(self.runs) > 1 and 2 * self._rows(self.runs[-1]) >= self._rows(self.runs[-2]):
+            x, y = (self.read(r).select("anchor", "print", F.struct(*PLACE).alias("place"), "copies") for r in self.runs[-2:])
+            both = x.alias("x").join(y.alias("y"), ["anchor", "print"], "full")
+            copies = F.least(F.coalesce("x.copies", F.lit(0)) + F.coalesce("y.copies", F.lit(0)), F.lit(2)).cast("int")
+            run = self._write(both.select("anchor", "print", F.coalesce("x.place", "y.place").alias("place"), copies.alias("copies")).select("anchor", "print", "place.*", "copies"), int(self.runs[-1].split("-")[2]))
+            for old in self.runs[-2:]:
+                self._remove(old)
+            self.runs[-2:] = [run]
+
+    def verify(self, doubtful: DataFrame, docs: DataFrame) -> DataFrame:
+        """(row, check, first, last): the windows of doubtful stretches that occur twice among them; docs(row, check, text) has all documents so far."""
+        by = cut(doubtful.groupBy("row", "check").agg(F.collect_set(F.struct("first", "last")).alias("stretches")))
+        ids = cut(by.select(F.col("row").alias("doc_id")).distinct())
+        few = only_ids(docs.select("row", "check", "text", F.col("row").alias("doc_id")), ids)
+        run, names = _windows(self.window, self.run_bytes)
+        found = few.join(by, ["row", "check"]).select("row", "check", "stretches", "text").mapInArrow(run, names)
+        twice = found.withColumn("n", F.sum("copies").over(Window.partitionBy("a", "b"))).where("b IS NULL OR n > 1")
+        out = cut(twice.select("row", "check", F.col("at").alias("first"), F.col("at").alias("last")))
+        discard(by, ids)
+        return out
 
 
 def _removal(window: int):
@@ -229,20 +290,33 @@ def _removal(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of docs(doc_id, text), a row per row.
 
-    Null and empty texts have no words. Rows are told apart by doc_id and text
-    (null ids too), so repeated rows repeat each other and lose all windows.
-    Words are compared unchanged; the kept ones are joined by single blanks.
-    Other columns are ignored.
+    The documents go through an index in batches, dealt by their id; the result
+    is the same for any number of them. Null and empty texts have no words. Rows
+    are told apart by doc_id and text (null ids too), so repeated rows repeat
+    each other and lose all windows. Words are compared unchanged; the kept ones
+    are joined by single blanks. Other columns are ignored, whatever their
+    names. An empty table gives an empty result.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    found = repeats(run_of(base, window))
-    spans = found.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return base.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(_removal(window), "doc_id long, n_words long, n_removed long, kept string")
+    spark = docs.sparkSession
+    base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    index = FingerprintIndex(spark, scratch(spark, "fingerprints"), window)
+    repeats, doubtful = [], []
+    for k in range(batches):
+        found, open_ = index.add(base.where(F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(batches)) == k))
+        repeats.append(found)
+        doubtful.append(open_)
+    index.close()
+    remove_path(spark, index.path)
+    repeats.append(index.verify(reduce(DataFrame.union, doubtful), base))
+    discard(*doubtful)
+    spans = reduce(DataFrame.union, repeats).groupBy("row", "check").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return base.join(spans, ["row", "check"], "left").select("doc_id", "text", "spans").mapInArrow(_removal(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every document; null texts are empty, repeated rows repeat each other."""
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -71,32 +71,74 @@ def test_ngram_join(docs, texts):
     assert kept.columns == docs.columns and kept.count() == len(set(expected.values()))
 
 
+def test_ngram_join_long_words(spark):
+    words = ["v%d" % i for i in range(20)]
+    rows = [(k, " ".join([*words, w, *words[::-1]])) for k, w in enumerate(thue_morse())]
+    found = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == {(0, 37, 0), (1, 37, 1)}
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_substring_dedup(docs, texts):
-    rows = [(t or "").encode().split() for t in texts]
-    seen = collections.Counter(tuple(w[k : k + 35]) for w in rows for k in range(len(w) - 34))
-    expected = {}
-    for i, w in enumerate(rows):
+def thue_morse():
+    """Two words of 1,024 letters whose polynomials modulo 2^64 agree for any odd base."""
+    w = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def kept_words(texts, window=35):
+    rows = [WORD.findall(t or "") for t in texts]
+    seen = collections.Counter(tuple(w[k : k + window]) for w in rows for k in range(len(w) - window + 1))
+    out = []
+    for w in rows:
         gone = [False] * len(w)
-        for k in range(len(w) - 34):
-            if seen[tuple(w[k : k + 35])] > 1:
-                gone[k : k + 35] = [True] * 35
-        expected[i] = (len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode())
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect()} == expected
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_substring_dedup(docs, texts, batches):
+    expected = dict(enumerate(kept_words(texts)))
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, batches=batches).collect()}
+    assert found == expected
+
+
+def test_substring_dedup_odd_rows(spark):
+    x, y = thue_morse()
+    words = ["v%d" % i for i in range(20)]
+    texts = [" ".join([*words, w, *words[::-1]]) for w in (x, y)]
+    rnd = random.Random(8)
+    line = " ".join("l%d" % i for i in range(9))
+    common = [" ".join([*("c%d" % rnd.randrange(99) for _ in range(15)), line, *("c%d" % rnd.randrange(99) for _ in range(15))]) for _ in range(40)]
+    tail = " ".join("t%d" % i for i in range(40))
+    rows = [(1, texts[0]), (2, texts[1]), *((10 + i, t) for i, t in enumerate(common)), (60, common[0] + " " + tail), (61, "z " + tail), (70, tail + " a"), (70, "b " + tail), (None, "n " + tail), (None, None), (71, "")]
+    expected = collections.Counter((i, *k) for (i, _), k in zip(rows, kept_words([t for _, t in rows])))
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS check", "3 AS spans")
+    assert collections.Counter(map(tuple, substring_dedup.remove_repeats(d).collect())) == expected
+    assert substring_dedup.remove_repeats(d.where("false")).count() == 0
 
 
 def test_incremental_index(spark, tmp_path):
     rnd = random.Random(1)
-    passage = " ".join("p%d" % rnd.randrange(99) for _ in range(60))
     path = str(tmp_path / "index")
-    first = spark.createDataFrame([(1, "start " + passage), (2, "other " * 3)], "row long, text string")
-    second = spark.createDataFrame([(3, passage + " end"), (4, " ".join("q%d" % i for i in range(80)))], "row long, text string")
-    assert substring_dedup.add_batch(spark, path, first).count() == 0
-    found = substring_dedup.add_batch(spark, path, second).collect()
-    assert {(r.row, k) for r in found for k in range(r["first"], r["last"] + 1)} == {(3, k) for k in range(26)}
+    passages = [" ".join("p%d" % rnd.randrange(999) for _ in range(60)) for _ in range(3)]
+    texts = {k: f"{'s%d ' % k * (k % 3)}{passages[k % 3]} {' '.join('q%d_%d' % (k, i) for i in range(50))}" for k in range(8)}
+    docs = substring_dedup.keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    found = {}
+    for k in range(8):  # each batch through an index that was opened anew
+        index = substring_dedup.FingerprintIndex(spark, path)
+        repeats, doubtful = index.add(docs.where(f"doc_id = {k}"))
+        for r in [*repeats.collect(), *index.verify(doubtful, docs.where(f"doc_id <= {k}")).collect()]:
+            found.setdefault(r.row, set()).update(w for s in range(r["first"], r["last"] + 1) for w in range(s, s + 35))
+        assert len(index.runs) <= 4
+        expected = kept_words([texts[j] for j in range(k + 1)])
+        assert [len(found.get(j, ())) for j in range(k + 1)] == [e[1] for e in expected]
+        index.close()
 
 
 def test_mixing(docs, texts):
