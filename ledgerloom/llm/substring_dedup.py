@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from uuid import uuid4
 
@@ -211,6 +212,17 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE {name}")
         self.tables = {}
 
+    @contextmanager
+    def _anchor_suffices(self):
+        """Lets joins on anchor and fingerprint use the buckets of the anchor as they lie."""
+        key = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
     def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Adds a batch docs(row, check, text): (repeats, doubtful).
 
@@ -239,7 +251,8 @@ class FingerprintIndex:
             mixed = counts[0].join(counts[1], "anchor").join(counts[2], "anchor", "left").where("n + o - coalesce(s, 0) > 1").select("anchor")
             doubtful += [t.join(mixed, "anchor", "left_semi").select(*PLACE) for t in (new, old)]
         spans.append(raw.where("print IS NOT NULL").join(equal, ["anchor", "print"], "left_semi").select(*PLACE))
-        out = [cut(reduce(DataFrame.union, parts)) for parts in (spans, doubtful)]
+        with self._anchor_suffices():
+            out = [cut(reduce(DataFrame.union, parts)) for parts in (spans, doubtful)]
         self._remove(raw_run)
         self.runs.append(run)
         self.compact()
@@ -251,7 +264,9 @@ class FingerprintIndex:
             x, y = (self.read(r).select("anchor", "print", F.struct(*PLACE).alias("place"), "copies") for r in self.runs[-2:])
             both = x.alias("x").join(y.alias("y"), ["anchor", "print"], "full")
             copies = F.least(F.coalesce("x.copies", F.lit(0)) + F.coalesce("y.copies", F.lit(0)), F.lit(2)).cast("int")
-            run = self._write(both.select("anchor", "print", F.coalesce("x.place", "y.place").alias("place"), copies.alias("copies")).select("anchor", "print", "place.*", "copies"), int(self.runs[-1].split("-")[2]))
+            merged = both.select("anchor", "print", F.coalesce("x.place", "y.place").alias("place"), copies.alias("copies")).select("anchor", "print", "place.*", "copies")
+            with self._anchor_suffices():
+                run = self._write(merged, int(self.runs[-1].split("-")[2]))
             for old in self.runs[-2:]:
                 self._remove(old)
             self.runs[-2:] = [run]
