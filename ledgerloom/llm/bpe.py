@@ -245,6 +245,7 @@ def word_tokenizer() -> str:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document; null texts are empty, repeated rows alike."""
     spec = word_tokenizer()
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = decode(encode(docs, spec).drop("text"), spec)

@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return stored
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, made from name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -304,4 +304,5 @@ def near_vectors(vectors: DataFrame, threshold: float = SIMILARITY, shard_rows:
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every vector; unusable vectors and null labels link with nothing."""
     return near_vectors(table(spark, sf_dir, "embeddings"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, unused
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -82,6 +82,8 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
         state = cut(s.select("key", "mean", "target", "source_size", F.when(done, F.col("tilt")).otherwise(F.when(inside, step).otherwise(other)).alias("tilt"), "lo", "hi", F.when(done, F.lit(0.0)).otherwise(F.col("miss")).alias("miss")))
         if not state.where("miss > 0").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the tilts have not settled in {MAX_ROUNDS} rounds")
     return state.select("key", "mean", "target", "source_size", F.round("tilt", 9).alias("tilt"))
 
 
@@ -129,10 +131,12 @@ def take_mixture(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     Rows that share a doc_id (or have none) share the copies of all of them,
     rounded up to an equal number for each.
     """
-    copies = mixture(docs, weights).groupBy("doc_id").agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies.withColumnRenamed("doc_id", "_doc_id"), F.expr("doc_id <=> _doc_id"))
-    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies, of = unused(docs, "copies"), unused(docs, "copies_of")
+    shares = mixture(docs, weights).groupBy("doc_id").agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias(copies)).where(F.col(copies) > 0)
+    joined = docs.join(shares.withColumnRenamed("doc_id", of), F.col("doc_id").eqNullSafe(F.col(of)))
+    return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document; null texts have size 0, a null source is the last one."""
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

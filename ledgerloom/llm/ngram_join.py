@@ -314,4 +314,5 @@ def keep_one_per_class(docs: DataFrame) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; null and empty texts link with nothing."""
     return jaccard_classes(table(spark, sf_dir, "documents"))

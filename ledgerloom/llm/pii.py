@@ -14,23 +14,27 @@ confidence are added as spans. Spans of the forms always stay.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import cut, table
+from .bpe import text_groups
+from .common import cut, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Rounds at most; they end when a round accepts no new string.
+ROUNDS = 10
 #: A pattern counts from so many distinct seeds or accepted strings on, and shrinks its score by PRIOR strings that are none.
 LEAST_SEEDS, PRIOR = 3, 2.0
 #: A candidate is added from this likelihood on.
 ACCEPT = 0.8
-#: The longest candidate, and the longest word of a pattern, in characters; longer ones are no candidates and a pattern's word "*".
-LONGEST, LONGEST_WORD = 64, 24
+#: A longer word of a pattern stands in it by its digest.
+LONGEST_WORD = 24
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,8 +42,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-_CANDIDATE = re.compile(r"[^\s@]{1,64}@[^\s@]{1,64}|\+?[0-9](?:[ ().\-/]{0,2}[0-9]){5,30}")
-_WORD_BEFORE, _WORD_AFTER = re.compile(r"(\S{1,40})\s*$"), re.compile(r"\s*(\S{1,40})")
+_NUMBER = re.compile(r"\+?[0-9](?:[ ().\-/]{0,2}[0-9]){5,}")
+_NAME = re.compile(r"[^\s@]+")
+_TOKEN = re.compile(r"\S+")
 _TRIM = ".,;:!?()[]{}<>\"'"
 
 
@@ -97,27 +102,64 @@ def shape(s: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "a", s)))
 
 
-def _word(m, last: bool) -> str:
-    if not m:
+def _word(w: str) -> str:
+    """A word of a pattern: without marks at its ends, in small letters, digits as one 0."""
+    if not w:
         return "^"
-    w = m[1].strip(_TRIM).lower() or m[1]
-    w = re.sub(r"[0-9]+", "0", w)
-    return w if len(w) <= LONGEST_WORD else "*"
+    w = re.sub(r"[0-9]+", "0", w.strip(_TRIM).lower() or w)
+    return w if len(w) <= LONGEST_WORD else "#" + blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans that look like an address or a number, without marks at their ends, by start."""
+    found = []
+    if "@" in text:
+        names = [m.span() for m in _NAME.finditer(text)]
+        found += [(x[0], y[1]) for x, y in zip(names, names[1:], strict=False) if x[1] + 1 == y[0] and text[x[1]] == "@"]
+    found += [m.span() for m in _NUMBER.finditer(text)]
+    out, last = [], 0
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if a < last:
+            continue
+        last = b
+        raw = text[a:b]
+        a, b = a + len(raw) - len(raw.lstrip(_TRIM)), b - len(raw) + len(raw.rstrip(_TRIM))
+        if b - a >= 6:
+            out.append((a, b))
+    return out
 
 
 def mentions(text: str, spans: list) -> list[dict]:
-    """Seeds and candidates of a text with their context: kind (null for candidates), start, end, value, left, right, shape."""
+    """Seeds and candidates of a text with their context: kind (null for candidates), start, end, value, left, right, shape.
+
+    Left and right are the words beside the string, as far as the strings
+    before and after it; at an end of the text there is none.
+    """
     taken = sorted((a, b) for _, a, b in spans)
-    found = [(kind, a, b) for kind, a, b in spans if b - a <= LONGEST]
+    found = list(spans)
     if "@" in text or _DIGIT.search(text):
         k = 0
-        for m in _CANDIDATE.finditer(text):
-            a, b = m.start() + len(m[0]) - len(m[0].lstrip(_TRIM)), m.end() - len(m[0]) + len(m[0].rstrip(_TRIM))
+        for a, b in candidates(text):
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
-            if b - a >= 6 and b - a <= LONGEST and not (k < len(taken) and taken[k][0] < b):
+            if not (k < len(taken) and taken[k][0] < b):
                 found.append((None, a, b))
-    return [{"kind": kind, "first": a, "last": b, "value": text[a:b], "left": _word(_WORD_BEFORE.search(text[max(0, a - 60) : a]), True), "right": _word(_WORD_AFTER.match(text, b, b + 60), False), "shape": shape(text[a:b])} for kind, a, b in found]
+    if not found:
+        return []
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [t[0] for t in tokens]
+    edges_a, edges_b = sorted(f[1] for f in found), sorted(f[2] for f in found)
+    out = []
+    for kind, a, b in found:
+        k = bisect_left(starts, a) - 1
+        left = text[max(tokens[k][0], before[-1] if (before := edges_b[max(0, bisect_right(edges_b, a) - 1) : bisect_right(edges_b, a)]) else 0) : min(tokens[k][1], a)] if k >= 0 else ""
+        k = bisect_right(starts, b - 1) - 1
+        k += k < 0 or tokens[k][1] <= b
+        after = edges_a[bisect_left(edges_a, b) : bisect_left(edges_a, b) + 1]
+        right = text[max(tokens[k][0], b) : min(tokens[k][1], after[0] if after else len(text))] if k < len(tokens) else ""
+        value = text[a:b]
+        out.append({"kind": kind, "first": a, "last": b, "value": value, "left": _word(left), "right": _word(right), "shape": shape(value)})
+    return out
 
 
 _MENTION = pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("value", pa.string()), ("left", pa.string()), ("right", pa.string()), ("shape", pa.string())])
@@ -132,12 +174,14 @@ def extract(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            spans, seen = [], []
-            for t in b.column(len(rest)).to_pylist():
-                found = base_spans(t) if t else []
-                spans.append([{"kind": k, "first": a, "last": z} for k, a, z in found])
-                seen.append(mentions(t, found) if t else [])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(spans, pa.list_(_SPAN)), pa.array(seen, pa.list_(_MENTION))], names=[*rest, "base", "mentions"])
+            for lo, hi in text_groups(b.column(len(rest))):
+                part = b.slice(lo, hi - lo)
+                spans, seen = [], []
+                for t in part.column(len(rest)).to_pylist():
+                    found = base_spans(t) if t else []
+                    spans.append([{"kind": k, "first": a, "last": z} for k, a, z in found])
+                    seen.append(mentions(t, found) if t else [])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(spans, pa.list_(_SPAN)), pa.array(seen, pa.list_(_MENTION))], names=[*rest, "base", "mentions"])
 
     schema = StructType([docs.schema[c] for c in rest])
     return base.mapInArrow(run, StructType([*schema.fields, *StructType.fromDDL(FOUND).fields]))
@@ -167,6 +211,7 @@ def likely(found: DataFrame) -> DataFrame:
     strings = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") >= LEAST_SEEDS))
     seeds = cut(edges.where("kind IS NOT NULL").select("value", "kind", F.col("kind").alias("likely_kind"), F.lit(1.0).alias("score")).distinct())
     scores = seeds
+    accepted = 0
     for _ in range(ROUNDS):
         known = scores.select(F.col("value").alias("v"), F.col("kind").alias("k"), "likely_kind", "score")
         linked = edges.join(known, F.expr("value = v AND kind <=> k"))
@@ -178,6 +223,9 @@ def likely(found: DataFrame) -> DataFrame:
         doubt = F.log(F.greatest(1 - F.col("strength"), F.lit(1e-9)))
         by_value = by_context.groupBy("value", "likely_kind").agg((1 - F.exp(F.sum(doubt))).alias("score"))
         scores = cut(seeds.unionByName(by_value.select("value", F.lit(None).cast("string").alias("kind"), "likely_kind", "score")))
+        before, accepted = accepted, scores.where(F.col("kind").isNull() & (F.col("score") >= ACCEPT)).count()
+        if accepted == before:
+            break
     good = scores.where(F.col("kind").isNull() & (F.col("score") >= ACCEPT))
     return good.groupBy("value").agg(F.max_by("likely_kind", F.struct("score", "likely_kind")).alias("kind"))
 
@@ -189,16 +237,17 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     adds. Null and empty texts have none. Rows stay, repeated ones too; columns
     named base, spans or mentions are replaced.
     """
-    named = docs.drop("base", "mentions", "spans", "_row")
-    found = cut(extract(named, text).withColumn("_row", F.monotonically_increasing_id()))
+    named = docs.drop("base", "mentions", "spans")
+    row = unused(named, "row")
+    found = cut(extract(named, text).withColumn(row, F.monotonically_increasing_id()))
     values = cut(likely(found))
-    candidates = found.select("_row", F.explode("mentions").alias("m")).where("m.kind IS NULL").select("_row", "m.value", "m.first", "m.last")
-    added = candidates.join(values, "value").groupBy("_row").agg(F.collect_set(F.struct("kind", "first", "last")).alias("added"))
+    looked = found.select(row, F.explode("mentions").alias("m")).where("m.kind IS NULL").select(row, "m.value", "m.first", "m.last")
+    added = looked.join(values, "value").groupBy(row).agg(F.collect_set(F.struct("kind", "first", "last")).alias("added"))
     place = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(F.lit, range(len(KINDS)))))
     both = F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind: string, first: int, last: int>>")))
     keyed = F.array_sort(F.transform(both, lambda s: F.struct(F.element_at(place, s["kind"]).alias("place"), s["first"].alias("first"), s["last"].alias("last"), s["kind"].alias("kind"))))
     spans = F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["first"].alias("first"), s["last"].alias("last")))
-    return found.join(added, "_row", "left").select(*[c for c in named.columns if c != text], "base", spans.alias("spans"))
+    return found.join(added, row, "left").select(*[c for c in named.columns if c != text], "base", spans.alias("spans"))
 
 
 def span_string(spans):
@@ -208,13 +257,15 @@ def span_string(spans):
 def mask(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with every span replaced by its kind in brackets; other columns unchanged.
 
-    Rows are told apart by doc_id and text. n_chars, where there is such a
-    column, follows the text.
+    Rows are told apart by doc_id and text, null ids too; repeated rows are
+    masked alike, null and empty texts stay, an empty table stays empty.
+    n_chars, where there is such a column, follows the text.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    spans = find_personal_data(keyed.select("_key", "text")).where(F.size("spans") > 0).groupBy("_key").agg(F.first("spans").alias("_spans"))
+    key, spans = unused(docs, "key"), unused(docs, "spans")
+    keyed = docs.withColumn(key, F.struct(F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text")))
+    found = find_personal_data(keyed.select(F.col(key).alias("key"), "text")).where(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias(spans)).withColumnRenamed("key", key)
     place = keyed.columns.index("text")
-    joined = keyed.join(spans, "_key", "left").select(*docs.columns, "_spans")
+    joined = keyed.join(found, key, "left").select(*docs.columns, spans)
 
     def run(batches):
         for b in batches:
@@ -236,6 +287,7 @@ def mask(docs: DataFrame) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document; null texts are empty, repeated rows alike."""
     found = find_personal_data(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(span_string(F.col("base")), 256).alias("base_sha256"), span_string(F.col("spans")).alias("spans"))

@@ -198,6 +198,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files; null texts are their end id alone."""
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import scratch, table
 from .textnum import utf8
 
 UNIT_BYTES = 576
@@ -107,12 +107,13 @@ def demux(media: bytes) -> dict:
     """payload, program_pid, media_pid, stream_type, errors, and stamps (pts, random_access, at: offset in the payload).
 
     Packets without sync, sections with a wrong CRC and steps of a continuity
-    counter are counted as errors; what can be read is returned.
+    counter that no discontinuity flag announces are counted as errors; what can
+    be read is returned. A packet that is sent twice counts once.
     """
     errors, pmt_pid, pid, kind, last = 0, None, None, None, None
     packets: list[tuple] = []
     parts: list[bytes] = []
-    flag = False
+    flag, before, repeated = False, b"", False
     for at in range(0, len(media), PACKET):
         p = media[at : at + PACKET]
         if len(p) < PACKET or p[0] != SYNC:
@@ -123,14 +124,16 @@ def demux(media: bytes) -> dict:
             control = p[3]
             if not control & 0x10:
                 continue
-            if last is not None and control & 15 != last + 1 & 15:
-                errors += 1
-            last = control & 15
-            body = 4
-            access = False
+            body, access, jump = 4, False, False
             if control & 0x20:
                 body = 5 + p[4]
-                access = p[4] > 0 and bool(p[5] & 0x40)
+                access, jump = (p[4] > 0 and bool(p[5] & flag_) for flag_ in (0x40, 0x80))
+            if last is not None and not jump and control & 15 != last + 1 & 15:
+                if control & 15 == last and p[body:] == before and not repeated:
+                    repeated = True  # a packet may be sent twice
+                    continue
+                errors += 1
+            last, before, repeated = control & 15, p[body:], False
             if p[1] & 0x40:
                 if parts:
                     packets.append((b"".join(parts), flag))
@@ -224,6 +227,13 @@ def _tails(batches):
 
 
 def op6_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of every document's stream.
+
+    The streams are written as a media column and read back from there. Null
+    texts are empty ones, of one unit; equal texts have equal values.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    streams = read(store(docs).select("doc_id", "n_bytes", "media"))
+    path = scratch(spark, "streams")
+    store(docs).select("doc_id", "n_bytes", "media").write.option("compression", "zstd").parquet(path)
+    streams = read(spark.read.parquet(path))
     return streams.mapInArrow(_tails, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -224,6 +224,13 @@ def test_transport_stream(docs, texts):
     assert transport_stream.demux(bytes(broken))["errors"] > 0
 
 
+def test_transport_stream_repeated_packet():
+    payload = bytes(range(256)) * 9 * 8
+    packets = [m[i : i + 188] for m in [transport_stream.mux(payload)] for i in range(0, len(m), 188)]
+    twice = b"".join([*packets[:6], packets[5], *packets[6:]])
+    assert transport_stream.demux(twice)["payload"] == payload and transport_stream.demux(twice)["errors"] == 0
+
+
 def test_pii_base():
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     rnd = random.Random(9)
@@ -271,6 +278,117 @@ def test_pii_text_ends(spark):
     assert not found[92].spans
 
 
+def test_pii_long_strings(spark):
+    long = "k" * 90
+    rows = [(i, f"{long} mail me at user{i}@example.org {long} ok") for i in range(20)]
+    rows += [(90, f"mail me at {'ü' * 80}@intern {long}"), (91, "x" * 50_000 + "@"), (92, "7" * 5000)]
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [tuple(s) for s in found[90].spans] == [("email", 11, 98)]
+    assert not found[91].spans and not found[92].spans
+
+
+def brute_language(train, texts):
+    """The word-first backoff in plain Python."""
+    words, grams = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for text, lang in train:
+        for w in language_id.words_of(text):
+            words[lang][w] += 1
+            for n in range(1, 5):
+                t = w if n == 1 else f"<{w}>"
+                grams[lang].update(t[i : i + n] for i in range(len(t) - n + 1))
+    langs = sorted(words)
+    known, pieces = set().union(*words.values()), set().union(*grams.values())
+    totals = {(x, n): sum(c for g, c in grams[x].items() if len(g) == n) for x in langs for n in range(1, 5)}
+
+    def word(w):
+        if w in known:
+            return [np.log((words[x][w] + 0.5) / (sum(words[x].values()) + 0.5)) for x in langs]
+        for n in (4, 3, 2, 1):
+            t = w if n == 1 else f"<{w}>"
+            found = [g for i in range(len(t) - n + 1) if (g := t[i : i + n]) in pieces]
+            if found:
+                return [np.mean([np.log((grams[x][g] + 0.5) / (totals[x, n] + 1.0)) for g in found]) for x in langs]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        scores = np.sum([word(w) for w in language_id.words_of(t)] or [[0.0] * len(langs)], axis=0)
+        out.append((langs[int(scores.argmax())], 1 / np.exp(scores - scores.max()).sum()) if language_id.words_of(t) else ("und", 0.0))
+    return out
+
+
+def test_language_id_brute_force(spark):
+    rnd = random.Random(4)
+    make = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 7))) for _ in range(n))
+    rows = [(k, make("abcdeé" if k % 2 else "cdefgß", 12), "xx" if k % 2 else "yy") for k in range(30)]
+    rows += [(40, None, "xx"), (41, "text", None), (None, "nobody", "xx"), (5, rows[5][1], "xx")]
+    texts = [make("abcdefgßé", 9) for _ in range(20)] + ["² ½ Ⅷ", "", None, "a", "zzz 中文"]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS lang_pred", "2 AS unit")
+    model = language_id.train(d)
+    expected = brute_language([r[1:] for r in rows if None not in r], texts)
+    found = {r.doc_id: r for r in language_id.predict(asked, model).collect()}
+    for k, (lang, score) in enumerate(expected):
+        assert found[k].lang_pred == lang and abs(found[k].score - score) < 1e-9 and found[k].unit == 2
+    smaller = language_id.train(d, most=3)
+    assert len(smaller["words"]) < len(model["words"])
+
+
+def test_queries(spark, tmp_path, texts):
+    """Every registered query over one small corpus, its digests by brute force."""
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm import queries
+
+    rows = [(i, t, ("de", "en")[i % 2] if i % 7 else None, None if i % 5 == 0 else "src%d" % (i % 3), i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    vectors = [(i, [float((i * 7 + k * k) % 11) for k in range(4)], i % 2) for i in range(40)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    found = {}
+    for f in queries.QUERIES:
+        df = f(spark, str(tmp_path))
+        found[f.__name__.split("_")[0]] = [{r[0]: r for r in df.collect()}, df.columns]
+    plain = [t or "" for t in texts]
+    crc = [zlib.crc32(str(i).encode()) for i in range(len(texts))]
+    words, tokens = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    kept, start = kept_words(texts), 0
+    for i, t in enumerate(plain):
+        raw = t.encode()
+        assert found["op1"][0][i].held_out == (crc[i] % 5 == 0) and found["op8"][0][i].held_out == (crc[i] % 4 == 2)
+        assert found["op8"][0][i].predicted == (found["op8"][0][i].score >= 0.7)
+        base = pii.base_spans(t)
+        assert tuple(found["op3"][0][i])[:6] == (i, *(sum(s[0] == k for s in base) for k in pii.KINDS), sha(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()))
+        ids = words.encode(t, add_special_tokens=False).ids
+        assert tuple(found["op4"][0][i]) == (i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(words.decode(ids, skip_special_tokens=False).encode()))
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        media = transport_stream.mux(payload)
+        assert tuple(found["op6"][0][i])[:7] == (i, len(raw), len(payload), sha(payload), zlib.crc32(payload[-32:]), len(media), sha(media))
+        assert tuple(found["op7"][0][i]) == (i, *kept[i][:2], sha(kept[i][2].encode()))
+        ids = np.array([*tokens.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(found["op10"][0][i]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert [found[f"op{n}"][1][:5] for n in (1, 2, 5, 9)] == [["doc_id", "held_out", "lang_pred", "score"], ["doc_id", "size", "source_size", "target", "taken"], ["doc_id", "n_shingles", "component_id"], ["vec_id", "n_links", "component_id", "kept"]]
+    u = np.array([v[1] for v in vectors])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & (np.arange(40)[:, None] % 2 == np.arange(40) % 2) & ~np.eye(40, dtype=bool)
+    assert all(found["op9"][0][i].n_links == linked[i].sum() for i in range(40))
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_queries_of_empty_tables(spark, tmp_path, name):
+    from ledgerloom.llm import queries
+
+    for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<double>, label int")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{t}.parquet"))
+    (query,) = (f for f in queries.QUERIES if f.__name__.startswith(name + "_"))
+    assert query(spark, str(tmp_path)).count() == 0
+
+
 def test_language_id(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = language_id.train(d.where(language_id.fold("doc_id", 5) != 0))
@@ -282,6 +400,26 @@ def test_language_id(spark, sf_dir):
     assert language_id.train(d.where("false"))["langs"] == []
 
 
+def test_quality_risk(spark):
+    """The weights leave no slope of the risk, and the prior is that of a mixture of known parts."""
+    rnd = random.Random(6)
+    good = lambda: " ".join(rnd.choice(["the", "house", "stands", "near", "a", "river", "and", "mill"]) for _ in range(40)) + "."
+    bad = lambda: " ".join("#!%x" % rnd.randrange(1 << 20) for _ in range(40))
+    rows = [(i, good() if i % 10 < 6 else bad()) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1500) if i % 10 < 6 and i % 3], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert abs(model.prior - 0.6) < 0.05
+    x = model.design(np.array([quality.features(t) for _, t in rows]), quality.hashed([t.encode() for _, t in rows])).astype(float)
+    g, p = x @ model.weights, np.array([i % 10 < 6 and i % 3 > 0 for i in range(1500)])
+    slope = (1 / (1 + np.exp(-g))) @ x / 1500 - model.prior * x[p].mean(axis=0) + quality.DECAY * model.weights
+    negative = np.logaddexp(0, g).mean() - model.prior * np.logaddexp(0, g[p]).mean()
+    assert negative >= -1e-6 and (np.abs(slope).max() < 5e-3 or negative < 0.2)
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all(abs(scores[i] - 1 / (1 + np.exp(-min(30, max(-30, g[i]))))) < 1e-4 for i in range(1500))
+    assert min(scores[i] for i in range(1500) if i % 10 < 6) > max(scores[i] for i in range(1500) if i % 10 >= 6)
+
+
 def test_quality(spark, sf_dir):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     model = quality.train(d.where(quality.fold("doc_id", 4) != 2), labels.where(quality.fold("doc_id", 4) != 2))
