@@ -41,7 +41,9 @@ THRESHOLD = 0.7
 #: Where no positives or no documents are known.
 DEFAULT_PRIOR = 0.8
 BINS, WORD_BUCKETS, GRAM_BUCKETS, GRAM_BYTES = 8, 128, 128, 3
-FIRST_ROUNDS, ROUNDS, DECAY = 5, 8, 1e-4
+FIRST_ROUNDS, ROUNDS = 5, 8
+#: Weights have a normal prior of this precision: a penalty that fades as documents grow in number.
+PRECISION = 5.0
 #: The prior's thresholds keep at least this part of the positives.
 LEAST_KEPT = 0.5
 NAMES = ("log_words", "distinct", "repeated_next", "word_bytes", "long_words", "upper", "digits", "pipes", "bangs", "marks", "stops", "high", "lines", "same_lines", "controls")
@@ -195,7 +197,8 @@ def _newton(rows: DataFrame, model: Model, prior: float | None, rounds: int) ->
         else:
             fair = model.weights
             slope, curve = t["slope"] / t["n"] - prior * t["x_p"] / t["n_p"], t["curve"] / t["n"]
-        step = -np.linalg.solve(curve.astype(float) + DECAY * np.eye(WIDTH), slope + DECAY * model.weights)
+        decay = PRECISION / t["n"]
+        step = -np.linalg.solve(curve.astype(float) + decay * np.eye(WIDTH), slope + decay * model.weights)
         step *= min(1.0, 20 / max(1e-12, np.abs(step).max()))
         model.weights = model.weights + step
     if prior is not None:

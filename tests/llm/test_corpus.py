@@ -412,7 +412,7 @@ def test_quality_risk(spark):
     assert abs(model.prior - 0.6) < 0.05
     x = model.design(np.array([quality.features(t) for _, t in rows]), quality.hashed([t.encode() for _, t in rows])).astype(float)
     g, p = x @ model.weights, np.array([i % 10 < 6 and i % 3 > 0 for i in range(1500)])
-    slope = (1 / (1 + np.exp(-g))) @ x / 1500 - model.prior * x[p].mean(axis=0) + quality.DECAY * model.weights
+    slope = (1 / (1 + np.exp(-g))) @ x / 1500 - model.prior * x[p].mean(axis=0) + quality.PRECISION / 1500 * model.weights
     negative = np.logaddexp(0, g).mean() - model.prior * np.logaddexp(0, g[p]).mean()
     assert negative >= -1e-6 and (np.abs(slope).max() < 5e-3 or negative < 0.2)
     scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
