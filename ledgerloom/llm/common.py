@@ -100,6 +100,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 _HELD: dict = {}
 
 
+def release() -> None:
+    """Gives back the memory of this Python worker's last model, before work that needs none."""
+    _HELD.clear()
+
+
 def held(key, make):
     """What make() returns, kept in this Python worker for the next task; only the last key's value is kept.
 

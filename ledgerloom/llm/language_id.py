@@ -13,21 +13,21 @@ its sample, so its size is bounded by MAX_UNITS and it may be broadcast.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import text_groups
-from .common import cut, discard, held, table
+from .common import cut, discard, held, release, table
 
-MAX_TRAIN = 10_000
+MAX_TRAIN = 5_000
 MAX_UNITS = 1_500_000
 LONGEST = 4
 SMOOTH = 0.5
@@ -37,9 +37,9 @@ LEAST_SCORE = 0.5
 #: Log frequencies of unseen words that a worker remembers, over all languages.
 MEMORY = 1_000_000
 FOLDS, HELD_OUT = 5, 0
-#: Runs of letters: what is alphanumeric, and neither a digit nor another number.
-_NUMBERS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORDS = regex.compile(r"\p{L}+")
+#: Words that a task counts before it sends them on.
+MOST_COUNTED = 50_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -52,14 +52,24 @@ def fold(column: str, folds: int):
 
 
 def _word_counts(batches):
-    """(lang, unit, count) of the rows (lang, text), summed within a batch."""
+    """(lang, unit, count) of the rows (lang, text), summed over stretches of text."""
+    release()
+    found: Counter = Counter()
+
+    def sent():
+        langs, units = zip(*found, strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(units, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "unit", "count"])
+        found.clear()
+        return batch
+
     for b in batches:
-        found: dict[str, Counter] = {}
         for lo, hi in text_groups(b.column(1)):
             for lang, text in zip(b.column(0).slice(lo, hi - lo).to_pylist(), b.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(words_of(text))
-        for lang, counts in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "unit", "count"])
+                found.update((lang, w) for w in words_of(text))
+            if len(found) > MOST_COUNTED:
+                yield sent()
+    if found:
+        yield sent()
 
 
 def _grams_of(words: DataFrame, n: int) -> DataFrame:
@@ -134,29 +144,33 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs = model["langs"]
         self.width = max(1, len(self.langs))
-        self.known, self.table = _units(model["words"], self.width)
-        self.grams, self.gram_logs = _units(model["grams"], self.width)
-        self.place = dict(self.known)
+        self.place, self.table = _units(model["words"], self.width)
+        self.grams, logs = _units(model["grams"], self.width)
+        self.gram_logs = list(map(tuple, logs.tolist()))
+        self.unseen: list[str] = []
 
-    def backed_off(self, w: str) -> np.ndarray:
+    def backed_off(self, w: str) -> list[float]:
         """The scores of an unseen word: the mean over its longest known n-grams."""
         for n in range(LONGEST, 0, -1):
             text = w if n == 1 else f"<{w}>"
-            found = [g for i in range(len(text) - n + 1) if (g := self.grams.get(text[i : i + n])) is not None]
+            found = [self.gram_logs[g] for i in range(len(text) - n + 1) if (g := self.grams.get(text[i : i + n])) is not None]
             if found:
-                return self.gram_logs[found].sum(axis=0) / len(found)
-        return np.zeros(self.width)
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * self.width
 
     def _learn(self, words: set[str]) -> None:
-        if (len(self.place) - len(self.known)) * self.width > MEMORY:
-            self.place = dict(self.known)
-        new = [w for w in words if w not in self.place]
+        if len(self.unseen) * self.width > MEMORY:
+            for w in self.unseen:
+                del self.place[w]
+            self.unseen = []
+        new = list(words.difference(self.place))
         at = len(self.place)
         if at + len(new) > len(self.table):
             self.table = np.vstack([self.table[:at], np.zeros((len(new) + MEMORY // self.width, self.width))])
-        for k, w in enumerate(new, at):
-            self.table[k] = self.backed_off(w)
-            self.place[w] = k
+        if new:
+            self.table[at : at + len(new)] = list(map(self.backed_off, new))
+            self.place.update(zip(new, range(at, at + len(new)), strict=True))
+            self.unseen += new
 
     def score(self, texts: list) -> list[tuple[str, float]]:
         split = list(map(words_of, texts))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .common import connected_components, cut, discard, only_ids, table
+from .common import connected_components, cut, discard, only_ids, release, table
 from .textnum import chunks, grams, mix, utf8, word_hashes
 
 SHINGLE_WORDS = 5
@@ -91,6 +91,7 @@ def _signatures(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64())])
 
     def run(batches):
+        release()
         for part in chunks(_rows(batches)):
             out = []
             for (doc, _), (s, t) in shingle_sets(part, k, lanes=2):
