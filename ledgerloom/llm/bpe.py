@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import held, table
+from .common import held, small_batches, table
 
 #: Words and white-space free chunks that a worker remembers; when there are more, it starts anew.
-MEMORY = 250_000
+MEMORY = 150_000
 _NEVER = np.int64(1 << 40)
 #: White space of Unicode; str.split() would also split at the four separators 28 to 31.
 _SPACES = regex.compile(r"\p{White_Space}+")
@@ -191,6 +191,7 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", ids: str = "t
     tokens in a text get their special ids. Rows, ties and all other columns
     stay as they are; a column named as the ids is replaced.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(tokenizer_json)
     base = df.drop(ids)
     place = base.columns.index(text)

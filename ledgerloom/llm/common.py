@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts that go to Python at a time.
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hands whole texts to Python in batches that stay small where documents are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the session names in spark.checkpoint.dir; there is no other place for tables between steps."""
     sc = spark.sparkContext

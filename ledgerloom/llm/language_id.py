@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import text_groups
-from .common import cut, discard, held, release, table
+from .common import cut, discard, held, release, small_batches, table
 
 MAX_TRAIN = 5_000
 MAX_UNITS = 1_500_000
@@ -35,7 +35,7 @@ UNDETERMINED = "und"
 #: Below this posterior the corpus pipeline rejects a document.
 LEAST_SCORE = 0.5
 #: Log frequencies of unseen words that a worker remembers, over all languages.
-MEMORY = 1_000_000
+MEMORY = 400_000
 FOLDS, HELD_OUT = 5, 0
 _WORDS = regex.compile(r"\p{L}+")
 #: Words that a task counts before it sends them on.
@@ -91,6 +91,7 @@ def train(docs: DataFrame, most: int = MAX_TRAIN) -> dict:
     Rows without text, lang or doc_id teach nothing; rows that share a doc_id
     are all in the sample or none is. Without any row the model has no language.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     while True:
         chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
@@ -194,6 +195,7 @@ def predict(docs: DataFrame, model: dict, lang: str = "lang_pred", score: str =
     name wins. Rows and all other columns stay, repeated rows too; columns named
     as the results are replaced. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid4().hex
     base = docs.drop(lang, score)

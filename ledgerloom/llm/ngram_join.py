@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .common import connected_components, cut, discard, only_ids, release, table
+from .common import connected_components, cut, discard, only_ids, release, small_batches, table
 from .textnum import chunks, grams, mix, utf8, word_hashes
 
 SHINGLE_WORDS = 5
@@ -248,6 +248,7 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = SIMI
     doc_id keep their size and get a null class. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = base.where("doc_id IS NOT NULL")
     sizes = cut(base.mapInArrow(_signatures(k), "doc_id long, n_shingles long, sig_a long, sig_b long"))

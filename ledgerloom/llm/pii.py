@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .bpe import text_groups
-from .common import cut, table, unused
+from .common import cut, small_batches, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds at most; they end when a round accepts no new string.
@@ -169,6 +169,7 @@ FOUND = "base array<struct<kind: string, first: int, last: int>>, mentions array
 
 def extract(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with the base spans and the mentions of each whole text; null texts have none."""
+    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     base = docs.select(*rest, text)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from .bpe import text_groups
-from .common import cut, discard, held, table
+from .common import cut, discard, held, small_batches, table
 from .language_id import fold
 from .textnum import utf8, word_hashes
 
@@ -230,6 +230,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     several labels is a positive if one of them is 1. Without positives or
     documents every score is DEFAULT_PRIOR.
     """
+    small_batches(docs.sparkSession)
     positive = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("positive", F.lit(True))
     rows = cut(with_features(docs.select("doc_id", "text")).join(positive, "doc_id", "left").select("stats", "grams", F.coalesce("positive", F.lit(False)).alias("positive"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("half")))
     at = [k / (BINS - 1) for k in range(1, BINS - 1)]

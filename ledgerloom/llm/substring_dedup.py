@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .common import cut, discard, only_ids, remove_path, scratch, table
+from .common import cut, discard, only_ids, remove_path, scratch, small_batches, table
 from .textnum import chunks, grams, mix, utf8, word_hashes
 
 WINDOW_WORDS = 35
@@ -316,6 +316,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, batches: int = B
     names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     index = FingerprintIndex(spark, scratch(spark, "fingerprints"), window)
     repeats, doubtful = [], []

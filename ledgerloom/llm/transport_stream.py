@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import scratch, table
+from .common import scratch, small_batches, table
 from .textnum import utf8
 
 UNIT_BYTES = 576
@@ -180,6 +180,7 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
 
     Equal texts have equal streams. Rows and other columns stay; columns named as the results are replaced.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop(media, "n_bytes")
     place = base.columns.index(text)
 
