@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +24,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; there is no other place for tables between steps."""
+    """The shared folder the session names in spark.checkpoint.dir; where none is set, a folder of a local session's own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if named:
+        return named
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = sc._jsc.sc().getCheckpointDir().get()
-    return named
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
