@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +16,43 @@ def keyword_hits(items: DataFrame, rules: DataFrame, text: str = "description",
     """(text, supplier, category, ...) a row per keyword that a distinct text contains.
 
     Texts are made distinct first, so the nested-loop join runs over distinct
-    descriptions and not over every line; rules are a catalogue of a few
-    hundred rows and are broadcast.
+    descriptions and not over every line; the catalogue is left to the planner.
     """
     texts = items.select(F.col(text).alias("_text"), F.col(supplier).alias("_supplier")).distinct()
     low, sup = F.lower("_text"), F.coalesce(F.lower("_supplier"), F.lit(""))
-    hit = texts.join(F.broadcast(rules), low.contains(F.col("keyword")))
+    hit = texts.join(rules, low.contains(F.col("keyword")))
     word = F.concat(F.lit(r"(^|[^a-z0-9])"), F.col("keyword"), F.lit(r"([^a-z0-9]|$)"))
     return hit.withColumn("whole", F.regexp_like(low, word)).withColumn("by_supplier", sup.contains(F.col("keyword")))
 
 
+#: A catalogue of so many keywords at most is written into the plan; a larger one is joined.
+MAX_IN_PLAN = 1_000
+
+
+def _in_row(items: DataFrame, entries: list, text: str, supplier: str) -> DataFrame:
+    """items with _r, the best category of each row by catalogue order, found without a join or a shuffle."""
+    entries = sorted(entries, key=lambda r: (r.cat_ord, r.kw_ord))
+    plain = [re.fullmatch("[a-z0-9]+", r.keyword) is not None for r in entries]
+    fields = [F.struct(*(F.lit(v).alias(n) for n, v in (("cat_ord", r.cat_ord), ("keyword", r.keyword), ("plain", p)))) for r, p in zip(entries, plain, strict=True)]
+    names = {r.cat_ord: (r.category, r.account) for r in entries}
+    category = F.create_map(*(x for k, (c, a) in names.items() for x in (F.lit(k), F.struct(F.lit(c).alias("category"), F.lit(a).cast("string").alias("account")))))
+    low, sup = F.lower(F.col(text)), F.coalesce(F.lower(F.col(supplier)), F.lit(""))
+    hits = F.filter(F.array(*fields), lambda r: F.contains(F.col("_low"), r["keyword"]))
+
+    def scored(r: Column) -> Column:
+        odd = F.regexp_like(F.col("_low"), F.concat(F.lit(r"(^|[^a-z0-9])"), r["keyword"], F.lit(r"([^a-z0-9]|$)")))
+        whole = F.when(r["plain"], F.contains(F.col("_padded"), F.concat(F.lit(" "), r["keyword"], F.lit(" ")))).otherwise(odd)
+        score = 1 + 0.1 * F.length(r["keyword"]) + F.when(F.contains(F.col("_sup"), r["keyword"]), 2.0).otherwise(0.0) + F.when(whole, 0.5).otherwise(0.0)
+        return F.struct(r["cat_ord"].alias("cat_ord"), r["keyword"].alias("keyword"), score.alias("score"))
+
+    d = items.withColumns({"_low": low, "_sup": sup, "_padded": F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]", " "), F.lit(" "))}).withColumn("_hits", F.transform(hits, scored))
+    sums = F.transform(F.array_distinct(F.transform("_hits", lambda h: h["cat_ord"])), lambda c: F.struct(F.aggregate(F.filter("_hits", lambda h: h["cat_ord"] == c), F.lit(0.0), lambda a, h: a + h["score"]).alias("score"), (-c).alias("order")))
+    d = d.withColumn("_top", F.array_max(sums)).withColumn("_own", F.filter("_hits", lambda h: h["cat_ord"] == -F.col("_top.order")))
+    of = category[-F.col("_top.order")]
+    r = F.struct(of["category"].alias("category"), of["account"].alias("account"), F.col("_top.score").alias("score"), F.size("_own").alias("matches"), F.transform("_own", lambda h: h["keyword"]).alias("keywords"))
+    return d.withColumn("_r", F.when(F.col("_top").isNotNull(), r)).drop("_low", "_sup", "_padded", "_hits", "_top", "_own")
+
+
 def _best(hits: DataFrame, score: Column) -> DataFrame:
     per = hits.groupBy("_text", "_supplier", "cat_ord", "category", "account").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("matches"), F.transform(F.sort_array(F.collect_list(F.struct("kw_ord", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
     best = per.groupBy("_text", "_supplier").agg(F.max_by(F.struct("category", "account", "score", "matches", "keywords"), F.struct("score", -F.col("cat_ord"))).alias("r"))
@@ -36,12 +65,17 @@ def classify_by_rules(items: DataFrame, rules: DataFrame, default_category: str
     The first category in catalogue order wins ties. Without a hit: the default
     category, the fallback account, confidence .2 and no keywords.
     """
-    score = 1 + 0.1 * F.length("keyword") + F.when(F.col("by_supplier"), 2.0).otherwise(0.0) + F.when(F.col("whole"), 0.5).otherwise(0.0)
-    best = _best(keyword_hits(items, rules, text, supplier), score)
-    out = items.drop("category", "account", "confidence", "keywords").join(best, F.col(text).eqNullSafe(F.col("_text")) & F.col(supplier).eqNullSafe(F.col("_supplier")), "left")
+    rest = items.drop("category", "account", "confidence", "keywords")
+    entries = rules.select("cat_ord", "kw_ord", "category", "account", "keyword").limit(MAX_IN_PLAN + 1).collect()
+    if 0 < len(entries) <= MAX_IN_PLAN:
+        out = _in_row(rest, entries, text, supplier).select(*rest.columns, "_r.*")
+    else:
+        score = 1 + 0.1 * F.length("keyword") + F.when(F.col("by_supplier"), 2.0).otherwise(0.0) + F.when(F.col("whole"), 0.5).otherwise(0.0)
+        best = _best(keyword_hits(items, rules, text, supplier), score)
+        out = rest.join(best, F.col(text).eqNullSafe(F.col("_text")) & F.col(supplier).eqNullSafe(F.col("_supplier")), "left").drop("_text", "_supplier")
     confidence = F.when(F.col("score").isNull(), 0.2).otherwise(F.least(F.lit(0.8), 0.3 + 0.05 * F.col("score")) + F.least(F.lit(0.15), 0.03 * F.col("matches")))
     account = F.when(F.coalesce(valid_account(F.col("account")), F.lit(False)), F.col("account")).otherwise(FALLBACK_ACCOUNT)
-    return out.withColumns({"category": F.coalesce("category", F.lit(default_category)), "confidence": confidence, "account": account, "keywords": F.coalesce("keywords", F.array().cast("array<string>"))}).drop("_text", "_supplier", "score", "matches")
+    return out.withColumns({"category": F.coalesce("category", F.lit(default_category)), "confidence": confidence, "account": account, "keywords": F.coalesce("keywords", F.array().cast("array<string>"))}).drop("score", "matches")
 
 
 def classify_by_rules_simple(items: DataFrame, rules: DataFrame, brands: list[str], text: str = "description", supplier: str = "supplier") -> DataFrame:
@@ -118,3 +152,23 @@ def vote(neighbours: DataFrame, query: str = "query_id") -> DataFrame:
     per = neighbours.groupBy(query, "account").agg(F.sum(F.col("similarity") * F.col("confidence")).alias("w"))
     best = per.groupBy(query).agg(F.max_by("account", F.struct("w", F.col("account"))).alias("account"), F.max("w").alias("best"), F.sum("w").alias("total"))
     return best.select(query, "account", F.least(F.lit(0.95), F.coalesce(F.try_divide("best", "total"), F.lit(0.1))).alias("confidence"))
+
+
+def vote_details(queries: DataFrame, neighbours: DataFrame, query: str = "query_id", top: int = 3) -> DataFrame:
+    """The weighted vote with its reasons, a row per row of queries(query).
+
+    neighbours(query, rank, account, category, supplier, example, similarity,
+    confidence) are the found bookings, best first. Each account gathers
+    similarity * confidence; of equal accounts the one seen first wins, with its
+    first category and its most frequent supplier (by name on ties). The
+    examples are the first ones of all neighbours. Without neighbours: the
+    fallback account with confidence .1.
+    """
+    n = neighbours.withColumn("_w", F.col("similarity") * F.col("confidence"))
+    per = n.groupBy(query, "account").agg(F.sum("_w").alias("w"), F.min("rank").alias("seen"), F.min_by("category", "rank").alias("category"))
+    best = per.groupBy(query).agg(F.max_by(F.struct("account", "category"), F.struct("w", -F.col("seen"))).alias("_b"), F.max("w").alias("best"), F.sum("w").alias("total"))
+    suppliers = n.groupBy(query, "account", "supplier").agg(F.count(F.lit(1)).alias("n")).groupBy(query, "account").agg(F.min_by("supplier", F.struct(-F.col("n"), F.col("supplier"))).alias("supplier"))
+    examples = n.where(F.col("rank") <= top).groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "example"))), lambda x: x["example"]).alias("examples"))
+    won = best.select(query, "_b.account", "_b.category", F.least(F.lit(0.95), F.try_divide("best", "total")).alias("confidence")).join(suppliers, [query, "account"], "left").join(examples, query, "left")
+    out = queries.select(query).join(won, query, "left")
+    return out.select(query, F.coalesce("account", F.lit(FALLBACK_ACCOUNT)).alias("account"), F.coalesce("category", F.lit("Unbekannt")).alias("category"), F.coalesce("confidence", F.lit(0.1)).alias("confidence"), "supplier", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"), F.when(F.col("account").isNull(), "fallback").otherwise("rag_similarity").alias("method"))

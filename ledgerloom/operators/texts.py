@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def words(text: Column) -> Column:
@@ -38,10 +42,18 @@ def top_ngrams(docs: DataFrame, n: int, k: int, stopwords: list[str], key: str =
     """(key, gram, count, rank): the k most frequent n-grams of each document without stopwords, ties by first place."""
     kept = F.filter(F.split(F.lower(text), r"[^a-zäöüßéèêàçñóíúáâîôû]+"), lambda w: (F.length(w) > 2) & ~w.isin(stopwords))
     d = docs.select(key, kept.alias("w")).where(F.size("w") >= n)
-    gram = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    g = d.select(key, F.posexplode(gram).alias("at", "gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first"))
-    ranked = g.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "first")))
-    return ranked.where(F.col("rank") <= k).select(key, "gram", "count", "rank")
+
+    def count(batches):
+        for b in batches:
+            out = []
+            for doc, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                # Of equal counts the gram met first comes first.
+                best = Counter(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)).most_common(k)
+                out += [(doc, gram, c, rank) for rank, (gram, c) in enumerate(best, 1)]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field(0).type, pa.string(), pa.int64(), pa.int32()), strict=True)], names=[key, "gram", "count", "rank"])
+
+    return d.mapInArrow(count, StructType([docs.schema[key]]).add("gram", "string").add("count", "long").add("rank", "integer"))
 
 
 def block_stats(text: Column) -> dict[str, Column]:
@@ -135,7 +147,7 @@ def without_overlaps(spans: Column) -> Column:
 
 
 def corrected_span(text: Column, entity: Column, start: Column, end: Column) -> Column:
-    """(start, end, confidence): the exact slice 1.0, else found 1.0 or .95 (in any case), else kept .5 in bounds and .3 out of them."""
+    """(start, end, confidence): the exact slice 1.0, else found .95 (in any case), else kept .5 in bounds and .3 out of them."""
     slice_ = F.substring(text, start + 1, end - start)
     exact, any_case = F.instr(text, entity) - 1, F.instr(F.lower(text), F.lower(entity)) - 1
     n = F.length(entity)
@@ -143,7 +155,61 @@ def corrected_span(text: Column, entity: Column, start: Column, end: Column) ->
     def out(a: Column, z: Column, c: float) -> Column:
         return F.struct(a.cast("int").alias("start"), z.cast("int").alias("end"), F.lit(c).alias("confidence"))
 
-    return F.when(slice_ == entity, out(start, end, 1.0)).when(exact >= 0, out(exact, exact + n, 0.95)).when(any_case >= 0, out(any_case, any_case + n, 0.9)).when((start >= 0) & (end <= F.length(text)) & (start < end), out(start, end, 0.5)).otherwise(out(start, end, 0.3))
+    return F.when(slice_ == entity, out(start, end, 1.0)).when(exact >= 0, out(exact, exact + n, 0.95)).when(any_case >= 0, out(any_case, any_case + n, 0.95)).when((start >= 0) & (end <= F.length(text)) & (start < end), out(start, end, 0.5)).otherwise(out(start, end, 0.3))
+
+
+def corrected_annotation(text: Column, entity: Column, start: Column, end: Column, label: Column, brands: list[str], brand_label: str = "MARKE") -> Column:
+    """(text, label, start, end, confidence, corrected, fuzzy, fallback) of one annotation.
+
+    Positions out of the text fall back to the entity's length at 0 with .3. The
+    right slice (blanks at its ends aside) has 1.0; an entity found elsewhere, in
+    any case, .95; a known brand under the brand label takes the first brand of
+    the list that the text has, .8; all others keep their place with .5.
+    """
+    exact, any_case = F.instr(text, entity) - 1, F.instr(F.lower(text), F.lower(entity)) - 1
+    found = F.when(exact >= 0, exact).otherwise(any_case)
+    held = F.array_max(F.array(F.struct(F.lit(-len(brands)).alias("order"), F.lit(None).cast("string").alias("brand")), *(F.when(F.contains(F.upper(text), F.lit(b)), F.struct(F.lit(-k).alias("order"), F.lit(b).alias("brand"))) for k, b in enumerate(brands))))["brand"]
+    brand = F.when((label == brand_label) & F.upper(entity).isin(brands), held)
+
+    def out(value: Column, a: Column, z: Column, confidence: float, corrected: bool = False, fuzzy: bool = False, fallback: bool = False) -> Column:
+        return F.struct(value.alias("text"), label.alias("label"), a.cast("int").alias("start"), z.cast("int").alias("end"), F.lit(confidence).alias("confidence"), F.lit(corrected).alias("corrected"), F.lit(fuzzy).alias("fuzzy"), F.lit(fallback).alias("fallback"))
+
+    bad = (start < 0) | (end > F.length(text)) | (start >= end)
+    at = F.instr(F.upper(text), brand) - 1
+    return (
+        F.when(bad, out(entity, F.lit(0), F.length(entity), 0.3, fallback=True))
+        .when(F.trim(F.substring(text, start + 1, end - start)) == F.trim(entity), out(entity, start, end, 1.0))
+        .when(found >= 0, out(entity, found, found + F.length(entity), 0.95, corrected=True))
+        .when(brand.isNotNull(), out(brand, at, at + F.length(brand), 0.8, corrected=True, fuzzy=True))
+        .otherwise(out(entity, start, end, 0.5))
+    )
+
+
+def correction_counts(corrected: Column) -> list[Column]:
+    """Sums over corrected annotations: total, corrected, exact, fuzzy and fallback."""
+    return [F.count(F.lit(1)).alias("total"), F.count_if(corrected["corrected"]).alias("corrected"), F.count_if(corrected["confidence"] == 1.0).alias("exact"), F.count_if(corrected["fuzzy"]).alias("fuzzy"), F.count_if(corrected["fallback"]).alias("fallback")]
+
+
+def annotation_fault(text: Column, annotation: Column) -> Column:
+    """Why an annotation does not fit its text: position, mismatch or confidence; null if it fits."""
+    a, z = annotation["start"], annotation["end"]
+    return F.when((a < 0) | (z > F.length(text)) | (a >= z), "position").when(F.trim(F.substring(text, a + 1, z - a)) != F.trim(annotation["text"]), "mismatch").when(annotation["confidence"] < 0.3, "confidence")
+
+
+def annotation_report(fault: Column, confidence: Column) -> list[Column]:
+    """Sums over annotations: valid, invalid, mean confidence of the valid ones, share of valid ones."""
+    valid = F.count_if(fault.isNull())
+    return [valid.alias("valid"), (F.count(F.lit(1)) - valid).alias("invalid"), F.coalesce(F.avg(F.when(fault.isNull(), confidence)), F.lit(0.0)).alias("mean_confidence"), (valid / F.count(F.lit(1))).alias("quality")]
+
+
+def span_scores(gold: DataFrame, predicted: DataFrame, keys: tuple[str, ...] = ("doc_id", "start", "end", "label")) -> DataFrame:
+    """(gold, predicted, hits, precision, recall, f1), one row, by exact match of distinct spans on keys."""
+    both = gold.select(*keys).distinct().withColumn("g", F.lit(1)).unionByName(predicted.select(*keys).distinct().withColumn("p", F.lit(1)), allowMissingColumns=True)
+    met = both.groupBy(*keys).agg(F.max("g").alias("g"), F.max("p").alias("p"))
+    t = met.agg(F.count("g").alias("gold"), F.count("p").alias("predicted"), F.count(F.col("g") + F.col("p")).alias("hits"))
+    ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
+    t = t.withColumns({"precision": ratio(F.col("hits"), F.col("predicted")), "recall": ratio(F.col("hits"), F.col("gold"))})
+    return t.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def variance_of(long: DataFrame) -> DataFrame:

@@ -88,6 +88,36 @@ def training_files(t):
     return files.read_category_examples(t.spark, path).groupBy(F.get(F.map_keys("annotations.cats"), F.lit(0)).alias("cat")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, lang, 'Q_' || CAST(quality AS VARCHAR) AS cat FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
+def training_texts(t):
+    """Whole texts with their categories, written as JSON lines and read back."""
+    path = ST.work_folder(t.spark)
+    d = t.documents.join(t.labels.where("quality IS NOT NULL"), "doc_id")
+    cats = F.create_map(F.concat(F.lit("Q_"), F.col("quality").cast("string")), F.lit(1.0))
+    d.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.struct(cats.alias("cats")).alias("annotations")).write.json(path)
+    back = t.spark.read.schema("doc_id long, lang string, text string, annotations struct<cats: map<string, double>>").json(path)
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", F.get(F.map_keys("annotations.cats"), F.lit(0)).alias("cat"))
+
+
+@query("SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents")
+def json_documents(t):
+    """Whole documents, written as JSON and read back by their schema."""
+    path = ST.work_folder(t.spark)
+    t.documents.write.json(path)
+    good, _ = files.read_results(t.spark, path, t.documents.schema)
+    return good.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+@query("SELECT p_type AS category, string_agg(DISTINCT account, ',' ORDER BY account) AS accounts FROM (SELECT '3' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS account, p_type, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) = 1) GROUP BY 1")
+def accounts_by_category(t):
+    """The accounts of each category, from a chart read from its text form."""
+    path = ST.work_folder(t.spark)
+    p = t.part.select(F.concat(F.lit(" 3"), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("account"), F.col("p_type").alias("category"), "p_partkey")
+    p.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").write.option("sep", ";").option("header", True).csv(path)
+    chart = files.read_chart(t.spark, path)
+    return files.accounts_by_category(chart.withColumn("p_partkey", F.col("p_partkey").cast("long"))).withColumn("accounts", F.array_join("accounts", ","))
+
+
 @query("SELECT s_name AS name FROM supplier")
 def supplier_names(t):
     path = ST.work_folder(t.spark)

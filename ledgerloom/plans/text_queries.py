@@ -87,11 +87,19 @@ ENTITY = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[a-z0-9.]+@[a-z0-9.]+[a-z]"
 
 @query(f"SELECT doc_id, len(m) AS n, len(list_distinct(m)) AS n_distinct, array_to_string(m, ',') AS found FROM (SELECT doc_id, regexp_extract_all(text, '{ENTITY}') AS m FROM documents)")
 def entity_counts(t):
-    m = F.transform(X.pattern_spans(F.col("text"), ENTITY), lambda s: s["value"])
+    m = F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1))
     return t.documents.select("doc_id", F.size(m).alias("n"), F.size(F.array_distinct(m)).alias("n_distinct"), F.array_join(m, ",").alias("found"))
 
 
-@query()
+def _spans_sql(pattern: str) -> str:
+    return f"""(SELECT doc_id, text, found[i] AS value, CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(found[1:i - 1], lambda g: length(g))), 0) AS INT) AS start
+ FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS gaps FROM documents)))"""
+
+
+SPANS_SQL = f"spans AS (SELECT doc_id, text, value, start, CAST(start + length(value) AS INT) AS end_, CASE WHEN contains(value, '@') THEN 'email' ELSE 'ip' END AS label FROM {_spans_sql(ENTITY)})"
+
+
+@query(f"WITH {SPANS_SQL} SELECT doc_id, start, end_ AS \"end\", value FROM spans")
 def entity_spans(t):
     s = X.without_overlaps(X.pattern_spans(F.col("text"), ENTITY))
     return t.documents.select("doc_id", F.explode(s).alias("s")).select("doc_id", "s.start", "s.end", "s.value")
@@ -99,14 +107,15 @@ def entity_spans(t):
 
 @query(f"WITH e AS (SELECT doc_id, unnest(regexp_extract_all(text, '{ENTITY}')) AS v FROM documents) SELECT CASE WHEN contains(v, '@') THEN 'email' ELSE 'ip' END AS label, count(*) AS n, count(DISTINCT doc_id) AS documents FROM e GROUP BY 1")
 def entity_statistics(t):
-    e = t.documents.select("doc_id", F.explode(X.pattern_spans(F.col("text"), ENTITY)).alias("s"))
-    return e.groupBy(F.when(F.contains("s.value", F.lit("@")), "email").otherwise("ip").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
+    e = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({ENTITY})"), F.lit(1))).alias("s"))
+    return e.groupBy(F.when(F.contains("s", F.lit("@")), "email").otherwise("ip").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query(r"SELECT doc_id, count(*) FILTER (regexp_full_match(w, '[0-9]+')) AS numbers, count(*) FILTER (regexp_full_match(w, '[A-Z][a-z]+')) AS names FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents) GROUP BY 1")
 def token_rules(t):
-    w = t.documents.select("doc_id", F.explode(F.split("text", r"\s+")).alias("w"))
-    return w.groupBy("doc_id").agg(F.count_if(F.col("w").rlike("^[0-9]+$")).alias("numbers"), F.count_if(F.col("w").rlike("^[A-Z][a-z]+$")).alias("names"))
+    w = F.split("text", r"\s+")
+    of = lambda p: F.size(F.filter(w, lambda x: F.regexp_like(x, F.lit(p)))).cast("long")
+    return t.documents.where("text IS NOT NULL").select("doc_id", of("^[0-9]+$").alias("numbers"), of("^[A-Z][a-z]+$").alias("names"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1.0 WHEN instr(text, w) > 0 THEN CASE WHEN substr(text, 6, length(w)) = w THEN 1.0 ELSE 0.95 END ELSE 0.5 END AS confidence FROM (SELECT doc_id, text, substr(text, 1, 5) AS w FROM documents WHERE length(text) > 20)""")
@@ -121,6 +130,50 @@ def annotation_validation(t):
     return g.withColumn("quality", F.round(F.col("valid") / F.col("total"), 9))
 
 
+# Annotations whose places are off by 0 to 3 characters, every fifth in capitals, under a brand's label where they are addresses.
+SHIFTED_SQL = f"""{SPANS_SQL}, shifted AS (SELECT doc_id, text, CASE WHEN (doc_id + start) % 5 = 0 THEN upper(value) ELSE value END AS entity, start + start % 4 AS s, end_ + start % 4 AS e, label FROM spans),
+ facts AS (SELECT *, s < 0 OR e > length(text) OR s >= e AS bad, trim(substr(text, s + 1, e - s)) = trim(entity) AS same, CASE WHEN instr(text, entity) > 0 THEN instr(text, entity) ELSE instr(lower(text), lower(entity)) END - 1 AS place FROM shifted),
+ corrected AS (SELECT *, CASE WHEN bad THEN 0 WHEN same THEN s WHEN place >= 0 THEN place ELSE s END AS cs, CASE WHEN bad THEN length(entity) WHEN same THEN e WHEN place >= 0 THEN place + length(entity) ELSE e END AS ce, CASE WHEN bad THEN 0.3 WHEN same THEN 1.0 WHEN place >= 0 THEN 0.95 ELSE 0.5 END AS conf FROM facts)"""
+
+
+def shifted_annotations(t):
+    off = F.col("s.start") % 4
+    d = t.documents.select("doc_id", "text", F.explode(X.pattern_spans(F.col("text"), ENTITY)).alias("s"))
+    entity = F.when((F.col("doc_id") + F.col("s.start")) % 5 == 0, F.upper("s.value")).otherwise(F.col("s.value"))
+    label = F.when(F.contains("s.value", F.lit("@")), "email").otherwise("ip")
+    return d.withColumn("c", X.corrected_annotation(F.col("text"), entity, F.col("s.start") + off, F.col("s.end") + off, label, ["GIRA", "HAGER"]))
+
+
+@query(f"WITH {SHIFTED_SQL} SELECT doc_id, entity, label, CAST(cs AS INT) AS start, CAST(ce AS INT) AS \"end\", conf AS confidence, count(*) AS n FROM corrected GROUP BY ALL")
+def annotation_corrections(t):
+    return shifted_annotations(t).groupBy("doc_id", F.col("c.text").alias("entity"), "c.label", "c.start", "c.end", "c.confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SHIFTED_SQL} SELECT doc_id, count(*) AS total, count(*) FILTER (conf = 0.95) AS corrected, count(*) FILTER (conf = 1.0) AS exact, 0 AS fuzzy, count(*) FILTER (conf = 0.3) AS fallback FROM corrected GROUP BY 1")
+def annotation_batch_counts(t):
+    return shifted_annotations(t).groupBy("doc_id").agg(*X.correction_counts(F.col("c")))
+
+
+@query(f"""WITH {SHIFTED_SQL}, checked AS (SELECT *, NOT (cs < 0 OR ce > length(text) OR cs >= ce) AND trim(substr(text, cs + 1, ce - cs)) = trim(entity) AND conf >= 0.3 AS ok FROM corrected)
+ SELECT doc_id, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS invalid, round(coalesce(avg(conf) FILTER (ok), 0), 9) AS mean_confidence, round(count(*) FILTER (ok) / count(*), 9) AS quality FROM checked GROUP BY 1""")
+def annotation_quality(t):
+    d = shifted_annotations(t).withColumn("fault", X.annotation_fault(F.col("text"), F.col("c")))
+    r = d.groupBy("doc_id").agg(*X.annotation_report(F.col("fault"), F.col("c.confidence")))
+    return r.withColumns({c: F.round(c, 9) for c in ("mean_confidence", "quality")})
+
+
+OTHER_ENTITY = r"[a-z0-9.]+@[a-z0-9.]+[a-z]|[0-9]+\.[0-9]+"
+
+
+@query(f"""WITH {SPANS_SQL}, other AS (SELECT doc_id, start, CAST(start + length(value) AS INT) AS end_, CASE WHEN contains(value, '@') THEN 'email' ELSE 'ip' END AS label FROM {_spans_sql(OTHER_ENTITY)}),
+ t AS (SELECT (SELECT count(*) FROM spans) AS gold, (SELECT count(*) FROM other) AS predicted, (SELECT count(*) FROM spans JOIN other USING (doc_id, start, end_, label)) AS hits)
+ SELECT gold, predicted, hits, round(hits / predicted, 9) AS precision, round(hits / gold, 9) AS recall, round(2 * (hits / predicted) * (hits / gold) / (hits / predicted + hits / gold), 9) AS f1 FROM t""")
+def span_scores(t):
+    """Spans of one pattern judged by those of another, over whole texts."""
+    gold, predicted = (t.documents.select("doc_id", F.explode(X.pattern_spans(F.col("text"), p)).alias("s")).select("doc_id", "s.start", "s.end", F.when(F.contains("s.value", F.lit("@")), "email").otherwise("ip").alias("label")) for p in (ENTITY, OTHER_ENTITY))
+    return X.span_scores(gold, predicted).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
 @query("SELECT l_orderkey, pos, s, CAST(coalesce(sum(length(s) + 1) OVER (PARTITION BY l_orderkey ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, p_name AS s FROM lineitem JOIN part ON p_partkey = l_partkey)")
 def annotated_text_offsets(t):
     w = Window.partitionBy("l_orderkey")
@@ -272,6 +325,17 @@ def neighbour_vote(t):
     return R.vote(n).withColumn("confidence", F.round("confidence", 6))
 
 
+@query(f"""WITH {KNN}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM knn QUALIFY rank <= 5),
+ w AS (SELECT query_id, label, sum(s) AS w, min(rank) AS seen FROM top GROUP BY 1, 2), best AS (SELECT *, max(w) OVER q AS best, sum(w) OVER q AS total FROM w WINDOW q AS (PARTITION BY query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, seen) = 1),
+ sup AS (SELECT query_id, label, 's' || CAST(vec_id % 3 AS VARCHAR) AS supplier, count(*) AS n FROM top GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY n DESC, supplier) = 1)
+ SELECT query_id, CAST(label AS VARCHAR) AS account, 'c' || CAST(label AS VARCHAR) AS category, round(least(0.95, best / total), 6) AS confidence, supplier, (SELECT string_agg(CAST(t.vec_id AS VARCHAR), ',' ORDER BY t.rank) FROM top t WHERE t.query_id = best.query_id AND t.rank <= 3) AS examples, 'rag_similarity' AS method FROM best JOIN sup USING (query_id, label)""")
+def neighbour_vote_details(t):
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    name = F.col("label").cast("string")
+    n = V.nearest(V.similarities(q, t.embeddings), 5).select("query_id", "rank", "similarity", name.alias("account"), F.concat(F.lit("c"), name).alias("category"), F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("supplier"), F.col("vec_id").cast("string").alias("example"), F.lit(1.0).alias("confidence"))
+    return R.vote_details(q, n).withColumn("confidence", F.round("confidence", 6)).withColumn("examples", F.array_join("examples", ","))
+
+
 @query()
 def text_encoder(t):
     return V.encode_texts(t.documents.select("doc_id", "text")).select("doc_id", F.size("vector").alias("dimension"), F.exists("vector", lambda x: x != 0).alias("filled"))

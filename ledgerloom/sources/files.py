@@ -40,6 +40,15 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("ord").alias("cat_ord"), "category", F.posexplode("keywords").alias("kw_ord", "keyword"), "account").withColumn("keyword", F.lower("keyword"))
 
 
+def read_catalogue_yaml(spark: SparkSession, path: str, top: str = "kategorien", keywords: str = "schlüsselwörter", account: str = "standard_konto") -> DataFrame:
+    """The same from a YAML file whose categories stand below top in order, each with its keywords and account."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()
+    found = (yaml.safe_load(text.value) or {}).get(top) or {} if text else {}
+    return rule_catalogue(spark, [(c, list(map(str, e.get(keywords) or [])), str(e.get(account) or "")) for c, e in found.items()])
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """One name per line; blank lines and # comments are left out."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' AND NOT startswith(name, '#')")

@@ -42,7 +42,7 @@ def test_against_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, sf_dir, name):
-    assert catalog.queries()[name](spark, sf_dir).columns
+    assert catalog.queries()[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
