@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,31 +28,35 @@ def keyword_hits(items: DataFrame, rules: DataFrame, text: str = "description",
 
 
 #: A catalogue of so many keywords at most is written into the plan; a larger one is joined.
-MAX_IN_PLAN = 1_000
+MAX_IN_PLAN = 300
 
 
 def _in_row(items: DataFrame, entries: list, text: str, supplier: str) -> DataFrame:
-    """items with _r, the best category of each row by catalogue order, found without a join or a shuffle."""
-    entries = sorted(entries, key=lambda r: (r.cat_ord, r.kw_ord))
-    plain = [re.fullmatch("[a-z0-9]+", r.keyword) is not None for r in entries]
-    fields = [F.struct(*(F.lit(v).alias(n) for n, v in (("cat_ord", r.cat_ord), ("keyword", r.keyword), ("plain", p)))) for r, p in zip(entries, plain, strict=True)]
-    names = {r.cat_ord: (r.category, r.account) for r in entries}
-    category = F.create_map(*(x for k, (c, a) in names.items() for x in (F.lit(k), F.struct(F.lit(c).alias("category"), F.lit(a).cast("string").alias("account")))))
+    """items with _r, the best category of each row by catalogue order: plain expressions, without a join or a shuffle."""
     low, sup = F.lower(F.col(text)), F.coalesce(F.lower(F.col(supplier)), F.lit(""))
-    hits = F.filter(F.array(*fields), lambda r: F.contains(F.col("_low"), r["keyword"]))
-
-    def scored(r: Column) -> Column:
-        odd = F.regexp_like(F.col("_low"), F.concat(F.lit(r"(^|[^a-z0-9])"), r["keyword"], F.lit(r"([^a-z0-9]|$)")))
-        whole = F.when(r["plain"], F.contains(F.col("_padded"), F.concat(F.lit(" "), r["keyword"], F.lit(" ")))).otherwise(odd)
-        score = 1 + 0.1 * F.length(r["keyword"]) + F.when(F.contains(F.col("_sup"), r["keyword"]), 2.0).otherwise(0.0) + F.when(whole, 0.5).otherwise(0.0)
-        return F.struct(r["cat_ord"].alias("cat_ord"), r["keyword"].alias("keyword"), score.alias("score"))
-
-    d = items.withColumns({"_low": low, "_sup": sup, "_padded": F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]", " "), F.lit(" "))}).withColumn("_hits", F.transform(hits, scored))
-    sums = F.transform(F.array_distinct(F.transform("_hits", lambda h: h["cat_ord"])), lambda c: F.struct(F.aggregate(F.filter("_hits", lambda h: h["cat_ord"] == c), F.lit(0.0), lambda a, h: a + h["score"]).alias("score"), (-c).alias("order")))
-    d = d.withColumn("_top", F.array_max(sums)).withColumn("_own", F.filter("_hits", lambda h: h["cat_ord"] == -F.col("_top.order")))
-    of = category[-F.col("_top.order")]
-    r = F.struct(of["category"].alias("category"), of["account"].alias("account"), F.col("_top.score").alias("score"), F.size("_own").alias("matches"), F.transform("_own", lambda h: h["keyword"]).alias("keywords"))
-    return d.withColumn("_r", F.when(F.col("_top").isNotNull(), r)).drop("_low", "_sup", "_padded", "_hits", "_top", "_own")
+    d = items.withColumns({"_low": low, "_sup": sup, "_padded": F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]", " "), F.lit(" "))})
+    categories: dict[int, list] = {}
+    for r in sorted(entries, key=lambda r: (r.cat_ord, r.kw_ord)):
+        categories.setdefault(r.cat_ord, []).append(r)
+
+    def hit(r) -> Column:
+        return F.coalesce(F.contains(F.col("_low"), F.lit(r.keyword)), F.lit(False))
+
+    def score(r) -> Column:
+        if re.fullmatch("[a-z0-9]+", r.keyword):
+            whole = F.contains(F.col("_padded"), F.lit(f" {r.keyword} "))
+        else:
+            whole = F.regexp_like(F.col("_low"), F.lit(rf"(^|[^a-z0-9]){r.keyword}([^a-z0-9]|$)"))
+        return F.when(hit(r), F.lit(1 + 0.1 * len(r.keyword)) + F.when(F.contains(F.col("_sup"), F.lit(r.keyword)), 2.0).otherwise(0.0) + F.when(whole, 0.5).otherwise(0.0)).otherwise(0.0)
+
+    scores = [F.struct(reduce(add, map(score, rows)).alias("score"), F.lit(-k).alias("order")) for k, rows in categories.items()]
+    d = d.withColumn("_top", F.array_max(F.array(*scores)))
+    best = F.lit(None).cast("struct<category: string, account: string, score: double, matches: bigint, keywords: array<string>>")
+    for k, rows in categories.items():
+        words = F.array_compact(F.array(*(F.when(hit(r), F.lit(r.keyword)) for r in rows)))
+        own = F.struct(F.lit(rows[0].category).alias("category"), F.lit(rows[0].account).cast("string").alias("account"), F.col("_top.score").alias("score"), F.size(words).cast("long").alias("matches"), words.alias("keywords"))
+        best = F.when((F.col("_top.order") == -k) & (F.col("_top.score") > 0), own).otherwise(best)
+    return d.withColumn("_r", best).drop("_low", "_sup", "_padded", "_top")
 
 
 def _best(hits: DataFrame, score: Column) -> DataFrame:
