@@ -460,3 +460,33 @@ def test_pipeline(spark, docs):
         assert out.columns == rows.columns
         rows = spark.createDataFrame(out.collect(), out.schema)
     assert corpus_pipeline.STAGES[4][1](spark, rows, "").where("n_tokens <> size(token_ids)").count() == 0
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() against a plain version: rejects, classes, masks, copies and ids."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(12)
+    words = {"de": ["haus", "und", "nicht", "wald", "fluss", "mühle"], "en": ["house", "and", "not", "forest", "river", "mill"]}
+    say = lambda lang, n: " ".join(rnd.choice(words[lang]) for _ in range(n))
+    rows = [(i, say("de" if i % 2 else "en", 20 + i), "de" if i % 2 else "en", "s%d" % (i % 3)) for i in range(24)]
+    rows += [(30, rows[3][1], "de", "s0"), (31, rows[4][1].upper(), None, "s1"), (32, "12 34 ½", "en", "s1"), (33, None, "en", "s2"), (34, "", None, None)]
+    rows += [(35, say("en", 30) + " write to anna@example.org or 192.168.0.1", None, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = {i: (text, lang, source) for i, text, lang, source in rows if i not in (32, 33, 34)}
+    kept[35] = (kept[35][0], "en", "s2")
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, (t, _, _) in kept.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    kept = {i: kept[i] for i, c in components(links, sets).items() if i == c}
+    assert 30 not in kept and 31 not in kept
+    kept[35] = (kept[35][0].replace("anna@example.org", "[EMAIL]").replace("192.168.0.1", "[IP]"), "en", "s2")
+    staged = spark.createDataFrame([(i, *r) for i, r in kept.items()], "doc_id long, text string, lang string, source string")
+    copies = {r.doc_id: r.copies for r in mixing.mixture(staged).collect()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = collections.Counter({(i, lang, source, tuple(library.encode(t, add_special_tokens=False).ids)): copies[i] for i, (t, lang, source) in kept.items() if copies[i]})
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.lang, r.source, tuple(r.token_ids)) for r in found) == expected
+    assert all(r.n_tokens == len(r.token_ids) for r in found)
