@@ -26,8 +26,8 @@ from .common import held, scratch, table
 END_ID = 2
 #: Parts of texts that a worker remembers with their ids; when there are more, they become the older ones, and those before are forgotten.
 MEMORY = 400_000
-#: Text that is encoded at a time: the larger, the fewer look-ups of a common part.
-GROUP_BYTES = 4 << 20
+#: Text that is encoded at a time.
+GROUP_BYTES = 1 << 20
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1 << 20, 2_000
 #: A blank at an end or beside other white space.
 _IRREGULAR = re.compile(r"^\s|\s$| \s|\s ")
@@ -35,7 +35,11 @@ _DOUBLE = ("  ", " \n", "\n ")
 #: White space other than blank and line feed, and the first character that may be wide white space.
 _RARE = ("\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
 _WIDE = re.compile("[\u1680-\uffff]")
-_POINTS = tuple(".,!?;:")
+#: Letters (or wide characters still to be looked at), points of ASCII, and line feeds between them. An apostrophe may begin
+#: a word of the pattern, "<" a special token: parts with these are left to the library.
+_LETTERS, _MARKS = r"[A-Za-z\x80-\U0010ffff]", r"[!-&(-/:;=-@\[-`{-~]"
+_SIMPLE = re.compile(f" ?(?:{_LETTERS}|{_MARKS})(?:\n?(?:{_LETTERS}|{_MARKS}))*")
+_RUNS = re.compile(f" ?{_LETTERS}+| ?{_MARKS}+|\n")
 
 
 def regular(text: str) -> bool:
@@ -47,26 +51,27 @@ def regular(text: str) -> bool:
     return True
 
 
-class Pieces:
+class Pieces(dict):
     """Ids of texts by the tokenizers library, part by part.
 
     A text is cut before single blanks between two other characters. The
     byte-level pattern ends a token there in any case, so the parts' ids in a
     row are the text's ids, and a part that is remembered is not encoded again.
-    A part of letters is one word of the pattern and goes to the library's model
-    at once; all others take the library's whole way.
+    The pattern also ends a token between letters, points and a lone line feed:
+    parts made of these alone are cut there, and each run, one word of the
+    pattern, goes to the library's model. All others take the library's whole way.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
         self.alphabet = byte_alphabet()
         self.blank = self.alphabet[32]
-        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     @staticmethod
@@ -83,38 +88,30 @@ class Pieces:
         return [p for p in out if p]
 
     def _word(self, p: str) -> bytes:
-        if p.isascii():
+        if p.isascii() and p != "\n":
             mapped = self.blank + p[1:] if p[0] == " " else p
         else:
             mapped = p.encode("utf-8").decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        known, older, rest = self.known, self.older, []
-        again = older.keys() & new
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        for p in new - again:
-            core = p[1:] if p[0] == " " else p
-            if core.isalpha():
-                known[p] = self._word(p)
-            elif core[-1:] in _POINTS and core[:-1].isalpha():
-                stem, point = p[:-1], p[-1]
-                for q in (stem, point):
-                    if q not in known:
-                        known[q] = older.get(q) or self._word(q)
-                known[p] = known[stem] + known[point]
-            else:
-                rest.append(p)
-        for lo in range(0, len(rest), 10_000):
-            some = rest[lo : lo + 10_000]
-            known.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True))
+    def __missing__(self, p: str) -> bytes:
+        found = self[p] = self.older.get(p) or self._ids(p)
+        return found
+
+    def _ids(self, p: str) -> bytes:
+        if (p[1:] if p[0] == " " else p).isalpha():
+            return self._word(p)
+        if _SIMPLE.fullmatch(p):
+            runs = _RUNS.findall(p)
+            if p.isascii() or all(r.isascii() or r.lstrip(" ").isalpha() for r in runs):
+                return self._word(p) if len(runs) == 1 else b"".join(map(self.__getitem__, runs))
+        return array("I", self.library.encode(p, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = list(map(self.split, texts))
-        if len(self.known) > MEMORY:
-            self.older, self.known = self.known, {}
-        self._learn(set().union(*parts) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if len(self) > MEMORY:
+            self.older = dict(self)
+            self.clear()
+        return [b"".join(map(self.__getitem__, self.split(t))) for t in texts]
 
 
 def _pieces(shared) -> Pieces:
