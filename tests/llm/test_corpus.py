@@ -195,6 +195,20 @@ def test_bpe_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_token_pieces_of_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    library, own = Tokenizer.from_str(spec), token_files.Pieces(spec)
+    rnd = random.Random(4)
+    letters = [*"abZé  ßñ\n\n.,!?:*#&'<>|_-012½²Ⅷ\t\r\xa0\u2003中á́🙂\x00\x1c\x85“—", "\ua7cb", "<|endoftext|>", "'s", "'ll", "the", "&&&"]
+    odd = ["", "\n", " ", "one.\nTwo,\n\nthree", "Été.\nà***", "a\n b", "x²y.z"] + ["".join(rnd.choice(letters) for _ in range(rnd.randrange(15))) for _ in range(5_000)]
+    for text, ids in zip(odd, own.encode(odd), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, texts, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
