@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from operator import add
@@ -139,14 +140,23 @@ def learn_patterns(corrections: DataFrame) -> DataFrame:
     return p.withColumns({"boost": F.least(F.lit(0.3), 0.05 * F.col("n")), "price_min": 0.8 * F.col("first_price"), "price_max": 1.2 * F.col("first_price")})
 
 
+def price_bucket(price: Column) -> Column:
+    """Number of the price's step of half as much again, from a thousandth on; lower prices share the first."""
+    return F.floor(F.ln(F.greatest(price.cast("double"), F.lit(0.001))) / math.log(1.5))
+
+
 def feedback_boost(items: DataFrame, patterns: DataFrame, top: int = 3) -> DataFrame:
     """items(item_id, supplier, price, description, account, confidence) with boosted confidence.
 
-    Equi-join on the supplier, with the price range and the contained pattern as
-    residual conditions; of each item's patterns the top ones by count apply.
+    Equi-join on supplier and price bucket, of which a pattern's range meets two
+    or three, with the range and the contained pattern as residual conditions;
+    of each item's patterns the top ones by count apply. Items without a price
+    meet none.
     """
     p = patterns.select(F.col("supplier").alias("_s"), F.col("account").alias("_a"), F.lower("description").alias("_d"), "n", "boost", "price_min", "price_max")
-    met = items.join(p, (F.col("supplier") == F.col("_s")) & F.col("price").between(F.col("price_min"), F.col("price_max")) & F.lower("description").contains(F.col("_d")))
+    p = p.withColumn("_bucket", F.explode(F.sequence(price_bucket(F.col("price_min")), price_bucket(F.col("price_max")))))
+    near = (F.col("supplier") == F.col("_s")) & (price_bucket(F.col("price")) == F.col("_bucket"))
+    met = items.join(p, near & F.col("price").between(F.col("price_min"), F.col("price_max")) & F.lower("description").contains(F.col("_d")))
     ranked = met.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "_a", "_d"))).where(F.col("r") <= top)
     change = F.when(F.col("_a") == F.col("account"), F.col("boost") * F.col("n") / 10).otherwise(-0.1 * F.col("boost"))
     total = ranked.groupBy("item_id").agg(F.sum(change).alias("change"))

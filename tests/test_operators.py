@@ -50,3 +50,10 @@ def test_catalogue_order_does_not_depend_on_rows(spark):
     one = {r.description: r.category for r in R.classify_by_rules(items, rules).collect()}
     two = {r.description: r.category for r in R.classify_by_rules(items.orderBy(F.desc("description")), rules.orderBy(F.desc("keyword"))).collect()}
     assert one == two
+
+
+def test_feedback_boost_price_bounds(spark):
+    items = spark.createDataFrame([(k, "s", p, "red bolt", "1", 0.5) for k, p in enumerate([None, 0.0, 0.0005, 79.9, 80.0, 119.9, 120.0, 120.1, 1e9])], "item_id int, supplier string, price double, description string, account string, confidence double")
+    patterns = spark.createDataFrame([("s", "1", "Bolt", 2, 0.1, 80.0, 120.0), ("s", "2", "red", 1, 0.1, 0.0, 0.001), ("t", "1", "bolt", 9, 0.3, 0.0, 1e12)], "supplier string, account string, description string, n int, boost double, price_min double, price_max double")
+    found = {r.item_id: round(r.confidence, 6) for r in R.feedback_boost(items, patterns).collect()}
+    assert found == {0: 0.5, 1: 0.49, 2: 0.49, 3: 0.5, 4: 0.52, 5: 0.52, 6: 0.52, 7: 0.5, 8: 0.5}
