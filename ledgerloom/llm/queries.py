@@ -8,6 +8,7 @@ from .embedding_dedup import op9_embedding_dedup
 from .language_id import op1_language_id
 from .mixing import op2_mixing
 from .ngram_join import op5_ngram_jaccard_join
+from .packing import op13_best_fit_packing
 from .pii import op3_pii
 from .quality import op8_quality
 from .substring_dedup import op7_substring_dedup
@@ -15,7 +16,7 @@ from .token_files import op10_token_files
 from .transport_stream import op6_transport_stream
 from .vector_codes import op11_vector_codes
 
-QUERIES = [op1_language_id, op2_mixing, op3_pii, op4_bpe, op5_ngram_jaccard_join, op6_transport_stream, op7_substring_dedup, op8_quality, op9_embedding_dedup, op10_token_files, op11_vector_codes, op12_centroid_clusters]
+QUERIES = [op1_language_id, op2_mixing, op3_pii, op4_bpe, op5_ngram_jaccard_join, op6_transport_stream, op7_substring_dedup, op8_quality, op9_embedding_dedup, op10_token_files, op11_vector_codes, op12_centroid_clusters, op13_best_fit_packing]
 
 ORACLE_SQL: dict[str, str] = {}
 
