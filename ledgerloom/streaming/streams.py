@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,33 +51,102 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where none is set."""
-    return f"{(spark.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared checkpoint folder; a temporary one only in a local session where none is set."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(named or tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now and returns what it wrote."""
-    spark = stream.sparkSession
+#: Waves of files in which the registered queries' events arrive.
+WAVES = 3
+
+
+def time_waves(df: DataFrame, ts: str = "ts", n: int = WAVES) -> DataFrame:
+    """df with wave, 0 to n - 1: equal stretches of the time from the first to the last row."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    bounds = df.agg(F.min(us).alias("_lo"), F.max(us).alias("_hi"))
+    return df.join(F.broadcast(bounds), how="cross").withColumn("wave", F.expr(f"CAST(({n} * (unix_micros(CAST({ts} AS timestamp)) - _lo)) div (_hi - _lo + 1) AS int)")).drop("_lo", "_hi")
+
+
+def through_restarts(waves: DataFrame, make: Callable[[DataFrame], DataFrame], mode: str = "append", n: int = WAVES, sink: Callable[[DataFrame, str], None] | None = None) -> DataFrame | str:
+    """What a stream writes whose files arrive in waves, stopped after each wave and started again from its log.
+
+    waves has a column wave, 0 to n - 1; make turns the stream of the other
+    columns into the job. Instead of writing rows, sink(stream, folder) can run
+    the job itself up to the end of what is there; the folder is returned then.
+    """
+    spark = waves.sparkSession
     folder = work_folder(spark)
+    for k in range(n):
+        waves.where(F.col("wave") == k).drop("wave").write.mode("append").parquet(f"{folder}/in")
+        stream = make(spark.readStream.schema(waves.drop("wave").schema).parquet(f"{folder}/in"))
+        if sink:
+            sink(stream, folder)
+        else:
+            _run(stream, folder, mode)
+    return folder if sink else _written(spark, folder, stream, mode)
+
+
+def _run(stream: DataFrame, folder: str, mode: str) -> None:
+    out = stream.writeStream.option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        out.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
     else:
 
         def write(batch: DataFrame, epoch: int) -> None:
             batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out") if mode == "append" else spark.read.parquet(f"{folder}/out")
+        out.foreachBatch(write).start().awaitTermination()
 
 
-def upsert_batches(stream: DataFrame, key: str, order: list[str], path: str, log: str) -> None:
-    """Replaces by key: every batch merges with the latest version below path and leaves the next one."""
-    spark = stream.sparkSession
+def _written(spark: SparkSession, folder: str, stream: DataFrame, mode: str) -> DataFrame:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    schema = stream.schema if mode == "append" else stream.schema.add("_epoch", "integer")
+    return spark.read.schema(schema).parquet(f"{folder}/out") if there else spark.createDataFrame([], schema)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rest = [c for c in batch.columns if c != key]
-        old = spark.read.parquet(f"{path}/version={epoch - 1}") if epoch else batch.limit(0)
-        both = old.unionByName(batch)
-        both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*").write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there now and returns what it wrote."""
+    folder = work_folder(stream.sparkSession)
+    _run(stream, folder, mode)
+    return _written(stream.sparkSession, folder, stream, mode)
+
+
+def latest(written: DataFrame, keys: list[str]) -> DataFrame:
+    """Of what a job in update mode wrote, the last row of each key."""
+    rest = [c for c in written.columns if c not in (*keys, "_epoch", "epoch")]
+    return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_epoch").alias("_r")).select(*keys, "_r.*")
+
+
+def tumbling_partials(stream: DataFrame, folder: str, width_s: int = 3_600, late_s: int = 3_600) -> None:
+    """Sums per window and event type of each batch, and apart from them the rows that came too late.
+
+    A row is late if its window's end is no later than the newest time of all
+    earlier batches less late_s. Every batch writes sums/epoch=k, late/epoch=k
+    and, at last, its newest time as marks/epoch=k; given again it writes the
+    same, as it reads earlier marks only.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        newest = None
+        if epoch:
+            newest = spark.read.schema("newest timestamp, epoch long").parquet(f"{folder}/marks").where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
+        start = F.window("ts", f"{width_s} seconds")["start"]
+        rows = batch.withColumn("start", start)
+        ends = F.unix_micros("start") + width_s * 1_000_000
+        rows = rows.withColumn("late", F.lit(False) if newest is None else ends <= F.unix_micros(F.lit(newest)) - late_s * 1_000_000)
+        rows.where("late").drop("late", "start").write.mode("overwrite").parquet(f"{folder}/late/epoch={epoch}")
+        sums = rows.where("NOT late").groupBy("start", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.count_if(F.col("event_type") == "error").alias("errors"))
+        sums.write.mode("overwrite").parquet(f"{folder}/sums/epoch={epoch}")
+        batch.agg(F.max("ts").alias("newest")).write.mode("overwrite").parquet(f"{folder}/marks/epoch={epoch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+
+
+def merged_partials(spark: SparkSession, folder: str) -> DataFrame:
+    """(start, event_type, n, mean, error_rate) of all batches' sums."""
+    p = spark.read.schema("start timestamp, event_type string, n long, total double, errors long").parquet(f"{folder}/sums")
+    return p.groupBy("start", "event_type").agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("mean"), (F.sum("errors") / F.sum("n")).alias("error_rate"))
