@@ -288,11 +288,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_P
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset): the pieces of docs with their places; see pieces and pack."""
+def stored_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
+    """The table of pieces, written to the checkpoint folder."""
     path = scratch(docs.sparkSession, "pieces")
     pieces(docs, tokenizer_json, capacity, end_id).write.option("compression", "zstd").parquet(path)
-    stored = docs.sparkSession.read.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int | None = END_ID) -> DataFrame:
+    """(doc_id, piece, start, length, ids, sequence_id, offset): the pieces of docs with their places; see pieces and pack."""
+    stored = stored_pieces(docs, tokenizer_json, capacity, end_id)
     return stored.join(pack(stored.select("key", "length"), capacity), "key").drop("key")
 
 
@@ -308,5 +313,7 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         spec = f.read()
-    packed = pack_documents(table(spark, sf_dir, "documents"), spec)
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    stored = stored_pieces(table(spark, sf_dir, "documents"), spec)
+    # Digests are taken where the ids lie, so that ids are not shuffled to their places.
+    digests = stored.select("key", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return digests.join(pack(stored.select("key", "length")), "key").drop("key")
