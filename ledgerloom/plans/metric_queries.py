@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.running import moving_sums, running_sums
 from ..sources.tables import FEEDBACK_SQL, ITEMS_SQL, METRICS_SQL, feedback, invoice_items, metrics
 from .registry import query
 
@@ -171,17 +172,16 @@ def change_detection(t):
 
 @query("WITH r AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_chars AS before, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents) SELECT source, count(*) FILTER (total - before > 20000) AS evicted, coalesce(sum(n_chars) FILTER (total - before <= 20000), 0) AS kept_chars FROM r GROUP BY 1")
 def evict_oldest(t):
-    w = Window.partitionBy("source")
-    r = t.documents.select("source", "n_chars", (F.sum("n_chars").over(w.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_chars")).alias("before"), F.sum("n_chars").over(w).alias("total"))
+    r = running_sums(t.documents.select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "n_chars", total="total")
     out = F.col("total") - F.col("before") > 20000
     return r.groupBy("source").agg(F.count_if(out).alias("evicted"), F.coalesce(F.sum(F.when(~out, F.col("n_chars"))), F.lit(0)).alias("kept_chars"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), 6) AS hour_cost, sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) <= 500 AS within FROM events")
 def rolling_hour_cost(t):
-    e = t.events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    s = F.sum("value").over(Window.partitionBy("event_type").orderBy("us").rangeBetween(-3_600_000_000, 0))
-    return e.select("event_id", F.round(s, 6).alias("hour_cost"), (s <= 500).alias("within"))
+    e = t.events.select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    s = moving_sums(e, ["event_type"], "us", 3_600_000_000, "value")
+    return s.select("event_id", F.round("moving", 6).alias("hour_cost"), (F.col("moving") <= 500).alias("within"))
 
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS recent_mean FROM events")
@@ -192,8 +192,8 @@ def recent_batch_mean(t):
 
 @query("SELECT event_id, CASE WHEN coalesce(sum(value) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5000 THEN 'remote' ELSE 'local' END AS route FROM events")
 def budget_routing(t):
-    w = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return t.events.select("event_id", F.when(F.coalesce(F.sum("value").over(w), F.lit(0.0)) < 5000, "remote").otherwise("local").alias("route"))
+    e = t.events.select("event_id", "ts", "value", F.to_date("ts").alias("day"))
+    return running_sums(e, ["day"], ["ts", "event_id"], "value").select("event_id", F.when(F.col("before") < 5000, "remote").otherwise("local").alias("route"))
 
 
 @query("SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, l_partkey FROM lineitem")
@@ -204,8 +204,8 @@ def position_numbering(t):
 
 @query("SELECT source, doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) / 10) AS BIGINT) AS batch FROM documents")
 def adaptive_batches(t):
-    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    return t.documents.select("source", "doc_id", F.floor((F.row_number().over(w) - 1) / 10).alias("batch"))
+    d = t.documents.select("source", "doc_id", "n_chars")
+    return running_sums(d, ["source"], [F.desc("n_chars"), "doc_id"], F.lit(1)).select("source", "doc_id", F.floor(F.col("before") / 10).alias("batch"))
 
 
 @query("SELECT event_id, value, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -265,9 +265,8 @@ def retention_optimized(t):
 @query(f"WITH r AS (SELECT *, sum(value) OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS size FROM events WHERE {AGE}) SELECT event_id FROM r WHERE size <= 0.8 * 10000")
 def emergency_cleanup(t):
     now = t.events.agg(F.max("ts").alias("now"))
-    young = t.events.join(F.broadcast(now), how="cross").where(F.col("ts") > F.col("now") - F.expr("INTERVAL 7 DAYS"))
-    size = F.sum("value").over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0))
-    return young.withColumn("size", size).where("size <= 0.8 * 10000").select("event_id")
+    young = t.events.join(F.broadcast(now), how="cross").where(F.col("ts") > F.col("now") - F.expr("INTERVAL 7 DAYS")).select("event_id", "event_type", "ts", "value")
+    return running_sums(young, ["event_type"], [F.desc("ts"), F.desc("event_id")], "value").where("before + value <= 0.8 * 10000").select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '3'")

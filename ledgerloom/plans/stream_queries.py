@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files
+from ..sources.scratch import work_folder
 from ..sources.tables import invoice_items
 from ..streaming import patterns as SP
 from ..streaming import streams as ST
@@ -118,7 +119,7 @@ def stream_sessions(t):
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 def json_round_trip(t):
-    path = ST.work_folder(t.spark)
+    path = work_folder(t.spark)
     t.documents.select("doc_id", "lang").write.json(path)
     good, _ = files.read_results(t.spark, path, "doc_id long, lang string")
     return good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -126,7 +127,7 @@ def json_round_trip(t):
 
 @query("SELECT account, p_type AS category, p_partkey FROM (SELECT '3' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS account, p_type, p_partkey FROM part) QUALIFY row_number() OVER (PARTITION BY account ORDER BY p_partkey DESC) = 1")
 def chart_of_accounts(t):
-    path = ST.work_folder(t.spark)
+    path = work_folder(t.spark)
     p = t.part.select(F.concat(F.lit(" 3"), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("account"), F.col("p_type").alias("category"), "p_partkey")
     p.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").write.option("sep", ";").option("header", True).csv(path)
     read = t.spark.read.option("sep", ";").option("header", True).csv(path).withColumn("account", F.trim("account")).withColumn("p_partkey", F.col("p_partkey").cast("long"))
@@ -135,12 +136,12 @@ def chart_of_accounts(t):
 
 @query("SELECT count(*) AS total, count(*) AS inserted, 1.0 AS success_rate FROM embeddings")
 def bulk_insert(t):
-    return files.insert_with_summary(t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label"), ST.work_folder(t.spark))
+    return files.insert_with_summary(t.embeddings.select(F.col("vec_id").alias("id"), "embedding", "label"), work_folder(t.spark))
 
 
 @query("SELECT 'Q_' || CAST(quality AS VARCHAR) AS cat, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1")
 def training_files(t):
-    path = ST.work_folder(t.spark)
+    path = work_folder(t.spark)
     d = t.documents.join(t.labels.where("quality IS NOT NULL"), "doc_id")
     cats = F.create_map(F.concat(F.lit("Q_"), F.col("quality").cast("string")), F.lit(1.0))
     files.write_examples(d.select(F.col("lang").alias("text"), F.struct(cats.alias("cats")).alias("annotations")), path)
@@ -150,7 +151,7 @@ def training_files(t):
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, lang, 'Q_' || CAST(quality AS VARCHAR) AS cat FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL")
 def training_texts(t):
     """Whole texts with their categories, written as JSON lines and read back."""
-    path = ST.work_folder(t.spark)
+    path = work_folder(t.spark)
     d = t.documents.join(t.labels.where("quality IS NOT NULL"), "doc_id")
     cats = F.create_map(F.concat(F.lit("Q_"), F.col("quality").cast("string")), F.lit(1.0))
     d.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"), F.struct(cats.alias("cats")).alias("annotations")).write.json(path)
@@ -161,7 +162,7 @@ def training_texts(t):
 @query("SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents")
 def json_documents(t):
     """Whole documents, written as JSON and read back by their schema."""
-    path = ST.work_folder(t.spark)
+    path = work_folder(t.spark)
     t.documents.write.json(path)
     good, _ = files.read_results(t.spark, path, t.documents.schema)
     return good.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
@@ -170,7 +171,7 @@ def json_documents(t):
 @query("SELECT p_type AS category, string_agg(DISTINCT account, ',' ORDER BY account) AS accounts FROM (SELECT '3' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS account, p_type, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_partkey DESC) = 1) GROUP BY 1")
 def accounts_by_category(t):
     """The accounts of each category, from a chart read from its text form."""
-    path = ST.work_folder(t.spark)
+    path = work_folder(t.spark)
     p = t.part.select(F.concat(F.lit(" 3"), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("account"), F.col("p_type").alias("category"), "p_partkey")
     p.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").write.option("sep", ";").option("header", True).csv(path)
     chart = files.read_chart(t.spark, path)
@@ -179,6 +180,6 @@ def accounts_by_category(t):
 
 @query("SELECT s_name AS name FROM supplier")
 def supplier_names(t):
-    path = ST.work_folder(t.spark)
+    path = work_folder(t.spark)
     t.supplier.select(F.explode(F.array(F.lit("# supplier"), F.lit(""), F.col("s_name"))).alias("value")).write.text(path)
     return files.read_names(t.spark, path)

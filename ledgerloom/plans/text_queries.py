@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import neighbours as N
 from ..operators import rules as R
 from ..operators import texts as X
 from ..operators import vectors as V
+from ..sources.scratch import stored
 from .registry import query
 
 FIELDS = {"email": r"([a-z0-9._-]+@[a-z0-9.-]+[a-z])", "ip": r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b", "token": r'token = "([0-9a-f]+)"'}
@@ -309,19 +311,35 @@ KNN = "knn AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, list_cosine_simil
 @query(f"WITH {KNN} SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM knn) WHERE rank <= 5 AND s >= 0.1")
 def neighbours_then_filter(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return V.nearest(V.similarities(q, t.embeddings), 5).where("similarity >= 0.1").select("query_id", "vec_id", "rank")
+    return N.nearest(q, t.embeddings, 5, exact=True).where("similarity >= 0.1").select("query_id", "vec_id", "rank")
 
 
 @query(f"WITH {KNN} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM knn WHERE s >= 0.1 AND label < 5 QUALIFY rank <= 5")
 def filter_then_neighbours(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return V.nearest(V.similarities(q, t.embeddings.where("label < 5")).where("similarity >= 0.1"), 5).select("query_id", "vec_id", "rank")
+    return N.nearest(q, t.embeddings, 5, where="label < 5", exact=True).where("similarity >= 0.1").select("query_id", "vec_id", "rank")
+
+
+@query()
+def bucketed_neighbours(t):
+    """filter_then_neighbours without its least similarity, through random-projection buckets."""
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return N.nearest(q, t.embeddings, 5, where="label < 5").select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query("WITH q AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 20 = 0), n AS (SELECT count(*) AS n FROM embeddings WHERE label < 5) SELECT count(*) AS queries, CAST(sum(least(5, n - CASE WHEN label < 5 THEN 1 ELSE 0 END)) AS BIGINT) AS neighbours, TRUE AS found_95_percent FROM q, n")
+def neighbour_recall(t):
+    """Whether the buckets find 95 % of what the exact search finds."""
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = stored(N.nearest(q, t.embeddings, 5, where="label < 5", exact=True))
+    reached = N.recall_of(N.nearest(q, t.embeddings, 5, where="label < 5"), exact) >= 0.95
+    return exact.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours")).withColumn("found_95_percent", F.lit(reached))
 
 
 @query(f"WITH {KNN}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM knn QUALIFY rank <= 5), w AS (SELECT query_id, CAST(label AS VARCHAR) AS account, sum(s) AS w FROM top GROUP BY 1, 2) SELECT query_id, arg_max(account, (w, account)) AS account, round(least(0.95, max(w) / sum(w)), 6) AS confidence FROM w GROUP BY 1")
 def neighbour_vote(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    n = V.nearest(V.similarities(q, t.embeddings), 5).withColumn("account", F.col("label").cast("string")).withColumn("confidence", F.lit(1.0))
+    n = N.nearest(q, t.embeddings, 5, exact=True).withColumn("account", F.col("label").cast("string")).withColumn("confidence", F.lit(1.0))
     return R.vote(n).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -332,7 +350,7 @@ def neighbour_vote(t):
 def neighbour_vote_details(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     name = F.col("label").cast("string")
-    n = V.nearest(V.similarities(q, t.embeddings), 5).select("query_id", "rank", "similarity", name.alias("account"), F.concat(F.lit("c"), name).alias("category"), F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("supplier"), F.col("vec_id").cast("string").alias("example"), F.lit(1.0).alias("confidence"))
+    n = N.nearest(q, t.embeddings, 5, exact=True).select("query_id", "rank", "similarity", name.alias("account"), F.concat(F.lit("c"), name).alias("category"), F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("supplier"), F.col("vec_id").cast("string").alias("example"), F.lit(1.0).alias("confidence"))
     return R.vote_details(q, n).withColumn("confidence", F.round("confidence", 6)).withColumn("examples", F.array_join("examples", ","))
 
 

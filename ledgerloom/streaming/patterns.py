@@ -51,7 +51,7 @@ class PatternState(StatefulProcessor):
         found = {"n": n, "boost": min(MOST, STEP * n), "first_price": price, "price_min": max(0.0, LOW * price), "price_max": HIGH * price, "last_updated": pd.Timestamp(last, unit="us", tz="UTC"), "expired": expired}
         return pd.DataFrame([dict(zip(KEYS, key, strict=True)) | found])
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         old = self.pattern.get() if self.pattern.exists() else None
         n, last, best = (old[0], old[1], tuple(old[2:])) if old else (0, None, None)
         for batch in rows:
@@ -68,7 +68,7 @@ class PatternState(StatefulProcessor):
             self.handle.registerTimer(last // 1000 + self.keep_ms)
         yield self._row(key, (n, last, *best), False)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.pattern.exists():
             state = self.pattern.get()
             self.pattern.clear()

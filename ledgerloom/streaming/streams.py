@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import work_folder
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -50,14 +49,6 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return s.select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only in a local session where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(named or tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 #: Waves of files in which the registered queries' events arrive.
 WAVES = 3
 
