@@ -25,7 +25,7 @@ from .common import cut, table, unused
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 UNIT = 1 << 20
-TOLERANCE = 1e-10
+TOLERANCE, RESOLUTION = 1e-10, 1e-9
 MAX_ROUNDS = 60
 #: Documents of one cell are numbered in so many parts.
 PARTS = 256
@@ -69,7 +69,7 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
     rate = F.least(F.lit(float(MAX_COPIES)), F.exp(F.least(F.col("tilt") * x, F.lit(10.0))))
     for _ in range(MAX_ROUNDS):
         words = F.col("n") * F.col("size")
-        sums = cells.join(state.select("key", "mean", "tilt"), "key").groupBy("key").agg(_exact(words * rate).alias("got"), _exact(F.when(rate < MAX_COPIES, words * x * rate).otherwise(F.lit(0.0))).alias("slope"))
+        sums = cells.join(state.select("key", "mean", "tilt"), "key").groupBy("key").agg(_exact(words * rate).alias("got"), _exact(F.when(rate < MAX_COPIES, words * x * rate).otherwise(F.lit(0.0))).alias("slope"), F.count(F.lit(1)).alias("cells"))
         s = state.join(sums, "key")
         over = F.col("got") > F.col("target")
         s = s.withColumn("miss", F.abs(F.col("got") / F.col("target") - 1))
@@ -78,7 +78,10 @@ def tilts(cells: DataFrame, targets: DataFrame) -> DataFrame:
         inside = (step > F.col("lo")) & (step < F.col("hi"))
         far = F.when(over, F.least(F.col("tilt") - 1, 2 * F.col("tilt"))).otherwise(F.greatest(F.col("tilt") + 1, 2 * F.col("tilt")))
         other = F.when(F.col("hi") - F.col("lo") > 1e6, F.least(F.greatest(far, F.col("lo")), F.col("hi"))).otherwise((F.col("lo") + F.col("hi")) / 2)
-        done = (F.col("miss") < TOLERANCE) | (F.col("target") >= MAX_COPIES * F.col("source_size"))
+        # Each cell's words are rounded to 1e-9, so a sum can't come nearer to its target than that; nor can a tilt between neighbouring doubles.
+        near = F.abs(F.col("got") - F.col("target")) <= F.greatest(TOLERANCE * F.col("target"), RESOLUTION * F.col("cells"))
+        narrow = F.col("hi") - F.col("lo") <= 4e-16 * F.greatest(F.lit(1.0), F.abs("tilt"))
+        done = near | narrow | (F.col("target") >= MAX_COPIES * F.col("source_size"))
         state = cut(s.select("key", "mean", "target", "source_size", F.when(done, F.col("tilt")).otherwise(F.when(inside, step).otherwise(other)).alias("tilt"), "lo", "hi", F.when(done, F.lit(0.0)).otherwise(F.col("miss")).alias("miss")))
         if not state.where("miss > 0").limit(1).count():
             break

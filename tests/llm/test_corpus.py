@@ -504,3 +504,43 @@ def test_pipeline_run(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert collections.Counter((r.doc_id, r.lang, r.source, tuple(r.token_ids)) for r in found) == expected
     assert all(r.n_tokens == len(r.token_ids) for r in found)
+
+
+def plain_tilts(cells, targets):
+    """Tilts by bisection in numpy: of each source (sizes, counts), the rates min(3, exp(tilt * size / mean)) whose words meet the target."""
+    out = {}
+    for key, (sizes, counts) in cells.items():
+        sizes, counts = np.array(sizes, float), np.array(counts, float)
+        x = sizes / ((sizes * counts).sum() / counts.sum())
+        lo, hi = -1e7, 1e7
+        for _ in range(300):
+            mid = (lo + hi) / 2
+            over = (sizes * counts * np.minimum(3, np.exp(np.minimum(mid * x, 10)))).sum() > targets[key]
+            lo, hi = (lo, mid) if over else (mid, hi)
+        out[key] = lo
+    return out
+
+
+@pytest.mark.parametrize("rows", [[("a", "one"), ("b", "two")], [("a", "one")], [("a", "one"), ("b", "two"), (None, "three four")], [("a", "w " * 7), ("b", "w"), ("c", "w " * 3), ("d", "w " * 11), ("e", "")], [("a", "w")] * 7 + [("b", "w " * 13)] * 3])
+def test_mixing_settles_on_small_tables(spark, rows):
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    found = mixing.mixture(df).collect()
+    assert sorted(r.doc_id for r in found) == list(range(len(rows)))
+    for r in found:
+        assert r.taken <= 3 * r.size
+    by = collections.defaultdict(list)
+    for r in found:
+        by[rows[r.doc_id][0]].append(r)
+    for part in by.values():
+        assert abs(sum(r.taken for r in part) - part[0].target) <= max(r.size for r in part)
+
+
+def test_tilts_equal_a_plain_search(spark):
+    rnd = random.Random(8)
+    cells = {f"={s}": (sorted(rnd.sample(range(1, 900), 40)), [rnd.randrange(1, 50) for _ in range(40)]) for s in "abc"} | {"": ([1], [1]), "=d": ([3, 1], [1, 2])}
+    sizes = {k: sum(a * b for a, b in zip(*v, strict=True)) for k, v in cells.items()}
+    targets = {"=a": 2.4 * sizes["=a"], "=b": 0.2 * sizes["=b"], "=c": 1.0 * sizes["=c"], "": 1 / 3, "=d": 10 / 3}
+    c = spark.createDataFrame([(k, a, b) for k, v in cells.items() for a, b in zip(*v, strict=True)], "key string, size long, n long")
+    t = spark.createDataFrame([(k, sizes[k], targets[k]) for k in cells], "key string, source_size long, target double")
+    found = {r.key: r.tilt for r in mixing.tilts(c, t).collect()}
+    assert found == {k: pytest.approx(v, abs=2e-7) for k, v in plain_tilts(cells, targets).items()}
