@@ -63,6 +63,28 @@ def remove_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a new small file as a whole: under another name first, then renamed; an error if it is there."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder, _, name = path.rpartition("/")
+    to, made = jvm.Path(path), jvm.Path(f"{folder}/.{uuid.uuid4().hex}-{name}")
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to.getParent())
+    out = fs.create(made, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(to) or not fs.rename(made, to):
+        fs.delete(made, False)
+        raise RuntimeError(f"{path} is there already")
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that cut wrote, once nothing that is still to run reads them."""
     for t in tables:

@@ -20,7 +20,7 @@ merge. A passage in a third of all documents so reaches the merge once a task.
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import text_groups
-from .common import cut, discard, only_ids, remove_path, scratch, small_batches, table
+from .common import cut, discard, names_in, only_ids, put_new, remove_path, scratch, small_batches, table
 from .textnum import chunks, grams, mix, utf8, word_hashes
 
 WINDOW_WORDS = 35
@@ -42,7 +42,10 @@ BATCHES = 4
 #: Text that a task settles at a time; its arrays take about 40 times that.
 RUN_BYTES = 4 << 20
 
+#: Rows of a run's bucket at most; a merged run gets more buckets then.
+BUCKET_ROWS = 4_000_000
 PLACE = ("row", "check", "first", "last")
+SPAN = "row long, check int, first int, last int"
 ENTRY = "anchor long, print long, row long, check int, first int, last int, copies int"
 
 
@@ -166,17 +169,38 @@ def keyed(docs: DataFrame) -> DataFrame:
 class FingerprintIndex:
     """Runs at a path, each a table (ENTRY, a row per anchor and fingerprint) in buckets of the anchor, sorted within.
 
-    The folder of a run is named by its number, buckets and rows, so a later
-    session opens the index by its path alone.
+    The folder of a run is named by its number, buckets and rows. The newest
+    manifest names the runs that count, the last batch and where its results
+    lie; it is put in place by a rename after all it names. Whatever else lies
+    at the path was left by a job that was stopped, and goes when the index is
+    opened: one index is open for adding at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, run_bytes: int = RUN_BYTES):
         self.spark, self.path, self.window, self.gram, self.run_bytes = spark, path.rstrip("/"), window, gram, run_bytes
         self.tables: dict[str, str] = {}
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-        self.runs = sorted(n for n in names if re.fullmatch(r"run-\d+-\d+-\d+", n))
+        self.state = {"number": -1, "runs": [], "batch": None, "results": []}
+        found = [n for n in names_in(spark, f"{self.path}/manifests") if n.isdigit()]
+        if found:
+            self.state = json.loads(spark.read.text(f"{self.path}/manifests/{found[-1]}", wholetext=True).first().value)
+        for n in names_in(spark, self.path):
+            if n != "manifests" and n not in self.runs:
+                self._remove(n)
+        for n in found[:-1]:
+            self._remove(f"manifests/{n}")
+
+    @property
+    def runs(self) -> list[str]:
+        return self.state["runs"]
+
+    def _commit(self, **changed) -> None:
+        """The next state, as a manifest; the one before it goes."""
+        before = self.state["number"]
+        state = self.state | changed | {"number": before + 1}
+        put_new(self.spark, f"{self.path}/manifests/{state['number']:012d}", json.dumps(state))
+        self.state = state
+        if before >= 0:
+            self._remove(f"manifests/{before:012d}")
 
     def _rows(self, run: str) -> int:
         return int(run.rsplit("-", 1)[1])
@@ -197,10 +221,19 @@ class FingerprintIndex:
         rows = self.spark.table(name).count()
         self.spark.sql(f"DROP TABLE {name}")
         run = f"{kind}-{number:09d}-{buckets}-{rows}"
+        self._remove(run)
         paths = [self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (made, f"{self.path}/{run}")]
-        paths[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths)
+        if not paths[0].getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths):
+            raise RuntimeError(f"{made} could not be renamed to {run}")
         return run
 
+    def _buckets(self, rows: int = 0) -> int:
+        """Buckets of a new run of so many rows: those of the largest run, doubled while they would hold more than BUCKET_ROWS."""
+        n = max((int(r.split("-")[2]) for r in self.runs), default=int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        while rows > n * BUCKET_ROWS:
+            n *= 2
+        return n
+
     def _remove(self, run: str) -> None:
         if run in self.tables:
             self.spark.sql(f"DROP TABLE {self.tables.pop(run)}")
@@ -223,15 +256,23 @@ class FingerprintIndex:
         finally:
             self.spark.conf.set(key, before)
 
-    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def add(self, docs: DataFrame, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Adds a batch docs(row, check, text): (repeats, doubtful).
 
+        A job that was stopped adds its batch again under the same name: if it
+        had come in as the last one, its stored results are given once more.
+
         repeats(row, check, first, last) are ranges of first words of repeated
         windows, of the batch and of earlier documents that had none like them
         before; doubtful has the same columns, for stretches to be verified on
         the words of the batch and of earlier documents.
         """
-        buckets = int(self.runs[0].split("-")[2]) if self.runs else int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        if batch is not None and batch == self.state["batch"]:
+            self.compact()
+            repeats, doubtful = (self.spark.read.schema(SPAN).parquet(p) for p in self.state["results"])
+            repeats._scratch_path, doubtful._scratch_path = self.state["results"]
+            return repeats, doubtful
+        buckets = self._buckets()
         entries = docs.where("text IS NOT NULL").select("row", "check", "text").mapInArrow(_entries(self.window, self.gram, self.run_bytes), ENTRY)
         raw_run = self._write(entries.repartition(buckets, "anchor"), buckets, "batch")
         raw = self.read(raw_run)
@@ -253,8 +294,8 @@ class FingerprintIndex:
         spans.append(raw.where("print IS NOT NULL").join(equal, ["anchor", "print"], "left_semi").select(*PLACE))
         with self._anchor_suffices():
             out = [cut(reduce(DataFrame.union, parts)) for parts in (spans, doubtful)]
+        self._commit(runs=[*self.runs, run], batch=batch, results=[t._scratch_path for t in out])
         self._remove(raw_run)
-        self.runs.append(run)
         self.compact()
         return out[0], out[1]
 
@@ -265,11 +306,12 @@ class FingerprintIndex:
             both = x.alias("x").join(y.alias("y"), ["anchor", "print"], "full")
             copies = F.least(F.coalesce("x.copies", F.lit(0)) + F.coalesce("y.copies", F.lit(0)), F.lit(2)).cast("int")
             merged = both.select("anchor", "print", F.coalesce("x.place", "y.place").alias("place"), copies.alias("copies")).select("anchor", "print", "place.*", "copies")
+            merging = self.runs[-2:]
             with self._anchor_suffices():
-                run = self._write(merged, int(self.runs[-1].split("-")[2]))
-            for old in self.runs[-2:]:
+                run = self._write(merged, self._buckets(sum(map(self._rows, merging))))
+            self._commit(runs=[*self.runs[:-2], run])
+            for old in merging:
                 self._remove(old)
-            self.runs[-2:] = [run]
 
     def verify(self, doubtful: DataFrame, docs: DataFrame) -> DataFrame:
         """(row, check, first, last): the windows of doubtful stretches that occur twice among them; docs(row, check, text) has all documents so far."""

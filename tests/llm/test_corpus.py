@@ -141,6 +141,51 @@ def test_incremental_index(spark, tmp_path):
         index.close()
 
 
+@pytest.mark.parametrize("stop", [1, 3, 4, 6])
+def test_fingerprint_index_survives_a_stop(spark, tmp_path, monkeypatch, stop):
+    """A job that is stopped at a change of the index's files, the third batch being added, goes on where the manifest stands."""
+    rnd = random.Random(6)
+    passage = ["p%d" % i for i in range(60)]
+    some = lambda n: ["w%d" % rnd.randrange(10**6) for _ in range(n)]
+    texts = {0: " ".join(some(50)), 1: " ".join(some(20) + passage), 2: " ".join(some(40)), 3: " ".join(passage + some(10)), 4: " ".join(some(45))}
+    docs = substring_dedup.keyed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    path, found = f"{tmp_path}/index", {}
+    opened = lambda: substring_dedup.FingerprintIndex(spark, path)
+    for k in range(5):
+        index = opened()
+        if k == 2:
+            steps = [0]
+
+            def counted(name, f):
+                def run(*args, **names):
+                    steps[0] += 1
+                    if steps[0] == stop + 1:
+                        raise OSError("stopped")
+                    return f(*args, **names)
+
+                return run
+
+            with monkeypatch.context() as m:
+                for name in ("_write", "_commit", "_remove"):
+                    m.setattr(index, name, counted(name, getattr(index, name)))
+                try:
+                    results = index.add(docs.where("doc_id = 2"), "batch 2")
+                except OSError:
+                    results = None
+            assert (results is None) == (stop < steps[0])
+            index.close()
+            index = opened()
+            results = index.add(docs.where("doc_id = 2"), "batch 2")
+        else:
+            results = index.add(docs.where(f"doc_id = {k}"), f"batch {k}")
+        for r in [*results[0].collect(), *index.verify(results[1], docs.where(f"doc_id <= {k}")).collect()]:
+            found.setdefault(r.row, set()).update(w for s in range(r["first"], r["last"] + 1) for w in range(s, s + 35))
+        expected = kept_words([texts[j] for j in range(k + 1)])
+        assert [len(found.get(j, ())) for j in range(k + 1)] == [e[1] for e in expected]
+        index.close()
+    assert len([f for f in (tmp_path / "index").iterdir() if f.name.startswith(("run-", "batch-", "making-"))]) == len(opened().runs)
+
+
 def test_mixing(docs, texts):
     rows = mixing.mixture(docs).collect()
     size = {i: len(words_of(t)) for i, t in enumerate(texts)}
