@@ -11,29 +11,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, valid_account
+from .scan import MAX_LITERALS, contained
 
 FALLBACK_ACCOUNT = "3400"
 
 
+#: A keyword between other characters than letters and digits.
+BOUND = "(^|[^a-z0-9])", "([^a-z0-9]|$)"
+
+
 def keyword_hits(items: DataFrame, rules: DataFrame, text: str = "description", supplier: str = "supplier") -> DataFrame:
     """(text, supplier, category, ...) a row per keyword that a distinct text contains.
 
-    Texts are made distinct first, so the nested-loop join runs over distinct
-    descriptions and not over every line; the catalogue is left to the planner.
+    Texts are made distinct first. All keywords are found in one pass over a
+    text by an automaton; a catalogue beyond MAX_LITERALS keywords is joined by
+    a nested loop instead.
     """
     texts = items.select(F.col(text).alias("_text"), F.col(supplier).alias("_supplier")).distinct()
-    low, sup = F.lower("_text"), F.coalesce(F.lower("_supplier"), F.lit(""))
-    hit = texts.join(rules, low.contains(F.col("keyword")))
-    word = F.concat(F.lit(r"(^|[^a-z0-9])"), F.col("keyword"), F.lit(r"([^a-z0-9]|$)"))
-    return hit.withColumn("whole", F.regexp_like(low, word)).withColumn("by_supplier", sup.contains(F.col("keyword")))
+    texts = texts.withColumn("_low", F.lower("_text"))
+    keywords = [r.keyword for r in rules.select("keyword").where("keyword <> ''").distinct().limit(MAX_LITERALS + 1).collect()]
+    if len(keywords) <= MAX_LITERALS:
+        found = contained(texts, "_low", keywords, "_found").select("*", F.explode("_found").alias("_number")).drop("_found")
+        numbered = items.sparkSession.createDataFrame(list(enumerate(keywords)), "_number int, keyword string")
+        hit = found.join(rules.join(numbered, "keyword"), "_number").drop("_number")
+    else:
+        hit = texts.join(rules, F.col("_low").contains(F.col("keyword")))
+    word = F.concat(F.lit(BOUND[0]), F.regexp_replace("keyword", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(BOUND[1]))
+    sup = F.coalesce(F.lower("_supplier"), F.lit(""))
+    return hit.withColumn("whole", F.regexp_like("_low", word)).withColumn("by_supplier", sup.contains(F.col("keyword"))).drop("_low")
 
 
 #: A catalogue of so many keywords at most is written into the plan; a larger one is joined.
 MAX_IN_PLAN = 300
 
 
-def _in_row(items: DataFrame, entries: list, text: str, supplier: str) -> DataFrame:
-    """items with _r, the best category of each row by catalogue order: plain expressions, without a join or a shuffle."""
+def _in_row(items: DataFrame, entries: list, text: str, supplier: str, bonuses: bool = True) -> DataFrame:
+    """items with _r, the best category of each row by catalogue order: plain expressions, without a join or a shuffle.
+
+    A keyword weighs 1 and a tenth of its length; bonuses are given for whole
+    words and for keywords in the supplier's name.
+    """
     low, sup = F.lower(F.col(text)), F.coalesce(F.lower(F.col(supplier)), F.lit(""))
     d = items.withColumns({"_low": low, "_sup": sup, "_padded": F.concat(F.lit(" "), F.regexp_replace(low, "[^a-z0-9]", " "), F.lit(" "))})
     categories: dict[int, list] = {}
@@ -44,10 +61,12 @@ def _in_row(items: DataFrame, entries: list, text: str, supplier: str) -> DataFr
         return F.coalesce(F.contains(F.col("_low"), F.lit(r.keyword)), F.lit(False))
 
     def score(r) -> Column:
+        if not bonuses:
+            return F.when(hit(r), F.lit(1 + 0.1 * len(r.keyword))).otherwise(0.0)
         if re.fullmatch("[a-z0-9]+", r.keyword):
             whole = F.contains(F.col("_padded"), F.lit(f" {r.keyword} "))
         else:
-            whole = F.regexp_like(F.col("_low"), F.lit(rf"(^|[^a-z0-9]){r.keyword}([^a-z0-9]|$)"))
+            whole = F.regexp_like(F.col("_low"), F.lit(BOUND[0] + re.escape(r.keyword) + BOUND[1]))
         return F.when(hit(r), F.lit(1 + 0.1 * len(r.keyword)) + F.when(F.contains(F.col("_sup"), F.lit(r.keyword)), 2.0).otherwise(0.0) + F.when(whole, 0.5).otherwise(0.0)).otherwise(0.0)
 
     scores = [F.struct(reduce(add, map(score, rows)).alias("score"), F.lit(-k).alias("order")) for k, rows in categories.items()]
@@ -87,11 +106,16 @@ def classify_by_rules(items: DataFrame, rules: DataFrame, default_category: str
 
 def classify_by_rules_simple(items: DataFrame, rules: DataFrame, brands: list[str], text: str = "description", supplier: str = "supplier") -> DataFrame:
     """The other weighting: 1 + len/10 a keyword, a bonus for brands, at most .95; account null without a hit."""
-    best = _best(keyword_hits(items, rules, text, supplier), 1 + F.length("keyword") / 10)
-    out = items.drop("category", "account", "confidence").join(best, F.col(text).eqNullSafe(F.col("_text")) & F.col(supplier).eqNullSafe(F.col("_supplier")), "left")
-    brand = F.when(F.lower(text).rlike("|".join(brands)), 0.15).otherwise(0.0)
+    rest = items.drop("category", "account", "confidence")
+    entries = rules.select("cat_ord", "kw_ord", "category", "account", "keyword").limit(MAX_IN_PLAN + 1).collect()
+    if 0 < len(entries) <= MAX_IN_PLAN:
+        out = _in_row(rest, entries, text, supplier, bonuses=False).select(*rest.columns, "_r.*")
+    else:
+        best = _best(keyword_hits(items, rules, text, supplier), 1 + 0.1 * F.length("keyword"))
+        out = rest.join(best, F.col(text).eqNullSafe(F.col("_text")) & F.col(supplier).eqNullSafe(F.col("_supplier")), "left").drop("_text", "_supplier")
+    brand = F.when(F.lower(text).rlike("|".join(map(re.escape, brands))), 0.15).otherwise(0.0)
     full = F.least(F.lit(0.95), F.least(F.lit(0.9), 0.3 + 0.1 * F.col("score")) + F.least(F.lit(0.2), 0.05 * F.col("matches")) + brand)
-    return out.withColumn("confidence", F.when(F.col("score").isNull(), 0.2).otherwise(full)).drop("_text", "_supplier", "score", "matches", "keywords")
+    return out.withColumn("confidence", F.when(F.col("score").isNull(), 0.2).otherwise(full)).drop("score", "matches", "keywords")
 
 
 def combine(rule_conf: Column, rag_conf: Column, same: Column) -> tuple[Column, Column]:

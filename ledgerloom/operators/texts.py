@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: what a lambda refers to is computed anew for each element, its own variables are not."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def words(text: Column) -> Column:
@@ -38,22 +41,28 @@ def keyword_counts(text: Column, catalogue: dict[str, list[str]]) -> dict[str, C
     return {c: F.size(F.filter(F.array(*map(F.lit, k)), lambda w: F.contains(low, w))) for c, k in catalogue.items()}
 
 
+def most_frequent(items: Column, k: int) -> Column:
+    """array<struct<neg, first, item>>: the k most frequent items of an array with their negative counts, ties by first place.
+
+    Equal items lie side by side after sorting, so the counts are the distances
+    between the places where the item changes.
+    """
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(x.alias("item"), i.alias("first"))))
+
+    def counted(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (x["item"] != F.get(s, j - 1)["item"]), j)), lambda j: j.isNotNull())
+        return bind(heads, lambda h: F.transform(h, lambda j, r: F.struct((j - F.coalesce(F.get(h, r + 1), F.size(s))).alias("neg"), F.get(s, j)["first"].alias("first"), F.get(s, j)["item"].alias("item"))))
+
+    return F.slice(F.array_sort(bind(placed, counted)), 1, k)
+
+
 def top_ngrams(docs: DataFrame, n: int, k: int, stopwords: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, gram, count, rank): the k most frequent n-grams of each document without stopwords, ties by first place."""
     kept = F.filter(F.split(F.lower(text), r"[^a-zäöüßéèêàçñóíúáâîôû]+"), lambda w: (F.length(w) > 2) & ~w.isin(stopwords))
-    d = docs.select(key, kept.alias("w")).where(F.size("w") >= n)
-
-    def count(batches):
-        for b in batches:
-            out = []
-            for doc, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                # Of equal counts the gram met first comes first.
-                best = Counter(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)).most_common(k)
-                out += [(doc, gram, c, rank) for rank, (gram, c) in enumerate(best, 1)]
-            columns = zip(*out, strict=True) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (b.schema.field(0).type, pa.string(), pa.int64(), pa.int32()), strict=True)], names=[key, "gram", "count", "rank"])
-
-    return d.mapInArrow(count, StructType([docs.schema[key]]).add("gram", "string").add("count", "long").add("rank", "integer"))
+    gram = lambda w: F.transform(F.slice(w, 1, F.size(w) - (n - 1)), lambda x, i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(n))))
+    best = bind(kept, lambda w: F.when(F.size(w) >= n, most_frequent(w if n == 1 else gram(w), k)))
+    d = docs.select(key, F.posexplode(best).alias("_rank", "_g"))
+    return d.select(key, F.col("_g.item").alias("gram"), (-F.col("_g.neg")).cast("long").alias("count"), (F.col("_rank") + 1).alias("rank"))
 
 
 def block_stats(text: Column) -> dict[str, Column]:
@@ -120,19 +129,30 @@ def fenced_json(text: Column) -> Column:
 
 
 def pattern_spans(text: Column, pattern: str) -> Column:
-    """(start, end, value) of all matches, offsets in code points, without a UDF: gaps and matches alternate."""
+    """(start, end, value) of all matches, offsets in code points, without a UDF: gaps and matches alternate.
+
+    A start is the sum of all gaps and matches before it, taken from sums of
+    blocks of about the square root of their number.
+    """
     found = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), F.lit(1))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    start = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.size(found) - 1, F.lit(0))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("out")),
-        lambda s, i: F.struct(
-            (s["at"] + F.get(gaps, i) + F.length(F.get(found, i))).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + F.get(gaps, i)).cast("int").alias("start"), (s["at"] + F.get(gaps, i) + F.length(F.get(found, i))).cast("int").alias("end"), F.get(found, i).alias("value")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(F.size(found) > 0, start).otherwise(F.array().cast("array<struct<start: int, end: int, value: string>>"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def stepped(s: Column) -> Column:
+        steps = F.transform(s["found"], lambda m, i: F.get(s["gaps"], i) + F.length(m))
+        return bind(F.struct(s["found"].alias("found"), s["gaps"].alias("gaps"), steps.alias("steps"), F.ceil(F.sqrt(F.size(s["found"]))).cast("int").alias("b")), blocked)
+
+    def blocked(s: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), s["b"]), lambda k: total(F.slice(s["steps"], k * s["b"] + 1, s["b"])))
+        return bind(sums, lambda t: bind(F.transform(t, lambda _, k: total(F.slice(t, 1, k))), lambda before: F.transform(s["found"], lambda m, i: placed(s, before, m, i))))
+
+    def placed(s: Column, before: Column, m: Column, i: Column) -> Column:
+        k = F.floor(i / s["b"]).cast("int")
+        start = F.get(before, k) + total(F.slice(s["steps"], k * s["b"] + 1, i - k * s["b"])) + F.get(s["gaps"], i)
+        return bind(start, lambda a: F.struct(a.cast("int").alias("start"), (a + F.length(m)).cast("int").alias("end"), m.alias("value")))
+
+    none = F.array().cast("array<struct<start: int, end: int, value: string>>")
+    return bind(F.struct(found.alias("found"), gaps.alias("gaps")), lambda s: F.when(F.size(s["found"]) > 0, stepped(s)).otherwise(none))
 
 
 def without_overlaps(spans: Column) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import quality as Q
 from ..operators import rules as R
+from ..sources import files
 from ..sources.files import rule_catalogue
+from ..sources.scratch import work_folder
 from ..sources.tables import FEEDBACK_SQL, ITEMS_SQL, METRICS_SQL, feedback, invoice_items, metrics
 from .registry import query
 
@@ -61,6 +63,28 @@ def rule_classifier_simple(t):
     return c.groupBy("description", "account", F.round("confidence", 6).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {CLASSIFIED_SQL} SELECT category, account, keywords, count(*) AS n, round(avg(confidence), 10) AS confidence FROM classified GROUP BY 1, 2, 3")
+def catalogue_classifier(t):
+    """Items classified by a catalogue that is written as YAML and read from its file."""
+    path = work_folder(t.spark, "catalogue")
+    files.write_catalogue_yaml(t.spark, RULES, path)
+    c = R.classify_by_rules(invoice_items(t), files.read_catalogue_yaml(t.spark, path)).withColumn("keywords", F.array_join("keywords", ","))
+    return c.groupBy("category", "account", "keywords").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 10).alias("confidence"))
+
+
+LARGE_SQL = """names AS (SELECT lower(p_brand || ' ' || p_type || ' ' || p_name) AS keyword, min(p_size) AS size FROM part GROUP BY 1), rules AS (SELECT row_number() OVER (ORDER BY keyword) AS cat_ord, keyword AS category, 0 AS kw_ord, keyword, '3' || lpad(CAST(size AS VARCHAR), 3, '0') AS account FROM names)"""
+
+
+@query(f"""WITH {ITEMS_SQL}, {LARGE_SQL}, {BEST_SQL} SELECT coalesce(category, 'default') AS category, CASE WHEN coalesce(TRY_CAST(b.account AS INT) BETWEEN 1000 AND 9999, FALSE) THEN b.account ELSE '3400' END AS account, count(*) AS n,
+ round(avg(CASE WHEN b.score IS NULL THEN 0.2 ELSE least(0.8, 0.3 + 0.05 * b.score) + least(0.15, 0.03 * b.matches) END), 10) AS confidence FROM items i LEFT JOIN best b ON i.description = b.description AND i.supplier = b.supplier GROUP BY 1, 2""")
+def large_catalogue_classifier(t):
+    """Items classified by a catalogue with a category for every part, found by an automaton where it is too large for the plan."""
+    names = t.part.groupBy(F.lower(F.concat_ws(" ", "p_brand", "p_type", "p_name")).alias("keyword")).agg(F.min("p_size").alias("size"))
+    rules = names.select(F.row_number().over(Window.orderBy("keyword")).alias("cat_ord"), F.col("keyword").alias("category"), F.lit(0).alias("kw_ord"), "keyword", F.concat(F.lit("3"), F.lpad(F.col("size").cast("string"), 3, "0")).alias("account"))
+    c = R.classify_by_rules(invoice_items(t), rules)
+    return c.groupBy("category", "account").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 10).alias("confidence"))
+
+
 @query(f"WITH {ITEMS_SQL}, plan AS (SELECT DISTINCT '3' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS account FROM part WHERE p_size % 2 = 0) SELECT i.account, p.account IS NOT NULL AS valid, count(*) AS n FROM items i LEFT JOIN plan p ON p.account = i.account GROUP BY 1, 2")
 def account_plan_check(t):
     plan = t.part.where("p_size % 2 = 0").select(F.concat(F.lit("3"), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("account")).distinct().withColumn("known", F.lit(True))

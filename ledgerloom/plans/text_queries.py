@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import neighbours as N
 from ..operators import rules as R
+from ..operators import scan as SC
+from ..operators import tables as TB
 from ..operators import texts as X
 from ..operators import vectors as V
 from ..sources.scratch import stored
@@ -15,6 +17,8 @@ from .registry import query
 
 FIELDS = {"email": r"([a-z0-9._-]+@[a-z0-9.-]+[a-z])", "ip": r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b", "token": r'token = "([0-9a-f]+)"'}
 
+LONG_NUMBER = r"\b([0-9]{13,16})\b"
+
 
 def _first(pattern: str) -> str:
     return f"nullif(regexp_extract(text, '(?im){pattern}', 1), '')"
@@ -101,6 +105,82 @@ def _spans_sql(pattern: str) -> str:
 SPANS_SQL = f"spans AS (SELECT doc_id, text, value, start, CAST(start + length(value) AS INT) AS end_, CASE WHEN contains(value, '@') THEN 'email' ELSE 'ip' END AS label FROM {_spans_sql(ENTITY)})"
 
 
+RISKS = [
+    SC.Pattern("credentials", "high", r"(?i)(?:password|secret|key|token)\s*=\s*[\"\x27][^\"\x27]+[\"\x27]", ("password", "secret", "key", "token")),
+    SC.Pattern("address", "medium", r"[a-z0-9.]+@[a-z0-9.]+", ("@",)),
+    SC.Pattern("long number", "low", r"[0-9]{13,16}"),
+]
+RISKS_SQL = "found AS (" + " UNION ALL ".join(f"SELECT doc_id, '{p.name}' AS pattern, '{p.severity}' AS severity, text, value, start FROM {_spans_sql(p.regex)}" for p in RISKS) + ")"
+
+
+@query(f"WITH {RISKS_SQL} SELECT doc_id, pattern, severity, 1 + length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) AS line, start, value AS match FROM found")
+def risk_findings(t):
+    """Every match of every risk pattern in whole texts, with its line."""
+    return SC.pattern_findings(t.documents, "doc_id", "text", RISKS).drop("number")
+
+
+@query(f"WITH {RISKS_SQL} SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM found")
+def risk_totals(t):
+    return SC.severity_counts(SC.pattern_findings(t.documents, "doc_id", "text", RISKS))
+
+
+TABLE_PATTERNS = [TB.TablePattern(r'([a-z]+) = "([0-9a-f]+)"', 2, ("name", "value")), TB.TablePattern(r"([A-Z][a-z]+) ([a-z]+), ([a-z]+)", 3, ("first", "second", "third")), TB.TablePattern(r"([0-9]{3,})\D+([0-9]{3,})", 2)]
+VARIANTS = [("value", ["^value", "^v"]), ("name", ["^name", "^first", "^th"])]
+BARS_SQL = r"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+ barred AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM lines WHERE contains(line, '|')),
+ celled AS (SELECT doc_id, run, i, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells FROM barred),
+ kept AS (SELECT * FROM celled WHERE len(list_filter(cells, lambda c: c <> '' AND NOT regexp_full_match(c, ':?-+:?'))) > 0),
+ runs AS (SELECT doc_id, run, list(cells ORDER BY i) AS r FROM kept GROUP BY 1, 2 HAVING count(*) > 1),
+ bars AS (SELECT doc_id, 'bars' AS method, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INT) AS table_index, r[1] AS headers, r[2:] AS body, 0.9 AS confidence FROM runs)"""
+
+
+def _pattern_sql(patterns: list, source: str, keys: str, least: int, chars: int, confidence: float) -> str:
+    """The first pattern with enough matches, as SQL: a table (keys, method, table_index, headers, body, confidence)."""
+    parts = []
+    for k, p in enumerate(patterns):
+        groups = ", ".join(f"regexp_extract_all(text, '{p.regex}', {g})[j]" for g in range(1, p.groups + 1))
+        names = list(p.headers or [f"column_{g}" for g in range(1, p.groups + 1)])
+        parts.append(f"SELECT {keys}, {k} AS table_index, {names} AS headers, list_transform(range(1, len(regexp_extract_all(text, '{p.regex}')) + 1), lambda j: [{groups}]) AS body FROM {source} WHERE length(trim(text)) >= {chars} AND len(regexp_extract_all(text, '{p.regex}')) >= {least}")
+    return f"(SELECT {keys}, 'pattern' AS method, table_index, headers, body, {confidence} AS confidence FROM ({' UNION ALL '.join(parts)}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY table_index) = 1)"
+
+
+TABLES_SQL = f"{BARS_SQL}, pattern AS {_pattern_sql(TABLE_PATTERNS, '(SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bars))', 'doc_id', 2, 100, 0.6)}, tables AS (SELECT * FROM bars UNION ALL SELECT * FROM pattern)"
+NORMAL_SQL = "array_to_string(list_transform(headers, lambda h, i: CASE WHEN regexp_matches(lower(h), '^value|^v') THEN 'value' WHEN regexp_matches(lower(h), '^name|^first|^th') THEN 'name' ELSE 'column_' || CAST(i - 1 AS VARCHAR) END), ',')"
+TABLE_COLUMNS_SQL = f"method, table_index, array_to_string(headers, ',') AS headers, {NORMAL_SQL} AS normalized_headers, sha256(array_to_string(list_transform(body, lambda r: array_to_string(r, '|')), chr(10))) AS rows_sha256, len(body) AS row_count, len(headers) AS column_count, confidence"
+
+
+def table_columns(d, *keys: str):
+    parts = TB.described(F.col("table"), VARIANTS)
+    text = F.array_join(F.transform(parts["rows"], lambda r: F.array_join(r, "|")), "\n")
+    return d.select(*keys, F.explode("tables").alias("table")).select(*keys, "table.method", "table.table_index", F.array_join(parts["headers"], ",").alias("headers"), F.array_join(parts["normalized_headers"], ",").alias("normalized_headers"), F.sha2(text, 256).alias("rows_sha256"), parts["row_count"].alias("row_count"), parts["column_count"].alias("column_count"), "table.confidence")
+
+
+def tiered_tables():
+    return TB.first_tier([TB.bar_tables(F.col("text")), TB.pattern_tables(F.col("text"), TABLE_PATTERNS)])
+
+
+@query(f"WITH {TABLES_SQL} SELECT doc_id, {TABLE_COLUMNS_SQL} FROM tables")
+def extracted_tables(t):
+    """Tables of whole texts by tiers: lines with bars, else the first pattern with two matches."""
+    return table_columns(t.documents.select("doc_id", tiered_tables().alias("tables")), "doc_id")
+
+
+@query(f"WITH pages AS (SELECT * FROM conversations), tables AS {_pattern_sql(TABLE_PATTERNS[1:], 'pages', 'conv_id, turn', 1, 0, 0.7)} SELECT conv_id, turn, {TABLE_COLUMNS_SQL} FROM tables")
+def page_tables(t):
+    """Tables of single pages (turns), by the first pattern that matches at all."""
+    tables = TB.pattern_tables(F.col("text"), TABLE_PATTERNS[1:], least_rows=1, least_chars=0, confidence=0.7)
+    return table_columns(t.conversations.select("conv_id", "turn", tables.alias("tables")), "conv_id", "turn")
+
+
+@query("WITH " + TABLES_SQL + f""", f AS (SELECT doc_id, text, CAST({_first(FIELDS['token'])} IS NOT NULL AS INT) + CAST({_first(FIELDS['ip'])} IS NOT NULL AS INT) + CAST({_first(LONG_NUMBER)} IS NOT NULL AS INT) + CAST({_first(FIELDS['email'])} IS NOT NULL AS INT) AS fields FROM documents),
+ n AS (SELECT doc_id, count(*) AS tables FROM tables GROUP BY 1) SELECT f.doc_id, fields, coalesce(tables, 0) AS tables, round((0.4 * least(length(text) / 5000, 1) + 0.2 * least(coalesce(tables, 0) / 3, 1) + 0.3 * fields / 4 + CASE WHEN length(text) > 0 THEN 0.1 ELSE 0 END) / 1.0, 9) AS score FROM f LEFT JOIN n ON n.doc_id = f.doc_id""")
+def extraction_scores(t):
+    """Quality of extraction with the tables and the four named fields that each text has."""
+    named = dict(zip(TB.FIELDS, (FIELDS["token"], FIELDS["ip"], LONG_NUMBER, FIELDS["email"]), strict=True))
+    d = t.documents.select("doc_id", "text", tiered_tables().alias("tables"), X.field_map(F.col("text"), named).alias("fields"))
+    return d.select("doc_id", F.size("fields").alias("fields"), F.size("tables").alias("tables"), F.round(TB.extraction_score(F.col("text"), F.col("tables"), F.col("fields"), F.length("text")), 9).alias("score"))
+
+
 @query(f"WITH {SPANS_SQL} SELECT doc_id, start, end_ AS \"end\", value FROM spans")
 def entity_spans(t):
     s = X.without_overlaps(X.pattern_spans(F.col("text"), ENTITY))

@@ -49,6 +49,14 @@ def read_catalogue_yaml(spark: SparkSession, path: str, top: str = "kategorien",
     return rule_catalogue(spark, [(c, list(map(str, e.get(keywords) or [])), str(e.get(account) or "")) for c, e in found.items()])
 
 
+def write_catalogue_yaml(spark: SparkSession, rules: Iterable[tuple[str, list[str], str]], path: str, top: str = "kategorien", keywords: str = "schlüsselwörter", account: str = "standard_konto") -> None:
+    """Writes ordered (category, keywords, account) entries as one YAML file in the folder path."""
+    import yaml
+
+    text = yaml.safe_dump({top: {c: {keywords: list(words), account: a} for c, words, a in rules}}, allow_unicode=True, sort_keys=False)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """One name per line; blank lines and # comments are left out."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> '' AND NOT startswith(name, '#')")
