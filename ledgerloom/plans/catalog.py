@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import account_queries, feature_queries, metric_queries, scalar_queries, stream_queries, text_queries  # noqa: F401  (each module registers its queries)
+from . import account_queries, feature_queries, metric_queries, report_queries, scalar_queries, stream_queries, text_queries  # noqa: F401  (each module registers its queries)
 from .registry import ORACLE_SQL, QUERIES
 
 
