@@ -9,6 +9,7 @@ from ..sources.scratch import work_folder
 from ..sources.tables import invoice_items
 from ..streaming import patterns as SP
 from ..streaming import streams as ST
+from ..streaming.seen import SeenIndex, dedupe_stream
 from ..streaming.store import BucketStore, upsert_stream
 from .account_queries import PATTERNS_SQL, RETURNED_SQL
 from .registry import query
@@ -78,8 +79,31 @@ def stream_keyed_patterns(t):
 
 @query("SELECT DISTINCT sha256(CAST(user_id AS VARCHAR) || '|' || event_type || '|' || props) AS hash FROM events WHERE sha256(CAST(user_id AS VARCHAR) || '|' || event_type || '|' || props) NOT IN (SELECT sha256(CAST(user_id AS VARCHAR) || '|' || event_type || '|' || props) FROM events WHERE event_id % 2 = 0)")
 def stream_new_contents(t):
-    seen = t.events.where("event_id % 2 = 0").select(F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", "props"), 256).alias("hash")).distinct()
-    return ST.through_restarts(waves(t), lambda e: ST.new_contents(e, seen, "40 days")).select("hash")
+    return first_contents(t).select("hash")
+
+
+CONTENT_SQL = "sha256(CAST(user_id AS VARCHAR) || '|' || event_type || '|' || props)"
+
+
+@query(f"WITH h AS (SELECT *, {CONTENT_SQL} AS hash, 3 * (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) // ((SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events) + 1) AS wave FROM events) SELECT event_id, user_id, event_type, value, hash FROM h WHERE hash NOT IN (SELECT hash FROM h WHERE event_id % 2 = 0) QUALIFY row_number() OVER (PARTITION BY hash ORDER BY wave, ts, event_id) = 1")
+def stream_first_events(t):
+    """The first event of each content that is not among those stored before, whole."""
+    return first_contents(t).select("event_id", "user_id", "event_type", "value", "hash")
+
+
+def first_contents(t):
+    content = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", "props"), 256).alias("hash")
+    found = []
+
+    def sink(stream, folder):
+        index = SeenIndex(t.spark, f"{folder}/seen")
+        if not found:
+            index.add(t.events.where("event_id % 2 = 0").select(content).distinct(), -1)
+        dedupe_stream(stream, index, ["ts", "event_id"], folder)
+        found.append(t.spark.read.schema(stream.schema).parquet(f"{folder}/out"))
+
+    ST.through_restarts(waves(t), lambda e: e.select("*", content), sink=sink)
+    return found[-1]
 
 
 def stored_newest(t):
@@ -120,8 +144,8 @@ def stream_sessions(t):
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
 def json_round_trip(t):
     path = work_folder(t.spark)
-    t.documents.select("doc_id", "lang").write.json(path)
-    good, _ = files.read_results(t.spark, path, "doc_id long, lang string")
+    t.documents.write.json(path)
+    good, _ = files.read_results(t.spark, path, t.documents.schema)
     return good.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -144,7 +168,7 @@ def training_files(t):
     path = work_folder(t.spark)
     d = t.documents.join(t.labels.where("quality IS NOT NULL"), "doc_id")
     cats = F.create_map(F.concat(F.lit("Q_"), F.col("quality").cast("string")), F.lit(1.0))
-    files.write_examples(d.select(F.col("lang").alias("text"), F.struct(cats.alias("cats")).alias("annotations")), path)
+    files.write_examples(d.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(cats.alias("cats")).alias("annotations")), path)
     return files.read_category_examples(t.spark, path).groupBy(F.get(F.map_keys("annotations.cats"), F.lit(0)).alias("cat")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -12,11 +12,6 @@ from ..sources.scratch import work_folder
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Parquet files of a folder as a stream, event time as a timestamp."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events*.parquet").parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
 def tumbling_metrics(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type")
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.avg((F.col("event_type") == "error").cast("double")).alias("error_rate")).select(F.col("window.start").alias("start"), "event_type", "n", "mean", "error_rate")
@@ -33,12 +28,6 @@ def learned_patterns(events: DataFrame) -> DataFrame:
     return c.groupBy("user_id", "account").agg(F.count(F.lit(1)).alias("n"), F.least(F.lit(0.3), 0.05 * F.count(F.lit(1))).alias("boost"), F.min_by("value", F.struct("ts", "event_id")).alias("first_price"))
 
 
-def new_contents(events: DataFrame, seen: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events whose content hash is neither stored in seen(hash) nor earlier in the stream within the watermark."""
-    hashed = events.withColumn("hash", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", "props"), 256))
-    return hashed.join(seen.select("hash"), "hash", "left_anti").withWatermark("ts", late).dropDuplicatesWithinWatermark(["hash"])
-
-
 def success_alerts(events: DataFrame, least: float, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     w = events.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.avg((F.col("event_type") != "error").cast("double")).alias("rate"))
     return w.where(F.col("rate") < least).select(F.col("window.start").alias("start"), "rate")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.streaming import patterns as P
 from ledgerloom.streaming import streams as ST
+from ledgerloom.streaming.seen import SeenIndex, dedupe_stream
 from ledgerloom.streaming.store import BucketStore, upsert_stream
 
 CORRECTIONS = "supplier string, account string, description string, price double, ts timestamp, id long, wave int"
@@ -140,6 +141,32 @@ def test_late_rows_are_set_apart_and_batches_repeat(spark, tmp_path):
     assert sums == {"00": (1, 1.0, 1.0), "05": (1, 2.0, 1.0), "09": (1, 6.0, 1.0)}
 
 
+def test_seen_contents(spark, tmp_path):
+    index = SeenIndex(spark, f"file://{tmp_path}/seen")
+    hashed = lambda ids: spark.createDataFrame([(i, None if i is None else f"h{i}") for i in ids], "id long, hash string")
+    assert index.unseen(hashed([1, None]), ["id"], 0).count() == 1
+    index.add(hashed(range(3000)), 0)
+    index.add(hashed(range(5000, 5010)), 1)
+    batch = hashed([*range(2990, 3200), 5005, 5020, 5020, *range(9000, 12000)])
+    judged = {r.id: r.doubtful for r in index.with_doubt(batch).collect()}
+    assert all(judged[i] for i in (*range(2990, 3000), 5005))
+    assert sum(judged[i] for i in judged if not (i < 3000 or i == 5005)) < 60
+    new = sorted(r.id for r in index.unseen(batch, ["id"], 2).collect())
+    assert new == [*range(3000, 3200), 5020, *range(9000, 12000)]
+    # Epoch 1 given again reads epoch 0 only.
+    assert [r.id for r in index.unseen(hashed([5005, 2999]), ["id"], 1).collect()] == [5005]
+    index.add(hashed([5005]), 1)
+    assert index.hashes().count() == 3001
+
+
+def test_dedupe_goes_on_from_its_log(spark, tmp_path):
+    index, source, folder = SeenIndex(spark, f"file://{tmp_path}/seen"), f"file://{tmp_path}/in", f"file://{tmp_path}/work"
+    for k in range(3):
+        spark.createDataFrame([(10 * k + i, f"h{(7 * k + i) % 12}") for i in range(10)], "id long, hash string").coalesce(1).write.mode("append").parquet(source)
+        dedupe_stream(spark.readStream.schema("id long, hash string").parquet(source), index, ["id"], folder)
+    assert sorted((r.hash, r.id) for r in spark.read.schema("id long, hash string").parquet(f"{folder}/out").collect()) == sorted([(f"h{i}", i) for i in range(10)] + [("h10", 13), ("h11", 14)])
+
+
 def test_streams_without_rows(spark):
     none = spark.createDataFrame([], "event_id long, ts timestamp, user_id long, event_type string, value double, props string, wave int")
     assert ST.through_restarts(none, ST.learned_patterns, "update").count() == 0
