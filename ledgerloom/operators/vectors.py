@@ -1,32 +1,15 @@
-"""Vectors: exact search in blocks, text encoding, a category model."""
+"""Text encoding by Spark ML's hashed words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine
-
 DIMENSION = 384
 
 
-def similarities(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, vec_id, label, similarity) of a stated query set against all vectors but the query's own.
-
-    queries(query_id, q) is the small side of a nested-loop join; for all
-    against all there is the near-duplicate operator's index instead.
-    """
-    v = vectors.select("vec_id", "label", "embedding")
-    return v.join(queries, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "label", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
-
-
-def nearest(found: DataFrame, n: int) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
-
-
 def encode_texts(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
-    """docs with a unit vector of hashed words; blank texts get zeros. A model can be plugged in as a pandas UDF instead."""
+    """docs with a unit vector of hashed words; blank texts get zeros. For models there are encoders."""
     from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
     from pyspark.ml.functions import vector_to_array
 
@@ -34,16 +17,3 @@ def encode_texts(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     d = d.withColumn("_w", F.filter("_w", lambda w: w != ""))
     d = Normalizer(inputCol="_tf", outputCol="_v").transform(HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dimension).transform(d))
     return d.withColumn("vector", vector_to_array("_v")).drop("_w", "_tf", "_v")
-
-
-def category_model(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """One row: sizes of an 80/20 split of docs(text, label) and the accuracy on the smaller part."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, Tokenizer
-
-    d = HashingTF(inputCol="w", outputCol="features", numFeatures=4096).transform(Tokenizer(inputCol="text", outputCol="w").transform(docs))
-    train, test = d.randomSplit([0.8, 0.2], seed)
-    model = LogisticRegression(maxIter=20).fit(train)
-    out = model.transform(test)
-    n = train.agg(F.count(F.lit(1)).alias("train_rows"))
-    return out.agg(F.count(F.lit(1)).alias("test_rows"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).join(F.broadcast(n), how="cross")

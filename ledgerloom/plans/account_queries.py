@@ -114,9 +114,9 @@ def classified_documents(t):
     return combined(t).groupBy("invoice_id").agg(F.count(F.lit(1)).alias("items"), F.round(F.avg("final"), 10).alias("confidence"), F.count_if(F.col("method") == "consensus").alias("consensus"))
 
 
-@query(f"WITH {CLASSIFIED_SQL} SELECT supplier, round(sum(CASE WHEN s_suppkey % 2 = 0 THEN 0.1 * n_keywords / 4 ELSE 0 END), 4) AS boost FROM classified JOIN supplier ON s_name = supplier GROUP BY 1")
+@query(f"WITH {CLASSIFIED_SQL} SELECT supplier, round(sum(CASE WHEN s_acctbal > 0 THEN 0.1 * n_keywords / 4 ELSE 0 END), 4) AS boost FROM classified JOIN supplier ON s_name = supplier GROUP BY 1")
 def supplier_context(t):
-    context = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("supplier"), F.lit(0.1).alias("boost"))
+    context = t.supplier.where("s_acctbal > 0").select(F.col("s_name").alias("supplier"), F.lit(0.1).alias("boost"))
     c = classified(t).join(context, "supplier", "left")
     return c.groupBy("supplier").agg(F.round(F.sum(R.supplier_boost(F.size("keywords"), F.lit(4), F.col("boost"))), 4).alias("boost"))
 
@@ -159,38 +159,40 @@ def context_classifier(t):
     return c.groupBy("account", "applied").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("final"), 10).alias("confidence"))
 
 
-def corrections(t):
-    """Corrections of items: every seventh line corrected to its part's account."""
-    i = invoice_items(t).where("(invoice_id + position) % 7 = 0")
+def corrected_lines(t, flag: str):
+    """Corrections of items: every line with a flag, corrected to its part's account."""
+    i = invoice_items(t, t.lineitem.where(F.col("l_returnflag") == flag))
     return i.select("supplier", "account", "description", "price", F.col("shipped").alias("ts"), F.struct("invoice_id", "position", "l_partkey", "net").alias("feedback_id"))
 
 
-PATTERNS_SQL = """patterns AS (SELECT supplier, account, substr(description, 1, 100) AS d, count(*) AS n, least(0.3, 0.05 * count(*)) AS boost, arg_min(price, (shipped, invoice_id, position, l_partkey, net)) AS first_price FROM items WHERE (invoice_id + position) % 7 = 0 GROUP BY 1, 2, 3)"""
+def corrections(t):
+    """Every accepted line."""
+    return corrected_lines(t, "A")
+
+
+ACCEPTED_SQL, RETURNED_SQL = (ITEMS_SQL[:-1] + f" WHERE l_returnflag = '{flag}')" for flag in "AR")
+PATTERNS_SQL = """patterns AS (SELECT supplier, account, substr(description, 1, 100) AS d, count(*) AS n, least(0.3, 0.05 * count(*)) AS boost, arg_min(price, (shipped, invoice_id, position, l_partkey, net)) AS first_price FROM items GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {ITEMS_SQL}, {PATTERNS_SQL} SELECT supplier, account, d AS description, n, round(boost, 4) AS boost, round(0.8 * first_price, 8) AS price_min, round(1.2 * first_price, 8) AS price_max FROM patterns")
+@query(f"WITH {ACCEPTED_SQL}, {PATTERNS_SQL} SELECT supplier, account, d AS description, n, round(boost, 4) AS boost, round(0.8 * first_price, 8) AS price_min, round(1.2 * first_price, 8) AS price_max FROM patterns")
 def learned_patterns(t):
     p = R.learn_patterns(corrections(t))
     return p.select("supplier", "account", "description", "n", F.round("boost", 4).alias("boost"), F.round("price_min", 8).alias("price_min"), F.round("price_max", 8).alias("price_max"))
 
 
 def returned(t):
-    """Corrections of items: every returned line."""
-    i = invoice_items(t, t.lineitem.where("l_returnflag = 'R'"))
-    return i.select("supplier", "account", "description", "price", F.col("shipped").alias("ts"), F.struct("invoice_id", "position", "l_partkey", "net").alias("feedback_id"))
-
-
-RETURNED_SQL = ITEMS_SQL[:-1] + " WHERE l_returnflag = 'R')"
+    """Every returned line."""
+    return corrected_lines(t, "R")
 
 
-@query(f"WITH {RETURNED_SQL}, {PATTERNS_SQL.replace(' WHERE (invoice_id + position) % 7 = 0', '')} SELECT supplier, account, d AS description, n, round(boost, 4) AS boost, round(0.8 * first_price, 8) AS price_min, round(1.2 * first_price, 8) AS price_max FROM patterns")
+@query(f"WITH {RETURNED_SQL}, {PATTERNS_SQL} SELECT supplier, account, d AS description, n, round(boost, 4) AS boost, round(0.8 * first_price, 8) AS price_min, round(1.2 * first_price, 8) AS price_max FROM patterns")
 def returned_patterns(t):
-    """learned_patterns with every returned line as a correction."""
+    """learned_patterns with the returned lines as corrections."""
     p = R.learn_patterns(returned(t))
     return p.select("supplier", "account", "description", "n", F.round("boost", 4).alias("boost"), F.round("price_min", 8).alias("price_min"), F.round("price_max", 8).alias("price_max"))
 
 
-BOOSTS_SQL = f"""WITH {CLASSIFIED_SQL}, {PATTERNS_SQL}, numbered AS (SELECT *, row_number() OVER (ORDER BY invoice_id, position, l_partkey, l_suppkey, net, quantity, rate, shipped) AS id FROM classified),
+BOOSTS_SQL = f"""WITH {CLASSIFIED_SQL}, {PATTERNS_SQL.replace('FROM items', f'FROM (WITH {ACCEPTED_SQL} FROM items)')}, numbered AS (SELECT *, row_number() OVER (ORDER BY invoice_id, position, l_partkey, l_suppkey, net, quantity, rate, shipped) AS id FROM classified),
  met AS (SELECT c.id, p.account AS pa, c.account, p.boost, p.n, row_number() OVER (PARTITION BY c.id ORDER BY p.n DESC, p.account, lower(p.d)) AS r FROM numbered c JOIN patterns p ON c.supplier = p.supplier AND c.price BETWEEN 0.8 * p.first_price AND 1.2 * p.first_price AND contains(lower(c.description), lower(p.d))),
  total AS (SELECT id, sum(CASE WHEN pa = account THEN boost * n / 10 ELSE -0.1 * boost END) AS change FROM met WHERE r <= 3 GROUP BY 1)
  SELECT supplier, count(*) AS n, count(t.id) AS changed, round(avg(CASE WHEN t.change IS NULL THEN confidence ELSE least(1.0, confidence + t.change) END), 10) AS confidence FROM numbered LEFT JOIN total t USING (id) GROUP BY 1"""
@@ -198,21 +200,24 @@ BOOSTS_SQL = f"""WITH {CLASSIFIED_SQL}, {PATTERNS_SQL}, numbered AS (SELECT *, r
 
 @query(BOOSTS_SQL)
 def feedback_boosts(t):
-    c = classified(t).withColumn("item_id", F.xxhash64("invoice_id", "position", "l_partkey", "l_suppkey", "net", "quantity", "rate", "shipped"))
-    return boosts(R.feedback_boost(c.withColumn("before", F.col("confidence")), R.learn_patterns(corrections(t))))
+    return boosts(R.feedback_boost(numbered_items(t), R.learn_patterns(corrections(t))))
+
+
+def numbered_items(t):
+    """Classified items with an id of all their fields; equal lines are told apart by a number."""
+    key = ["invoice_id", "position", "l_partkey", "l_suppkey", "net", "quantity", "rate", "shipped"]
+    copy = F.row_number().over(Window.partitionBy(key).orderBy("description"))
+    return classified(t).withColumn("copy", copy).withColumn("item_id", F.struct(*key, "copy")).withColumn("before", F.col("confidence"))
 
 
 def boosts(out):
     return out.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") != F.col("before")).alias("changed"), F.round(F.avg("confidence"), 10).alias("confidence"))
 
 
-@query(BOOSTS_SQL.replace("FROM items WHERE (invoice_id + position) % 7 = 0", f"FROM (WITH {RETURNED_SQL} FROM items)"))
+@query(BOOSTS_SQL.replace(ACCEPTED_SQL, RETURNED_SQL))
 def returned_boosts(t):
-    """feedback_boosts with the patterns of every returned line; equal lines are told apart by a number."""
-    key = ["invoice_id", "position", "l_partkey", "l_suppkey", "net", "quantity", "rate", "shipped"]
-    copy = F.row_number().over(Window.partitionBy(key).orderBy("description"))
-    c = classified(t).withColumn("copy", copy).withColumn("item_id", F.struct(*key, "copy")).withColumn("before", F.col("confidence"))
-    return boosts(R.feedback_boost(c, R.learn_patterns(returned(t))))
+    """feedback_boosts with the patterns of the returned lines."""
+    return boosts(R.feedback_boost(numbered_items(t), R.learn_patterns(returned(t))))
 
 
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS invoices, count(l_orderkey) AS items, count(*) FILTER (l_returnflag = 'R') AS returned, round(avg(p_retailprice), 8) AS price FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""")

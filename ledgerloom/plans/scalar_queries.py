@@ -102,15 +102,15 @@ def structured_text(t):
     return t.orders.select(F.col("o_orderkey").alias("invoice_id"), F.concat_ws(" | ", part("Kunde: ", F.col("o_custkey")), part("Nummer: ", F.col("o_orderkey")), part("Status: ", F.nullif(F.col("o_orderstatus"), F.lit("O"))), part("Art: ", F.col("o_orderpriority"))).alias("structured"))
 
 
-@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END, ''), concat_ws(chr(10), lang, source)) AS full_text FROM documents")
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN length(text) >= 20 THEN text ELSE '' END, ''), concat_ws(chr(10), lang, source)) AS full_text FROM documents")
 def full_text(t):
-    raw = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("")
+    raw = F.when(F.length("text") >= 20, F.col("text")).otherwise("")
     return t.documents.select("doc_id", F.coalesce(F.nullif(raw, F.lit("")), F.concat_ws("\n", "lang", "source")).alias("full_text"))
 
 
 @query("SELECT doc_id, coalesce(nullif(text, ''), concat_ws(chr(10), lang, source)) AS full_text FROM documents")
 def full_text_all(t):
-    """full_text with the text of every document."""
+    """full_text with short texts too."""
     return t.documents.select("doc_id", F.coalesce(F.nullif("text", F.lit("")), F.concat_ws("\n", "lang", "source")).alias("full_text"))
 
 

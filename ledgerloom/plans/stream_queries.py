@@ -67,7 +67,7 @@ def stream_learned_patterns(t):
     return out.select("user_id", "account", "n", F.round("boost", 6).alias("boost"), "first_price")
 
 
-@query(f"WITH {RETURNED_SQL}, {PATTERNS_SQL.replace(' WHERE (invoice_id + position) % 7 = 0', '').replace('count(*) AS n', 'count(*) AS n, max(shipped) AS newest')} SELECT supplier, account, d AS description, n, round(boost, 4) AS boost, round(0.8 * first_price, 8) AS price_min, round(1.2 * first_price, 8) AS price_max, CAST(newest AS VARCHAR)[1:10] AS last_updated FROM patterns")
+@query(f"WITH {RETURNED_SQL}, {PATTERNS_SQL.replace('count(*) AS n', 'count(*) AS n, max(shipped) AS newest')} SELECT supplier, account, d AS description, n, round(boost, 4) AS boost, round(0.8 * first_price, 8) AS price_min, round(1.2 * first_price, 8) AS price_max, CAST(newest AS VARCHAR)[1:10] AS last_updated FROM patterns")
 def stream_keyed_patterns(t):
     """returned_patterns from a stream of every returned line, by keyed state that outlives restarts."""
     lines = invoice_items(t, t.lineitem.where("l_returnflag = 'R'")).select(*SP.KEYS, "price", F.col("shipped").cast("timestamp").alias("ts"), "invoice_id", "position", "l_partkey", "net")

@@ -11,6 +11,7 @@ from ..operators import rules as R
 from ..operators import scan as SC
 from ..operators import tables as TB
 from ..operators import texts as X
+from ..operators import training as T
 from ..operators import vectors as V
 from ..sources.scratch import stored
 from .registry import query
@@ -269,10 +270,10 @@ def training_categories(t):
     return t.orders.select("o_orderkey", F.concat_ws(",", S.total_band(F.col("o_totalprice")), F.when(F.col("o_orderstatus") == "F", "final")).alias("categories"))
 
 
-@query("SELECT doc_id, coalesce(nullif(lang, ''), source) AS text, CASE WHEN quality IS NULL THEN '' ELSE 'Q_' || CAST(quality AS VARCHAR) END AS cat FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, coalesce(nullif(text, ''), source) AS text, CASE WHEN quality IS NULL THEN '' ELSE 'Q_' || CAST(quality AS VARCHAR) END AS cat FROM documents LEFT JOIN labels USING (doc_id)")
 def training_examples(t):
     d = t.documents.join(t.labels, "doc_id", "left")
-    return d.select("doc_id", F.coalesce(F.nullif("lang", F.lit("")), "source").alias("text"), F.when(F.col("quality").isNull(), "").otherwise(F.concat(F.lit("Q_"), F.col("quality").cast("string"))).alias("cat"))
+    return d.select("doc_id", F.coalesce(F.nullif("text", F.lit("")), "source").alias("text"), F.when(F.col("quality").isNull(), "").otherwise(F.concat(F.lit("Q_"), F.col("quality").cast("string"))).alias("cat"))
 
 
 @query(r"""SELECT doc_id, length(text) AS n_chars, len(w) AS n_words, round(coalesce(list_sum(list_transform(w, lambda x: length(x))) / nullif(len(w), 0), 0), 9) AS mean_word, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(s) <> '')) AS n_sentences,
@@ -381,8 +382,8 @@ def feature_analysis(t):
 @query("SELECT a.vec_id AS query_id, count(*) AS n, round(max(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 8) AS best FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1")
 def cosine_search(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = V.similarities(q, t.embeddings)
-    return s.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("similarity"), 8).alias("best"))
+    best = N.nearest(q, t.embeddings, 1, exact=True).select("query_id", F.round("similarity", 8).alias("best"))
+    return best.join(F.broadcast(t.embeddings.agg((F.count(F.lit(1)) - 1).alias("n"))), how="cross")
 
 
 KNN = "knn AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"
@@ -441,14 +442,17 @@ def text_encoder(t):
 
 @query()
 def category_model(t):
-    d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
-    return V.category_model(d)
+    """Sizes of a split by id and the accuracy of a quality model on the smaller part."""
+    d = t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.col("quality").cast("string").alias("category")).where("category IS NOT NULL").withColumn("training", T.for_training("doc_id"))
+    model = T.train_categories(d.where("training").drop("training"), features=4096)
+    scores = T.model_scores(T.confusion(T.predicted(model, d.where("NOT training").drop("training"))))
+    return scores.select(F.col("validation_examples").alias("test_rows"), "accuracy").join(F.broadcast(d.agg(F.count_if("training").alias("train_rows"))), how="cross")
 
 
-@query("WITH g AS (SELECT doc_id, n_chars // 500 AS s FROM documents), p AS (SELECT doc_id, n_chars // 450 AS s FROM documents WHERE doc_id % 5 <> 0) SELECT count(*) FILTER (g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL) AS hits, count(*) FILTER (p.doc_id IS NULL) AS missed, count(*) FILTER (g.doc_id IS NULL) AS wrong FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.s = p.s")
+@query("WITH g AS (SELECT doc_id, n_chars // 500 AS s FROM documents), p AS (SELECT doc_id, n_chars // 450 AS s FROM documents WHERE n_chars >= 100) SELECT count(*) FILTER (g.doc_id IS NOT NULL AND p.doc_id IS NOT NULL) AS hits, count(*) FILTER (p.doc_id IS NULL) AS missed, count(*) FILTER (g.doc_id IS NULL) AS wrong FROM g FULL JOIN p ON g.doc_id = p.doc_id AND g.s = p.s")
 def span_evaluation(t):
     g = t.documents.select(F.col("doc_id").alias("gd"), F.expr("n_chars div 500").alias("gs"))
-    p = t.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("pd"), F.expr("n_chars div 450").alias("ps"))
+    p = t.documents.where("n_chars >= 100").select(F.col("doc_id").alias("pd"), F.expr("n_chars div 450").alias("ps"))
     return g.join(p, (F.col("gd") == F.col("pd")) & (F.col("gs") == F.col("ps")), "full").agg(F.count_if(F.col("gd").isNotNull() & F.col("pd").isNotNull()).alias("hits"), F.count_if(F.col("pd").isNull()).alias("missed"), F.count_if(F.col("gd").isNull()).alias("wrong"))
 
 

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import stored
+
 
 def read_results(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
     """JSON documents of a folder as (valid rows, corrupt rows); nothing raises."""
     fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    df = spark.read.schema(StructType([*fields.fields]).add("_corrupt", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+    df = spark.read.schema(StructType([*fields.fields]).add("_corrupt", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    df = stored(df, "results")  # corrupt records can't be asked for alone while reading
     return df.where("_corrupt IS NULL").drop("_corrupt"), df.where("_corrupt IS NOT NULL").select("_corrupt")
 
 
