@@ -510,6 +510,27 @@ def test_embeddings(spark):
     assert all(found[i].n_links == 0 and found[i].kept for i in range(300, 305))
 
 
+def test_embeddings_with_few_links(spark):
+    """Two shards of some 3,000 vectors with 60 links among them: audits of real links see next to none."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((6000, 32))
+    for a, b in rng.permutation(6000)[:120].reshape(60, 2):
+        v[a] = v[b] + 0.2 * rng.standard_normal(32)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.93) & ~np.eye(6000, dtype=bool)
+    expected = components([(int(a), int(b)) for a, b in zip(*np.nonzero(linked), strict=True)], range(6000))
+    df = spark.createDataFrame([(i, [float(x) for x in r], 1) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert linked.sum() > 80 and found == {i: (int(linked[i].sum()), expected[i]) for i in range(6000)}
+
+
+def test_planted_links():
+    x = embedding_dedup._unit(np.random.default_rng(7).standard_normal((500, 8)))
+    nodes, queries = embedding_dedup.plant(x, 0.93)
+    assert len(nodes) == 256 and np.allclose((x[nodes] * queries).sum(axis=1), 0.93, atol=1e-5) and np.allclose(np.linalg.norm(queries, axis=1), 1, atol=1e-5)
+    assert len(embedding_dedup.plant(x[:1], 0.93)[0]) == 1 and len(embedding_dedup.plant(np.ones((3, 1), np.float32), 0.93)[0]) == 0
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
