@@ -188,14 +188,14 @@ def corrected_annotation(text: Column, entity: Column, start: Column, end: Colum
     """
     exact, any_case = F.instr(text, entity) - 1, F.instr(F.lower(text), F.lower(entity)) - 1
     found = F.when(exact >= 0, exact).otherwise(any_case)
-    held = F.array_max(F.array(F.struct(F.lit(-len(brands)).alias("order"), F.lit(None).cast("string").alias("brand")), *(F.when(F.contains(F.upper(text), F.lit(b)), F.struct(F.lit(-k).alias("order"), F.lit(b).alias("brand"))) for k, b in enumerate(brands))))["brand"]
+    held = F.array_max(F.array(F.struct(F.lit(-len(brands)).alias("order"), F.lit(None).cast("string").alias("brand")), *(F.when(F.contains(F.lower(text), F.lit(b.lower())), F.struct(F.lit(-k).alias("order"), F.lit(b).alias("brand"))) for k, b in enumerate(brands))))["brand"]
     brand = F.when((label == brand_label) & F.upper(entity).isin(brands), held)
 
     def out(value: Column, a: Column, z: Column, confidence: float, corrected: bool = False, fuzzy: bool = False, fallback: bool = False) -> Column:
         return F.struct(value.alias("text"), label.alias("label"), a.cast("int").alias("start"), z.cast("int").alias("end"), F.lit(confidence).alias("confidence"), F.lit(corrected).alias("corrected"), F.lit(fuzzy).alias("fuzzy"), F.lit(fallback).alias("fallback"))
 
     bad = (start < 0) | (end > F.length(text)) | (start >= end)
-    at = F.instr(F.upper(text), brand) - 1
+    at = F.instr(F.lower(text), F.lower(brand)) - 1  # upper case would make two letters of ß
     return (
         F.when(bad, out(entity, F.lit(0), F.length(entity), 0.3, fallback=True))
         .when(F.trim(F.substring(text, start + 1, end - start)) == F.trim(entity), out(entity, start, end, 1.0))

@@ -245,6 +245,19 @@ def annotation_quality(t):
     return r.withColumns({c: F.round(c, 9) for c in ("mean_confidence", "quality")})
 
 
+TEXT_BRANDS = ["THE", "UND", "LES", "QUE"]
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, CASE WHEN instr(text, 'THE') > 0 THEN instr(text, 'THE') ELSE instr(lower(text), 'the') END - 1 AS place, list_filter({TEXT_BRANDS}, lambda b: contains(lower(text), lower(b)))[1] AS held FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT *, CASE WHEN length(text) < 3 THEN 'fallback' WHEN substr(text, 1, 3) = 'THE' THEN 'exact' WHEN place >= 0 THEN 'found' WHEN held IS NOT NULL THEN 'fuzzy' ELSE 'kept' END AS kind FROM d)
+ SELECT doc_id, CASE kind WHEN 'fuzzy' THEN held ELSE 'THE' END AS entity, CAST(CASE kind WHEN 'found' THEN place WHEN 'fuzzy' THEN instr(lower(text), lower(held)) - 1 ELSE 0 END AS INT) AS start, CASE kind WHEN 'fallback' THEN 0.3 WHEN 'exact' THEN 1.0 WHEN 'found' THEN 0.95 WHEN 'fuzzy' THEN 0.8 ELSE 0.5 END AS confidence, kind = 'fuzzy' AS fuzzy FROM c""")
+def brand_corrections(t):
+    """An annotation of one brand in every document, corrected to the first brand of the list that the text has."""
+    d = t.documents.where("text IS NOT NULL")
+    c = X.corrected_annotation(F.col("text"), F.lit("THE"), F.lit(0), F.lit(3), F.lit("MARKE"), TEXT_BRANDS)
+    return d.select("doc_id", c.alias("c")).select("doc_id", F.col("c.text").alias("entity"), "c.start", "c.confidence", "c.fuzzy")
+
+
 OTHER_ENTITY = r"[a-z0-9.]+@[a-z0-9.]+[a-z]|[0-9]+\.[0-9]+"
 
 
