@@ -47,6 +47,7 @@ class WordBpe:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        self.spec, self.library = text, None
         model = spec["model"]
         vocab = model["vocab"]
         suffix = model["end_of_word_suffix"] or ""
@@ -130,20 +131,25 @@ class WordBpe:
     def _words(self, text: str) -> list[str]:
         if text.isascii():
             text = text.lower()
+        elif any(unicodedata.category(c) == "Cn" for c in text):
+            return self._words_of_library(text)
         else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if text.isalpha():
             return [text]
         if text[-1:] in _POINTS and text[:-1].isalpha():
             return [text[:-1], text[-1]]
-        if text.isascii():
-            return self.pattern.findall(text)
-        # Code points without an assigned meaning are no letters, whatever the pattern's library says.
-        odd = {c: chr(0xF0000 + k) for k, c in enumerate({c for c in text if unicodedata.category(c) == "Cn"})}
-        if not odd:
-            return self.pattern.findall(text)
-        back = {ord(v): k for k, v in odd.items()}
-        return [w.translate(back) for w in self.pattern.findall(text.translate({ord(k): v for k, v in odd.items()}))]
+        return self.pattern.findall(text)
+
+    def _words_of_library(self, text: str) -> list[str]:
+        """Words by the library's own normaliser and pattern, whose Unicode tables may be newer than ours."""
+        if self.library is None:
+            from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+            cut = next(p for p in json.loads(self.spec)["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+            self.library = Tokenizer.from_str(self.spec).normalizer, pre_tokenizers.Split(Regex(cut["pattern"]["Regex"]), cut["behavior"].lower(), cut["invert"])
+        normalizer, splitter = self.library
+        return [w for w, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
 
     def split(self, text: str) -> list[str]:
         return [c for c in _SPACES.split(text) if c] if _ODD.search(text) else text.split()

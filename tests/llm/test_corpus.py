@@ -510,6 +510,20 @@ def test_embeddings(spark):
     assert all(found[i].n_links == 0 and found[i].kept for i in range(300, 305))
 
 
+def test_bpe_of_letters_that_unicode_added():
+    """Code points that our tables don't know are split as the library splits them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    library = Tokenizer.from_str(spec)
+    new = [*range(0x10D40, 0x10D90), *range(0x1C89, 0x1C8B), *range(0xA7CB, 0xA7DD), *range(0x105C0, 0x105F4), *range(0x11380, 0x113E3), *range(0x13460, 0x13600), *range(0x16D40, 0x16D7A), *range(0x1E5D0, 0x1E5FB), 0x0378, 0xE0080, 0x10FFFF]
+    texts = [t for c in map(chr, new) for t in (f"a{c}b {c}{c} 1{c}", f"É{c}{c.upper()}.")]
+    expected = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert bpe.WordBpe(spec).encode(texts) == expected
+
+
 def test_embeddings_with_few_links(spark):
     """Two shards of some 3,000 vectors with 60 links among them: audits of real links see next to none."""
     rng = np.random.default_rng(6)
