@@ -57,3 +57,12 @@ def test_feedback_boost_price_bounds(spark):
     patterns = spark.createDataFrame([("s", "1", "Bolt", 2, 0.1, 80.0, 120.0), ("s", "2", "red", 1, 0.1, 0.0, 0.001), ("t", "1", "bolt", 9, 0.3, 0.0, 1e12)], "supplier string, account string, description string, n int, boost double, price_min double, price_max double")
     found = {r.item_id: round(r.confidence, 6) for r in R.feedback_boost(items, patterns).collect()}
     assert found == {0: 0.5, 1: 0.49, 2: 0.49, 3: 0.5, 4: 0.52, 5: 0.52, 6: 0.52, 7: 0.5, 8: 0.5}
+
+
+def test_feedback_boost_takes_the_top_patterns(spark):
+    """Ties go to the account, then the text."""
+    patterns = spark.createDataFrame([("s", a, d, n, 0.1, 5.0, 6.0) for a, d, n in [("1", "x", 4), ("2", "x", 4), ("1", "y", 9), ("3", "x", 1), ("1", "q", 50), ("2", "y", 4)]], "supplier string, account string, description string, n int, boost double, price_min double, price_max double")
+    items = spark.createDataFrame([(0, "s", 5.5, "x y", "1", 0.5), (1, "s", 5.5, "X", "2", 0.5), (2, "t", 5.5, "x y", "1", 0.5), (3, "s", 5.5, "zzz", "1", 0.5)], "item_id int, supplier string, price double, description string, account string, confidence double")
+    found = {r.item_id: round(r.confidence, 6) for r in R.feedback_boost(items, patterns).collect()}
+    # Item 0: y of 1 (+.09), x of 1 (+.04), x of 2 (-.01); item 1: x of 1 (-.01), x of 2 (+.04), x of 3 (-.01).
+    assert found == {0: 0.62, 1: 0.52, 2: 0.5, 3: 0.5}
