@@ -10,7 +10,7 @@ from ..operators import quality as Q
 from ..operators import rules as R
 from ..sources import files
 from ..sources.files import rule_catalogue
-from ..sources.scratch import work_folder
+from ..sources.scratch import stored, work_folder
 from ..sources.tables import FEEDBACK_SQL, ITEMS_SQL, METRICS_SQL, feedback, invoice_items, metrics
 from .registry import query
 
@@ -204,10 +204,9 @@ def feedback_boosts(t):
 
 
 def numbered_items(t):
-    """Classified items with an id of all their fields; equal lines are told apart by a number."""
-    key = ["invoice_id", "position", "l_partkey", "l_suppkey", "net", "quantity", "rate", "shipped"]
-    copy = F.row_number().over(Window.partitionBy(key).orderBy("description"))
-    return classified(t).withColumn("copy", copy).withColumn("item_id", F.struct(*key, "copy")).withColumn("before", F.col("confidence"))
+    """Classified items, stored with a number each: both sides of the boosts' joins start from there."""
+    c = classified(t).select("supplier", "price", "description", "account", "confidence")
+    return stored(c.withColumn("item_id", F.monotonically_increasing_id()), "items").withColumn("before", F.col("confidence"))
 
 
 def boosts(out):
