@@ -51,9 +51,13 @@ def most_frequent(items: Column, k: int) -> Column:
 
     def counted(s: Column) -> Column:
         heads = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (x["item"] != F.get(s, j - 1)["item"]), j)), lambda j: j.isNotNull())
-        return bind(heads, lambda h: F.transform(h, lambda j, r: F.struct((j - F.coalesce(F.get(h, r + 1), F.size(s))).alias("neg"), F.get(s, j)["first"].alias("first"), F.get(s, j)["item"].alias("item"))))
+        return bind(heads, lambda h: F.transform(h, lambda j, r: F.struct((j - F.coalesce(F.get(h, r + 1), F.size(s))).alias("neg"), F.get(s, j)["first"].alias("first"), j.alias("at"))))
 
-    return F.slice(F.array_sort(bind(placed, counted)), 1, k)
+    def best(c: Column) -> Column:
+        # With k items that come twice, no other is among the best; most are then not sorted.
+        return bind(F.filter(c, lambda x: x["neg"] < -1), lambda m: F.slice(F.array_sort(F.when(F.size(m) >= k, m).otherwise(c)), 1, k))
+
+    return bind(placed, lambda s: F.transform(bind(counted(s), best), lambda x: F.struct(x["neg"], x["first"], F.get(s, x["at"])["item"].alias("item"))))
 
 
 def top_ngrams(docs: DataFrame, n: int, k: int, stopwords: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
