@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 
 def bind(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with value computed once: what a lambda refers to is computed anew for each element, its own variables are not."""
@@ -65,7 +67,7 @@ def top_ngrams(docs: DataFrame, n: int, k: int, stopwords: list[str], key: str =
     kept = F.filter(F.split(F.lower(text), r"[^a-zäöüßéèêàçñóíúáâîôû]+"), lambda w: (F.length(w) > 2) & ~w.isin(stopwords))
     gram = lambda w: F.transform(F.slice(w, 1, F.size(w) - (n - 1)), lambda x, i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(n))))
     best = bind(kept, lambda w: F.when(F.size(w) >= n, most_frequent(w if n == 1 else gram(w), k)))
-    d = docs.select(key, F.posexplode(best).alias("_rank", "_g"))
+    d = spread(docs.select(key, text)).select(key, F.posexplode(best).alias("_rank", "_g"))
     return d.select(key, F.col("_g.item").alias("gram"), (-F.col("_g.neg")).cast("long").alias("count"), (F.col("_rank") + 1).alias("rank"))
 
 

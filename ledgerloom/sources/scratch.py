@@ -30,3 +30,9 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
 def is_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Whether df has so many rows at most; no more than these are counted."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its input has fewer splits than there are, for work that is dear in every row; larger inputs stay as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
