@@ -17,6 +17,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ from .common import held, scratch, table
 END_ID = 2
 #: Parts of texts that a worker remembers with their ids; when there are more, they become the older ones, and those before are forgotten.
 MEMORY = 400_000
-#: Text that is encoded at a time.
-GROUP_BYTES = 1 << 20
+#: Text that is encoded at a time. Its distinct parts are looked up once each, so larger groups need fewer lookups, and more memory.
+GROUP_BYTES = 4 << 20
+#: Ends each part of a text in UTF-8, where this byte does not occur.
+CUT = b"\xff"
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1 << 20, 2_000
 #: A blank at an end or beside other white space.
 _IRREGULAR = re.compile(r"^\s|\s$| \s|\s ")
@@ -40,6 +43,7 @@ _WIDE = re.compile("[\u1680-\uffff]")
 _LETTERS, _MARKS = r"[A-Za-z\x80-\U0010ffff]", r"[!-&(-/:;=-@\[-`{-~]"
 _SIMPLE = re.compile(f" ?(?:{_LETTERS}|{_MARKS})(?:\n?(?:{_LETTERS}|{_MARKS}))*")
 _RUNS = re.compile(f" ?{_LETTERS}+| ?{_MARKS}+|\n")
+_POINTS = "".join(c for c in map(chr, range(128)) if re.match(_MARKS, c))
 
 
 def regular(text: str) -> bool:
@@ -60,6 +64,8 @@ class Pieces(dict):
     The pattern also ends a token between letters, points and a lone line feed:
     parts made of these alone are cut there, and each run, one word of the
     pattern, goes to the library's model. All others take the library's whole way.
+    The parts of many texts are coded by an Arrow dictionary, so that Python
+    meets each distinct part of a group once, and new ones all together.
     """
 
     def __init__(self, spec: str):
@@ -70,8 +76,7 @@ class Pieces(dict):
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.alphabet = byte_alphabet()
-        self.blank = self.alphabet[32]
+        self.alphabet = {b: c for b, c in byte_alphabet().items() if b}
         self.older: dict[str, bytes] = {}
 
     @staticmethod
@@ -87,31 +92,62 @@ class Pieces(dict):
                 out[-1] += " " + p
         return [p for p in out if p]
 
-    def _word(self, p: str) -> bytes:
-        if p.isascii() and p != "\n":
-            mapped = self.blank + p[1:] if p[0] == " " else p
-        else:
-            mapped = p.encode("utf-8").decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-
-    def __missing__(self, p: str) -> bytes:
-        found = self[p] = self.older.get(p) or self._ids(p)
-        return found
-
-    def _ids(self, p: str) -> bytes:
-        if (p[1:] if p[0] == " " else p).isalpha():
-            return self._word(p)
-        if _SIMPLE.fullmatch(p):
-            runs = _RUNS.findall(p)
-            if p.isascii() or all(r.isascii() or r.lstrip(" ").isalpha() for r in runs):
-                return self._word(p) if len(runs) == 1 else b"".join(map(self.__getitem__, runs))
-        return array("I", self.library.encode(p, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, parts: list[str]) -> None:
+        """Remembers the ids of parts that are not known yet, each there once."""
+        words, cut = [], {}
+        for p in parts:
+            if (p[1:] if p[0] == " " else p).isalpha():
+                words.append(p)
+                continue
+            word = p.rstrip(_POINTS)
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                cut[p] = [word, p[len(word) :]]
+                continue
+            runs = _RUNS.findall(p) if _SIMPLE.fullmatch(p) else []
+            if runs and (p.isascii() or all(r.isascii() or r.lstrip(" ").isalpha() for r in runs)):
+                cut[p] = runs
+            else:
+                self[p] = array("I", self.library.encode(p, add_special_tokens=False).ids).tobytes()
+        new = list(set(words).union(*cut.values()).difference(self))
+        tokenize = self.model.tokenize
+        # No run holds the character 0, which stays as it is.
+        mapped = "\0".join(new).encode("utf-8").decode("latin-1").translate(self.alphabet).split("\0") if new else []
+        self.update((w, array("I", [t.id for t in tokenize(m)]).tobytes()) for w, m in zip(new, mapped, strict=True))
+        self.update((p, b"".join([self[r] for r in runs])) for p, runs in cut.items())
+
+    def _found(self, parts: list[str]) -> list[bytes]:
+        """The ids of distinct parts."""
+        found = list(map(self.get, parts))
+        missing = [p for p, ids in zip(parts, found, strict=True) if ids is None]
+        if not missing:
+            return found
+        older = list(map(self.older.get, missing))
+        self.update((p, ids) for p, ids in zip(missing, older, strict=True) if ids is not None)
+        self._learn([p for p, ids in zip(missing, older, strict=True) if ids is None])
+        return [self[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
+
+    def lists(self, texts: list[str], end: bytes = b"") -> pa.ListArray:
+        """The ids of each text as a list of int32, with those of end (little-endian unsigned 32-bit integers) after them."""
         if len(self) > MEMORY:
             self.older = dict(self)
             self.clear()
-        return [b"".join(map(self.__getitem__, self.split(t))) for t in texts]
+        self[""] = end  # the empty part behind the last mark
+        marked = [t.encode("utf-8").replace(b" ", CUT + b" ") + CUT if t and regular(t) else b"".join([p.encode("utf-8") + CUT for p in self.split(t)]) for t in texts]
+        parts = pc.split_pattern(pa.array(marked, pa.large_binary()), CUT)
+        coded = parts.flatten().dictionary_encode()
+        ids = self._found(coded.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist())
+        known = _lists(np.cumsum([0, *map(len, ids)]) // 4, b"".join(ids)).take(coded.indices)
+        return pa.ListArray.from_arrays(known.offsets.take(parts.offsets), known.values)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        found = self.lists(texts)
+        at, ids = (4 * found.offsets.to_numpy().astype(np.int64)).tolist(), found.values.to_numpy().tobytes()
+        return [ids[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+
+
+def _lists(offsets: np.ndarray, ids: bytes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids) // 4, [None, pa.py_buffer(ids)]))
 
 
 def _pieces(shared) -> Pieces:
@@ -130,11 +166,9 @@ def token_rows(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID
         for b in batches:
             texts = b.column(1)
             for lo, hi in text_groups(texts, GROUP_BYTES):
-                found = [x + end for x in pieces.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])]
-                sizes = np.array([len(x) // 4 for x in found], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), values)], names=names)
+                found = pieces.lists([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], end)
+                sizes = pa.array(np.diff(found.offsets.to_numpy()).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), sizes, found], names=names)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = F.col("doc_id").asc_nulls_first()
@@ -177,12 +211,11 @@ def part_starts(spark: SparkSession, path: str) -> DataFrame:
 def _crcs(batches):
     names = ["doc_id", "place", "ids_crc32", "found"]
     for b in batches:
-        crc, n = [], []
-        for x in b.column(2):
-            v = x.values.to_numpy().astype("<u4", copy=False) if x.is_valid else np.zeros(0, "<u4")
-            crc.append(crc32(v.tobytes()))
-            n.append(len(v))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crc, pa.int64()), pa.array(n, pa.int64())], names=names)
+        ids = b.column(2)
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy().astype(np.int64)
+        at, raw = 4 * ids.offsets.to_numpy()[:-1].astype(np.int64), ids.values.to_numpy().astype("<u4", copy=False).view(np.uint8)
+        crc = [crc32(raw[lo:hi]) for lo, hi in zip(at.tolist(), (at + 4 * sizes).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crc, pa.int64()), pa.array(sizes)], names=names)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -254,6 +254,30 @@ def test_token_pieces_of_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_token_pieces_meet_distinct_parts_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    seen = []
+
+    class Counted(token_files.Pieces):
+        def get(self, part, *other):
+            seen.append(part)
+            return super().get(part, *other)
+
+    library, own = Tokenizer.from_str(spec), Counted(spec)
+    texts = ["", "an apple, an apple. An apple!", "a\n  b\0 c é", "\n", "", "an apple, Été\nan apple"] * 50
+    found = own.lists(texts, (2).to_bytes(4, "little"))
+    assert found.to_pylist() == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(seen) == len(set(seen)) < 20
+    monkeypatch.setattr(token_files, "MEMORY", 3)
+    for t in [*texts[:6], *texts[:6], "another apple, or two"]:
+        assert own.lists([t]).to_pylist() == [library.encode(t, add_special_tokens=False).ids]
+    assert own.lists([]).to_pylist() == own.encode([]) == []
+
+
 def test_token_files(spark, docs, texts, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
