@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .bpe import text_groups
 from .common import cut, discard, scratch, table
-from .token_files import END_ID, GROUP_BYTES, _pieces
+from .token_files import END_ID, _pieces
 
 CAPACITY = 1_024
+#: Text that is encoded at a time, more than in token_files: no writer of large row groups needs memory beside it.
+GROUP_BYTES = 16 << 20
 BLOCK_PIECES = 4_096
 ISLANDS, MEMBERS, EPOCHS, CHILDREN = 3, 4, 3, 8
 #: Bins filled to this share are left alone when blocks are joined.
@@ -50,24 +52,22 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     end = b"" if end_id is None else end_id.to_bytes(4, "little")
     names = ["doc_id", "piece", "start", "length", "ids"]
-    step = 4 * capacity
 
     def run(batches):
         encoder = _pieces(shared)
         for b in batches:
             texts = b.column(1)
             for lo, hi in text_groups(texts, GROUP_BYTES):
-                rows, piece, start, data = [], [], [], []
-                for k, x in enumerate(encoder.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()]), lo):
-                    x += end
-                    at, stop, n = 0, len(x) % step or min(step, len(x)), 0
-                    while at < len(x):
-                        rows.append(k)
-                        piece.append(n)
-                        start.append(at // 4)
-                        data.append(x[at:stop])
-                        at, stop, n = stop, stop + step, n + 1
-                columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(d) // 4 for d in data], pa.int64()), pa.array(data, pa.binary())]
+                found = encoder.lists(texts.slice(lo, hi - lo), end)
+                at = found.offsets.to_numpy().astype(np.int64)
+                size = np.diff(at)
+                count = -(-size // capacity)
+                row, piece = np.repeat(np.arange(hi - lo), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                # The first piece is as much shorter as the pieces could hold more.
+                start = np.maximum(piece * capacity - (count * capacity - size)[row], 0)
+                bounds = np.append(at[row] + start, at[-1])
+                ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(found.values.to_numpy())])
+                columns = [b.column(0).take(pa.array(lo + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(np.diff(bounds)), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

@@ -29,38 +29,84 @@ END_ID = 2
 MEMORY = 400_000
 #: Text that is encoded at a time. Its distinct parts are looked up once each, so larger groups need fewer lookups, and more memory.
 GROUP_BYTES = 4 << 20
-#: Ends each part of a text in UTF-8, where this byte does not occur.
-CUT = b"\xff"
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 1 << 20, 2_000
-#: A blank at an end or beside other white space.
-_IRREGULAR = re.compile(r"^\s|\s$| \s|\s ")
-_DOUBLE = ("  ", " \n", "\n ")
-#: White space other than blank and line feed, and the first character that may be wide white space.
-_RARE = ("\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
-_WIDE = re.compile("[\u1680-\uffff]")
 #: Letters (or wide characters still to be looked at), points of ASCII, and line feeds between them. An apostrophe may begin
 #: a word of the pattern, "<" a special token: parts with these are left to the library.
 _LETTERS, _MARKS = r"[A-Za-z\x80-\U0010ffff]", r"[!-&(-/:;=-@\[-`{-~]"
 _SIMPLE = re.compile(f" ?(?:{_LETTERS}|{_MARKS})(?:\n?(?:{_LETTERS}|{_MARKS}))*")
 _RUNS = re.compile(f" ?{_LETTERS}+| ?{_MARKS}+|\n")
 _POINTS = "".join(c for c in map(chr, range(128)) if re.match(_MARKS, c))
+#: Points of ASCII that part_bounds cuts at: none of them is in a special token or begins a word of the pattern.
+_SAFE = '.,;:!?()"'
 
 
-def regular(text: str) -> bool:
-    """Whether blanks stand alone between other characters; common cases without a pattern."""
-    if "\0" in text or text[:1].isspace() or text[-1:].isspace() or any(x in text for x in _DOUBLE):
-        return False
-    if any(x in text for x in _RARE) or not text.isascii() and _WIDE.search(text):
-        return _IRREGULAR.search(text) is None
-    return True
+def _tables() -> tuple[np.ndarray, ...]:
+    """What part_bounds asks of a byte, and of two bytes in a row.
+
+    Of a byte: whether it is a blank, a line feed or a safe point. Of two: whether
+    a letter ends with them; a letter begins there; something other than white
+    space ends with them, white space of three bytes apart; something other than
+    white space begins there for sure; and white space of three bytes may end with
+    them. Letters are those of ASCII, of U+00C0 to U+027F but for its two signs,
+    and of U+0400 to U+047F.
+    """
+    of_note = np.zeros(256, bool)
+    of_note[[32, 10, *map(ord, _SAFE)]] = True
+    first, second = np.divmod(np.arange(1 << 16), 256)
+    latin = np.isin(first, [*range(0xC3, 0xCA), 0xD0, 0xD1]) & ~np.isin(np.arange(1 << 16), [0xC397, 0xC3B7])
+    letter = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
+    white = np.array([chr(c).isspace() and c < 128 for c in range(256)])
+    whole = ~white[second] & ~np.isin(np.arange(1 << 16), [0xC285, 0xC2A0])
+    starts = ~white[first] & ~np.isin(first, [0xC2, 0xE1, 0xE2, 0xE3])
+    doubt = np.isin(np.arange(1 << 16), _WIDE & 0xFFFF)
+    return of_note, letter[second] | latin, letter[first] | latin, whole, starts, doubt
+
+
+#: White space of three bytes.
+_WIDE = np.array([int.from_bytes(chr(c).encode(), "big") for c in range(0x800, 0xD800) if chr(c).isspace()])
+_OF_NOTE, _LETTER_ENDS, _LETTER_BEGINS, _SOLID_ENDS, _SOLID_BEGINS, _DOUBT = _tables()
+
+
+def part_bounds(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ends of the parts of texts that lie between bounds in data (UTF-8 bytes), the first one's start before them.
+
+    Parts end before a blank or line feed behind other characters, behind such
+    a line feed that stands alone, and between letters and safe points.
+    """
+    ends = np.zeros(len(data) + 1, bool)
+    ends[bounds] = True
+    at = np.flatnonzero(_OF_NOTE[data])
+    if len(at):
+        # What lies beyond a text's ends decides only about cuts that are there anyway, or are right in any case.
+        here, last = data[at], len(data) - 1
+        before = data[at - 1] | (data[np.maximum(at - 2, 0)].astype(np.uint16) << 8)
+        behind = data[np.minimum(at + 2, last)] | (data[np.minimum(at + 1, last)].astype(np.uint16) << 8)
+        solid = _SOLID_ENDS[before]
+        doubt = np.flatnonzero(_DOUBT[before])
+        solid[doubt] &= ~np.isin(before[doubt] | (data[at[doubt] - 3].astype(np.int64) << 16), _WIDE)
+        feed = here == 10
+        point = ~feed & (here != 32)
+        ends[at[np.where(point, _LETTER_ENDS[before], solid)]] = True
+        ends[at[feed & solid & _SOLID_BEGINS[behind] | point & _LETTER_BEGINS[behind]] + 1] = True
+    return np.flatnonzero(ends)
+
+
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column, nulls empty, and the bounds of its texts in them."""
+    column = pc.fill_null(texts, "").cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
 class Pieces(dict):
     """Ids of texts by the tokenizers library, part by part.
 
-    A text is cut before single blanks between two other characters. The
-    byte-level pattern ends a token there in any case, so the parts' ids in a
-    row are the text's ids, and a part that is remembered is not encoded again.
+    A text is cut by part_bounds where the byte-level pattern ends a token in
+    any case and what follows has no say in the token before, so the parts' ids
+    in a row are the text's ids, and a part that is remembered is not encoded again.
     The pattern also ends a token between letters, points and a lone line feed:
     parts made of these alone are cut there, and each run, one word of the
     pattern, goes to the library's model. All others take the library's whole way.
@@ -79,19 +125,6 @@ class Pieces(dict):
         self.alphabet = {b: c for b, c in byte_alphabet().items() if b}
         self.older: dict[str, bytes] = {}
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if regular(text):
-            return text.replace(" ", "\0 ").split("\0") if text else []
-        parts = text.split(" ")
-        out = [parts[0]]
-        for before, p in zip(parts, parts[1:], strict=False):
-            if before and p and not before[-1].isspace() and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return [p for p in out if p]
-
     def _learn(self, parts: list[str]) -> None:
         """Remembers the ids of parts that are not known yet, each there once."""
         words, cut = [], {}
@@ -108,7 +141,7 @@ class Pieces(dict):
                 cut[p] = runs
             else:
                 self[p] = array("I", self.library.encode(p, add_special_tokens=False).ids).tobytes()
-        new = list(set(words).union(*cut.values()).difference(self))
+        new = words + list(set().union(*cut.values()).difference(words, self))
         tokenize = self.model.tokenize
         # No run holds the character 0, which stays as it is.
         mapped = "\0".join(new).encode("utf-8").decode("latin-1").translate(self.alphabet).split("\0") if new else []
@@ -126,18 +159,20 @@ class Pieces(dict):
         self._learn([p for p, ids in zip(missing, older, strict=True) if ids is None])
         return [self[p] if ids is None else ids for p, ids in zip(parts, found, strict=True)]
 
-    def lists(self, texts: list[str], end: bytes = b"") -> pa.ListArray:
-        """The ids of each text as a list of int32, with those of end (little-endian unsigned 32-bit integers) after them."""
+    def lists(self, texts: list[str] | pa.Array, end: bytes = b"") -> pa.ListArray:
+        """The ids of each text (null: empty) as a list of int32, with those of end (little-endian unsigned 32-bit integers) after them."""
         if len(self) > MEMORY:
             self.older = dict(self)
             self.clear()
-        self[""] = end  # the empty part behind the last mark
-        marked = [t.encode("utf-8").replace(b" ", CUT + b" ") + CUT if t and regular(t) else b"".join([p.encode("utf-8") + CUT for p in self.split(t)]) for t in texts]
-        parts = pc.split_pattern(pa.array(marked, pa.large_binary()), CUT)
-        coded = parts.flatten().dictionary_encode()
-        ids = self._found(coded.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist())
-        known = _lists(np.cumsum([0, *map(len, ids)]) // 4, b"".join(ids)).take(coded.indices)
-        return pa.ListArray.from_arrays(known.offsets.take(parts.offsets), known.values)
+        data, bounds = _utf8(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        ends = part_bounds(data, bounds)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        ids = [*self._found(coded.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()), end]
+        at = np.searchsorted(ends, bounds)
+        codes = np.insert(coded.indices.to_numpy(), at[1:], len(ids) - 1)
+        known = _lists(np.cumsum([0, *map(len, ids)]) // 4, b"".join(ids)).take(pa.array(codes))
+        return pa.ListArray.from_arrays(known.offsets.take(pa.array(at + np.arange(len(at)))), known.values)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -166,7 +201,7 @@ def token_rows(docs: DataFrame, tokenizer_json: str, end_id: int | None = END_ID
         for b in batches:
             texts = b.column(1)
             for lo, hi in text_groups(texts, GROUP_BYTES):
-                found = pieces.lists([t or "" for t in texts.slice(lo, hi - lo).to_pylist()], end)
+                found = pieces.lists(texts.slice(lo, hi - lo), end)
                 sizes = pa.array(np.diff(found.offsets.to_numpy()).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), sizes, found], names=names)
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,6 +279,43 @@ def test_token_pieces_meet_distinct_parts_once(monkeypatch):
     assert own.lists([]).to_pylist() == own.encode([]) == []
 
 
+def test_words_are_looked_up_without_their_points():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    seen = []
+
+    class Counted(token_files.Pieces):
+        def get(self, part, *other):
+            seen.append(part)
+            return super().get(part, *other)
+
+    library, own = Tokenizer.from_str(spec), Counted(spec)
+    texts = [f'Früh {w}{p} ({w}{p}\n{w}{p}"' for w in ("apple", "été", "слово") for p in (".", ",", ";", ":", "!", "?", "...", "")]
+    found = own.lists(pa.array([None, *texts, None, ""]).slice(1), (2).to_bytes(4, "little"))
+    assert found.to_pylist() == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, "", ""]]
+    # With a blank before and without; points are parts of their own.
+    assert len(seen) == len(set(seen)) and sum("apple" in p for p in seen) == sum("été" in p for p in seen) == sum("слово" in p for p in seen) == 2
+
+
+def test_parts_end_where_the_library_ends_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    library, own = Tokenizer.from_str(spec), token_files.Pieces(spec)
+    # Each character of two and three bytes beside points, blanks and line feeds.
+    chars = [chr(c) for c in (*range(0x800), *range(0x1670, 0x1690), *range(0x2000, 0x2070), *range(0x2FF8, 0x3048))]
+    texts = [t for c in chars for t in (f"a{c}.{c}b", f"{c} {c}", f".{c}\n{c},", f"\n{c}  {c}\n\n{c}", f"{c}<|endoftext|>{c}")]
+    rnd = random.Random(8)
+    texts += ["".join(rnd.choice([*"ab é×÷ßя\n\n.,(\"'|<>1\u2028\u2003\u3000\x1c\xa0\x85”", "<|endoftext|>", "'s"]) for _ in range(rnd.randrange(20))) for _ in range(5_000)]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files(spark, docs, texts, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
