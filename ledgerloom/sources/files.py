@@ -20,11 +20,14 @@ def read_results(spark: SparkSession, path: str, schema: StructType | str) -> tu
 
 
 def read_chart(spark: SparkSession, path: str, key: str = "account") -> DataFrame:
-    """A chart of accounts from ;-separated text with header; names and keys are trimmed, blank keys go, the last of a key stays."""
+    """A chart of accounts from ;-separated text with header, one file or a folder of them in the order of their names; names and keys are trimmed, blank keys go, the last of a key stays."""
     raw = spark.read.option("sep", ";").option("header", True).csv(path)
-    df = raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns)).withColumn(key, F.trim(key)).where(F.col(key) != "")
-    last = Window.partitionBy(key).orderBy(F.desc("_order"))
-    return df.withColumn("_order", F.monotonically_increasing_id()).withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_order", "_rank")
+    # Spark reads larger files and blocks first, so only within a block do the ids tell what is later.
+    order = ["_file", "_block", "_line"]
+    df = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).toDF(*(c.lstrip("﻿").strip() for c in raw.columns), *order[:2])
+    df = df.withColumn(key, F.trim(key)).where(F.col(key) != "").withColumn("_line", F.monotonically_increasing_id())
+    last = Window.partitionBy(key).orderBy(*map(F.desc, order))
+    return df.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop(*order, "_rank")
 
 
 def accounts_by_category(chart: DataFrame, key: str = "account", category: str = "category") -> DataFrame:

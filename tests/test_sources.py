@@ -48,6 +48,22 @@ def test_chart(spark, tmp_path):
     assert {r.category: r.accounts for r in files.accounts_by_category(chart).collect()} == {"Anlagen": ["0480"], "Material": ["3400"]}
 
 
+def test_chart_in_several_files(spark, tmp_path):
+    """The file with the later name counts, not the smaller one, which Spark reads last; nor does a later block give way to an earlier one."""
+    head, many = "account;category\n", "".join(f"{k};Rest {k}\n" for k in range(5000, 5400))
+    for name, rows in (("part-00000", "3400;alt\n0480;Anlagen\n"), ("part-00001", "3400;neu\n" + many + "5000;zuletzt\n"), ("part-00002", "5001;spät\n")):
+        (tmp_path / f"{name}.csv").write_text(head + rows, encoding="utf-8")
+    chart = lambda: {r.account: r.category for r in files.read_chart(spark, str(tmp_path)).collect()}
+    expected = {str(k): f"Rest {k}" for k in range(5002, 5400)} | {"0480": "Anlagen", "3400": "neu", "5000": "zuletzt", "5001": "spät"}
+    assert chart() == expected
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000b")
+    try:
+        assert chart() == expected
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_training_files(spark, tmp_path):
     rows = [("a@b.de ruft", [(0, 6, "EMAIL")], {"x": 1.0}), ("nichts", [], {}), ("nur Klasse", [], {"y": 0.5})]
     table = spark.createDataFrame(rows, "text string, entities array<struct<start: int, end: int, label: string>>, cats map<string, double>").withColumn("meta", F.lit("m"))
