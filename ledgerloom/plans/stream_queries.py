@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files
-from ..sources.scratch import work_folder
+from ..sources.scratch import stored, work_folder
 from ..sources.tables import invoice_items
 from ..streaming import patterns as SP
 from ..streaming import streams as ST
@@ -71,6 +71,7 @@ def stream_learned_patterns(t):
 def stream_keyed_patterns(t):
     """returned_patterns from a stream of every returned line, by keyed state that outlives restarts."""
     lines = invoice_items(t, t.lineitem.where("l_returnflag = 'R'")).select(*SP.KEYS, "price", F.col("shipped").cast("timestamp").alias("ts"), "invoice_id", "position", "l_partkey", "net")
+    lines = stored(lines, "lines")  # each wave reads them again
     with SP.keyed_state(t.spark):
         written = ST.through_restarts(ST.time_waves(lines), lambda s: SP.keyed_patterns(s, ["ts_us", "invoice_id", "position", "l_partkey", "net"]), "update")
     p = ST.latest(written, SP.KEYS)

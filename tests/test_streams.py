@@ -42,6 +42,22 @@ def test_unconfirmed_patterns_expire(spark):
     assert found == {"old": (1, True), "kept": (2, False), "clock": (2, False)}
 
 
+def test_lasting_patterns_need_no_python(spark, tmp_path):
+    """Many keys, each changed by every wave, and one that has half of the corrections; a processor of our own took milliseconds for each."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 2 == 0, "s").otherwise(F.concat(F.lit("t"), (F.col("id") % 20_000).cast("string"))).alias("supplier"), F.lit("1").alias("account"), F.lit("d").alias("description"), (1 + F.col("id")).cast("double").alias("price"), F.timestamp_seconds(1_700_000_000 - F.col("id")).alias("ts"), "id", (F.col("id") / 20_000).cast("int").alias("wave"))
+    rows.drop("wave").limit(1).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(rows.drop("wave").schema).parquet(f"file://{tmp_path}/in")
+    plan = lambda **expiry: P.keyed_patterns(stream, ["ts_us", "id"], **expiry)._jdf.queryExecution().analyzed().toString()
+    assert "Python" not in plan() and "TransformWithState" not in plan()
+    assert all("TransformWithState" in plan(**expiry) for expiry in ({"keep": "1 day"}, {"ttl_ms": 5}))
+    with P.keyed_state(spark):
+        out = ST.latest(ST.through_restarts(rows, lambda s: P.keyed_patterns(s, ["ts_us", "id"]), "update"), P.KEYS).drop("account", "description")
+    found = {r.supplier: tuple(r)[1:4] + (r.last_updated.timestamp(), r.expired) for r in out.collect()}
+    # Later ids are earlier in time: the third wave has the first correction of each key, the first wave the last one.
+    expected = {f"t{i}": (3, 0.15, 40_001.0 + i, 1_700_000_000 - i, False) for i in range(1, 20_000, 2)} | {"s": (30_000, 0.3, 59_999.0, 1_700_000_000, False)}
+    assert {k: (v[0], round(v[1], 6), *v[2:]) for k, v in found.items()} == expected
+
+
 def test_state_settings(spark):
     before = spark.conf.get(P.PROVIDER, None)
     with pytest.raises(ZeroDivisionError), P.keyed_state(spark):
