@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.plugins import FeaturePipeline, process_documents
 from ..operators import texts as X
-from ..sources.tables import ITEMS_SQL, invoice_items
+from ..sources.tables import ITEMS_SQL, PLACE, invoice_items, placed
 from .registry import query
 
 
@@ -51,8 +52,17 @@ def supplier_features(t):
 
 @query(f"WITH {ITEMS_SQL} SELECT invoice_id, array_to_string(list_sort(list(DISTINCT CAST(round(rate * 100) AS INT))), ',') AS rates, round(sum(net * rate) / sum(net), 9) AS vat_ratio, sum(net * rate) / sum(net) BETWEEN 0.02 AND 0.06 AS plausible FROM items GROUP BY 1")
 def tax_features(t):
-    i = invoice_items(t)
-    ratio = F.try_divide(F.sum(F.col("net") * F.col("rate")), F.sum("net"))
+    """VAT rates and ratio of each invoice.
+
+    An invoice of one rate lies on a bound of what is plausible, where the last
+    bit of a sum decides, so lines are added in the order in which they are
+    stored: results don't depend on splits, and agree with the SQL run in order.
+    """
+    so_far = Window.partitionBy("invoice_id").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    i = invoice_items(t, placed(t.lineitem), PLACE).select("invoice_id", *PLACE, "net", "rate")
+    vat, net = F.sum(F.col("net") * F.col("rate")).over(so_far), F.sum("net").over(so_far)
+    i = i.select("invoice_id", "rate", vat.alias("vat"), net.alias("net"), F.row_number().over(so_far).alias("n"))
+    ratio = F.try_divide(F.max_by("vat", "n"), F.max_by("net", "n"))
     return i.groupBy("invoice_id").agg(F.array_join(F.sort_array(F.collect_set(F.round(F.col("rate") * 100).cast("int"))), ",").alias("rates"), F.round(ratio, 9).alias("vat_ratio"), ratio.between(0.02, 0.06).alias("plausible"))
 
 

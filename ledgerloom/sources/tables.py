@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def invoice_items(t: Tables, lines: DataFrame | None = None) -> DataFrame:
-    """Line items (or the given lines of them) with description, quantity, price, net amount, rate, supplier and account."""
+#: Names of the columns that placed() adds.
+PLACE = ["_file", "_row"]
+
+
+def placed(table: DataFrame) -> DataFrame:
+    """A parquet table with the place of each row, by which its files' rows come in the order in which they are stored."""
+    return table.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+
+
+def invoice_items(t: Tables, lines: DataFrame | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """Line items (or the given lines of them) with description, quantity, price, net amount, rate, supplier and account, and more columns of the lines."""
     p, s = t.part, t.supplier
     return (t.lineitem if lines is None else lines).join(p, F.col("l_partkey") == p.p_partkey).join(s, F.col("l_suppkey") == s.s_suppkey).select(
         F.col("l_orderkey").alias("invoice_id"),
@@ -32,6 +43,7 @@ def invoice_items(t: Tables, lines: DataFrame | None = None) -> DataFrame:
         F.col("s_name").alias("supplier"),
         F.concat(F.lit("3"), F.lpad(F.col("p_size").cast("string"), 3, "0")).alias("account"),
         F.col("l_shipdate").alias("shipped"),
+        *more,
     )
 
 
