@@ -68,6 +68,15 @@ def test_state_settings(spark):
         P.keyed_patterns(corrections(spark, []), ["id"], keep="1 day", ttl_ms=5)
 
 
+def test_state_takes_no_disk_ahead(spark):
+    """RocksDB allocates 4 MB a partition and restart ahead, unless it is told not to; the setting is put back too."""
+    name = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+    before = spark.conf.get(name, None)
+    with P.keyed_state(spark):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name, None) == before
+
+
 ROWS = "k long, at long, v string"
 
 
